@@ -9,7 +9,7 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two sets lin
    partner must share at least `min(l, partner's l)` of them. `l` is chosen for each document: a longer prefix costs
    more list entries and saves verifications; `_lengthen` takes the cheapest by the counts. Sets that are equal are
    one node from here on.
-3. Lists. Prefix entries are dealt by token and sorted; a stream over them holds at most SHORT entries. A short list
+3. Lists. Prefix entries are dealt by token and sorted; a stream over them holds a batch and SHORT entries. A short list
    gives pairs that pass the length filter, counted afterwards against the shared tokens they need. A longer list
    gives no pairs: its entries are tied to the list's hub, its most central document, and all documents tied to one
    hub are compared in step 4, so two that meet only in long lists are compared there.
@@ -111,120 +111,129 @@ def _lengthen(counts: np.ndarray, n: int, percent: int, floor: float) -> int:
     return 1 + int(np.argmin(costs))
 
 
+def named_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (the set's size), node (its name, null if empty) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, sets in _sets(b, width):
+                n, node = [len(s) for s in sets], [_node(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+
+
+#: An entry's info: size of the set, l, and in the low bits how common its prefix is, on a logarithmic scale.
+_COMMON = 20
+_SEEN = 1 << 20
+
+
 def prefixes(docs: DataFrame, width: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """doc_id, n, node, l, central, tokens (the prefix), hot (of each token). docs: doc_id, text."""
+    """token, node, info, hot: an entry for each token of each set's prefix. A task leaves out sets that it has just
+    had, so that copies are combined before anything is shuffled; what copies remain are dropped in the lists."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         floor = float(count.mean())
         hot_from = HOT * floor + 1000
+        seen: set[int] = set()
         for b in batches:
-            for at, sets in _sets(b, width):
-                n, node, ell, central, tokens, hot = [], [], [], [], [], []
+            for _, sets in _sets(b, width):
+                tokens, nodes, infos, hot = [], [], [], []
                 for s in sets:
-                    n.append(len(s))
-                    node.append(_node(s) if len(s) else None)
-                    if not len(s):
-                        ell.append(0)
-                        central.append(0.0)
-                        tokens.append(s.view(np.int64))
-                        hot.append(np.zeros(0, bool))
+                    if not len(s) or (node := _node(s)) in seen:
                         continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(node)
                     c = count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     order = np.argsort(c, kind="stable")
                     c = c[order]
                     k = _lengthen(c, len(s), percent, floor)
                     p = len(s) - least_overlap(len(s), percent) + k
-                    ell.append(k)
-                    central.append(float(c[:p].mean()))
+                    common = min((1 << _COMMON) - 1, int(math.log2(1 + c[:p].mean()) * (1 << _COMMON - 5)))
                     tokens.append(s[order[:p]].view(np.int64))
+                    nodes.append(np.full(p, node))
+                    infos.append(np.full(p, (min(len(s), (1 << 40) - 1) << 3 | k) << _COMMON | common))
                     hot.append(c[:p] >= hot_from)
-                lists = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(ell, pa.int32()), pa.array(central, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate(tokens))), pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate(hot)))],
-                    names=["doc_id", "n", "node", "l", "central", "tokens", "hot"])
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, infos, hot)], names=["token", "node", "info", "hot"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, l int, central double, tokens array<long>, hot array<boolean>")
+    return docs.select("text").mapInArrow(run, "token long, node long, info long, hot boolean")
 
 
-_MET = "kind int, a long, b long, need int, n long, central double"
+_MET = "kind int, a long, b long, info long"
 
 
 def _meet(percent: int):
-    """Over entries sorted by token: pairs of short lists (kind 0: a, b, need), entries of long ones (kind 1: token, node)."""
+    """Over entries sorted by token and node: pairs of short lists (kind 0: two nodes, and as info the tokens they must
+    share), entries of long ones (kind 1: token, node, info)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
-        held: tuple[np.ndarray, ...] | None = None  # entries of the last token seen, SHORT + 1 at most
-        long_token = None
-
-        def emit(kind, a, b, need, n, central) -> None:
-            out.append((np.full(len(a), kind, np.int32), a, b, need, n, central))
-
-        def pairs(node, n, ell) -> None:
-            i, j = np.triu_indices(len(node), 1)
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (100 * low >= percent * high) & (node[i] != node[j])
-            i, j = i[ok], j[ok]
-            emit(0, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(ell[i], ell[j]), low[ok], np.zeros(len(i)))
+        held: tuple[np.ndarray, ...] | None = None  # entries of the last token seen, SHORT at most
+        long_token, last = None, None  # a token whose list is long, and its last node
 
-        def entries(token, node, n, central) -> None:
-            emit(1, token, node, np.zeros(len(token), np.int32), n, central)
+        def emit(kind: int, a: np.ndarray, b: np.ndarray, info: np.ndarray) -> None:
+            out.append((np.full(len(a), kind, np.int32), a, b, info))
 
-        def close(group) -> None:
-            token, node, n, ell, central = group
+        def close(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> None:
             if len(token) > SHORT:
-                entries(token, node, n, central)
+                emit(1, token, node, info)
             elif len(token) > 1:
-                pairs(node, n, ell)
+                i, j = np.triu_indices(len(node), 1)
+                n, ell = info >> (_COMMON + 3), info >> _COMMON & 7
+                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]))
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*out)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "need", "n", "central"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "info"])
 
         for batch in batches:
-            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "n", "l", "central"))
-            if not len(cols[0]):
-                continue
+            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
+            if held is not None:
+                cols = tuple(np.concatenate(x) for x in zip(held, cols))
+            token, node = cols[:2]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            if long_token is not None and len(token) and token[0] == long_token and node[0] == last:
+                new[0] = False
+            cols = tuple(x[new] for x in cols)
             token = cols[0]
             if long_token is not None:
                 same = int(np.searchsorted(token, long_token, side="right"))
                 if same:
-                    entries(token[:same], cols[1][:same], cols[2][:same], cols[4][:same])
+                    emit(1, *(x[:same] for x in cols))
+                    last = int(cols[1][same - 1])
                     cols = tuple(x[same:] for x in cols)
                     token = cols[0]
-                if not len(token):
-                    yield flush()
-                    continue
-                long_token = None
-            if held is not None:
-                cols = tuple(np.concatenate(x) for x in zip(held, cols))
-                token = cols[0]
-            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size = np.diff(np.concatenate((begin, [len(token)])))
-            for k in np.flatnonzero(size[:-1] > 1):
-                close(tuple(x[begin[k] : begin[k] + size[k]] for x in cols))
-            held = tuple(x[begin[-1] :] for x in cols)
-            if size[-1] > SHORT:
-                entries(held[0], held[1], held[2], held[4])
-                long_token, held = int(held[0][0]), None
+                if len(token):
+                    long_token = last = None
+            if len(token):
+                begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                size = np.diff(np.concatenate((begin, [len(token)])))
+                for k in np.flatnonzero(size[:-1] > 1):
+                    close(*(x[begin[k] : begin[k] + size[k]] for x in cols))
+                held = tuple(x[begin[-1] :] for x in cols)
+                if size[-1] > SHORT:
+                    emit(1, *held)
+                    long_token, last, held = int(held[0][0]), int(held[1][-1]), None
+            else:
+                held = None
             if out:
                 yield flush()
         if held is not None:
-            close(held)
+            close(*held)
         if out:
             yield flush()
 
     return run
 
 
-def _linked(x: int, y: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * both >= percent * (x + y - both)
-
-
 class _Forest:
     """Union-find over positions; join() says whether two trees became one."""
 
@@ -270,7 +279,8 @@ def _forest(nodes: list[int], sets: list[np.ndarray], left: int, percent: int) -
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, tokens (binary) of the wanted nodes. wanted: node, doc_id of one document that has the set."""
+    """node, tokens (binary) of the wanted nodes. wanted: node, doc_id of one document that has the set. A node comes
+    more than once if rows of that doc_id repeat."""
     some = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +289,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    return some.mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return some.mapInArrow(run, "node long, tokens binary")
 
 
 def _verify(percent: int):
@@ -335,20 +345,21 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     docs: doc_id, text; any further columns are left out."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counters = count_tokens(docs, width)
-    rows = cut(prefixes(docs, width, percent, counters))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("central").alias("central"), F.first("tokens").alias("tokens"), F.first("hot").alias("hot"))
-    entry = nodes.select("node", "n", "l", "central", F.explode(F.arrays_zip("tokens", "hot")).alias("x")).select("node", "n", "l", "central", F.col("x.tokens").alias("token"), F.col("x.hot").alias("hot"))
-    met = entry.where("not hot").select("token", "node", "n", "l", "central").repartition("token").sortWithinPartitions("token").mapInArrow(_meet(percent), _MET)
-    hot = entry.where("hot").select(F.lit(1).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), F.lit(0).alias("need"), "n", "central")
+    rows = cut(named_sets(docs, width))
+    entry = prefixes(docs, width, percent, counters)
+    met = entry.where("not hot").select("token", "node", "info").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_meet(percent), _MET)
+    hot = entry.where("hot").select(F.lit(1).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), "info").distinct()
     met = cut(met.union(hot))
-    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
-    listed = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "central")
-    hubs = listed.groupBy("token").agg(F.max(F.struct("central", "node")).alias("x"), F.count("*").alias("c")).where("c > 1").select("token", F.col("x.node").alias("hub"))
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("info").alias("need")).where("shared >= need").select("a", "b")
+    n, common = F.shiftright("info", _COMMON + 3).alias("n"), F.col("info").bitwiseAND((1 << _COMMON) - 1).alias("common")
+    listed = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), n, common)
+    hubs = listed.groupBy("token").agg(F.max(F.struct("common", "node")).alias("x"), F.count("*").alias("c")).where("c > 1").select("token", F.col("x.node").alias("hub"))
     groups = listed.join(hubs, "token").groupBy("hub", "node").agg(F.first("n").alias("n"))
     pairs, groups = cut(pairs), cut(groups)
     used = groups.select("node").union(pairs.select(F.col("a").alias("node"))).union(pairs.select(F.col("b").alias("node"))).distinct()
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(set_rows(docs, cut(named.join(used, "node", "left_semi")), width))
+    wanted = cut(named.join(used, "node", "left_semi"))
+    sets = cut(set_rows(docs, wanted, width))
     s = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
     t = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
     found = pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
