@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from exactdiff.llm import ngram_join
+from exactdiff.llm import fingerprint, language_id, licenses, mixing, ngram_join, packing, pii
 from exactdiff.llm.common import table
 
 
@@ -14,6 +15,47 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrated(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.hilbert_pack(table(spark, sf_dir, "documents"), ids=False)
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chained = fingerprint.with_next(docs, max(1, -(-size // 16_000_000)))
+    new = fingerprint.edited(F.col("text"), F.col("next_text"))
+    each = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), new.alias("text"), F.sha2(new, 256).alias("sha")))
+    texts = chained.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.explode(each).alias("x")).select("doc_id", "next_id", "n_chars", "x.kind", "x.text", "x.sha")
+    prints = fingerprint.fingerprints(texts, ["doc_id", "kind"], kept=["next_id", "n_chars", "sha"])
+    own, changed = F.when(F.col("kind") == 0, F.col("fingerprint")), F.when(F.col("kind") == 1, F.col("fingerprint"))
+    rows = prints.groupBy("doc_id").agg(F.max("next_id").alias("next_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(own).alias("fingerprint"), F.max(changed).alias("edited_fingerprint"))
+    after = rows.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    alike = lambda x: (F.col("fingerprint") == F.col(x)).cast("double")
+    return rows.join(after, "next_id", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    predicted = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return predicted.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
