@@ -9,13 +9,11 @@ from exactdiff.llm.common import cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: columns a, b (long). Returns node, component: one row for each node of an edge, and the smallest node
-    that it reaches. Loops, repeated edges and an empty table are fine; rows with a null end are dropped.
-
-    Each round moves edges towards the smallest neighbour; a third of the rounds' checkpoints is alive at a time.
+    """edges: columns a, b (long). Returns node, component: one row for each node of an edge between two different
+    nodes, and the smallest node that it reaches. Repeated edges and an empty table are fine; loops and rows with a null
+    end are dropped. edges is evaluated once. Each round moves edges towards the smallest neighbour.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
-    loops = edges.where("a = b").select(F.col("a").alias("node"))
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,4 +30,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
     tied = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return tied.union(roots).union(loops.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return tied.union(roots).groupBy("node").agg(F.min("component").alias("component"))
