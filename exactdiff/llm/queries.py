@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exactdiff.llm import fingerprint, language_id, licenses, mixing, ngram_join, packing, pii
+from exactdiff.llm import fingerprint, language_id, licenses, mixing, nearest, ngram_join, packing, pii, quality
 from exactdiff.llm.common import table
 
 
@@ -27,6 +27,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.hilbert_pack(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
