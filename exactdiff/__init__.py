@@ -1,0 +1 @@
+"""Strict two-sided comparison of keyed tables, on Spark."""
