@@ -9,10 +9,12 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two sets lin
    partner must share at least `min(l, partner's l)` of them. `l` is chosen for each document: a longer prefix costs
    more list entries and saves verifications; `_lengthen` takes the cheapest by the counts. Sets that are equal are
    one node from here on.
-3. Lists. Prefix entries are dealt by token and sorted; a stream over them holds a batch and SHORT entries. A short list
-   gives pairs that pass the length filter, counted afterwards against the shared tokens they need. A longer list
-   gives no pairs: its entries are tied to the list's hub, its most central document, and all documents tied to one
-   hub are compared in step 4, so two that meet only in long lists are compared there.
+3. Lists. Prefix entries are dealt by token and sorted, and a stream over them drops those that no other node shares.
+   A node that keeps fewer entries than its l has no partner of the same or a larger l, so it goes unless a node of a
+   smaller l shares a token with it. The rest are listed again. A short list gives pairs that pass the length filter;
+   a pair stays if it shares the tokens it needs and its last shared position leaves room for the overlap it needs.
+   A longer list gives no pairs: its entries are tied to the list's hub, its node with most entries, and all nodes
+   tied to one hub are compared in step 4, so two that share any token of a long list are compared there.
 4. Verification. Pairs are verified on whole sets; the documents of a hub in blocks of BLOCK by BLOCK through a matrix
    product over the tokens that at least two of them have, blocks ordered by set size so that those too
    different in size never meet. Each block returns a spanning forest of its links, never all its pairs.
@@ -26,7 +28,6 @@ Nodes are named by a 64-bit hash of their set: among 10**9 different sets one cl
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ SHORT = 8
 BLOCK = 512
 #: Tokens of a block's matrix at a time.
 _COLUMNS = 4096
-#: The largest l, and what a verification costs in list entries.
-LONGEST, VERIFY = 4, 20
+#: The largest l as a part of the set, and what a verification costs in list entries.
+LONGEST, VERIFY = 0.04, 20
 #: A token counted so many times more than the mean counter goes to its hub directly, as its list must be long.
 HOT = 6
 _ROWS = 400
@@ -105,10 +106,10 @@ def _lengthen(counts: np.ndarray, n: int, percent: int, floor: float) -> int:
     """The l whose prefix costs least: entries, and candidates that share at least l of them. counts: of the tokens
     from rare to frequent; floor: what a counter holds of unrelated tokens."""
     base = n - least_overlap(n, percent)
-    most = min(LONGEST, n - base)
-    met = np.cumsum(np.maximum(counts[: base + most] - floor, 0.0))
-    costs = [(base + k) + met[base + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
-    return 1 + int(np.argmin(costs))
+    most = max(1, min(int(LONGEST * n), n - base, _ELL))
+    k = np.arange(1, most + 1)
+    met = np.cumsum(np.maximum(counts[: base + most] - floor, 0.0))[base : base + most]
+    return 1 + int(np.argmin(base + k + met * (1 + VERIFY / k)))
 
 
 def named_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -123,8 +124,8 @@ def named_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
 
 
-#: An entry's info: size of the set, l, and in the low bits how common its prefix is, on a logarithmic scale.
-_COMMON = 20
+#: An entry's info: size of the set, 12 bits of l, 21 bits of the token's position (the last stands for any behind it).
+_ELL, _POSITION = (1 << 12) - 1, (1 << 21) - 1
 _SEEN = 1 << 20
 
 
@@ -152,10 +153,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, counters: np.ndarray) ->
                     c = c[order]
                     k = _lengthen(c, len(s), percent, floor)
                     p = len(s) - least_overlap(len(s), percent) + k
-                    common = min((1 << _COMMON) - 1, int(math.log2(1 + c[:p].mean()) * (1 << _COMMON - 5)))
                     tokens.append(s[order[:p]].view(np.int64))
                     nodes.append(np.full(p, node))
-                    infos.append(np.full(p, (min(len(s), (1 << 40) - 1) << 3 | k) << _COMMON | common))
+                    infos.append((len(s) << 33 | k << 21) + np.minimum(np.arange(p), _POSITION))
                     hot.append(c[:p] >= hot_from)
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, infos, hot)], names=["token", "node", "info", "hot"])
@@ -163,35 +163,69 @@ def prefixes(docs: DataFrame, width: int, percent: int, counters: np.ndarray) ->
     return docs.select("text").mapInArrow(run, "token long, node long, info long, hot boolean")
 
 
-_MET = "kind int, a long, b long, info long"
+def _size(info):
+    return info >> 33
+
+
+def _ell(info):
+    return info >> 21 & _ELL
+
+
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by token and node, each once, those whose token more than one node has."""
+    held: tuple[np.ndarray, ...] | None = None  # the last entry, and whether the one before it has its token
+    for batch in batches:
+        cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
+        before = False
+        if held is not None:
+            cols, before = tuple(np.concatenate(x) for x in zip(held[:3], cols)), bool(held[3][0])
+        if not len(cols[0]):
+            continue
+        new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+        cols = tuple(x[new] for x in cols)
+        same = cols[0][1:] == cols[0][:-1]
+        keep = np.concatenate(([before], same)) | np.concatenate((same, [False]))
+        held = (*(x[-1:] for x in cols), np.array([same[-1] if len(same) else before]))
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "info"])
+    if held is not None and held[3][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:3]], names=["token", "node", "info"])
+
+
+_MET = "kind int, a long, b long, need int, rest long, overlap long"
 
 
 def _meet(percent: int):
-    """Over entries sorted by token and node: pairs of short lists (kind 0: two nodes, and as info the tokens they must
-    share), entries of long ones (kind 1: token, node, info)."""
+    """Over entries sorted by token and node: pairs of short lists (kind 0: two nodes, the prefix tokens they must share,
+    what either has behind this token at most, the overlap they must have), entries of long ones (kind 1: token, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         held: tuple[np.ndarray, ...] | None = None  # entries of the last token seen, SHORT at most
         long_token, last = None, None  # a token whose list is long, and its last node
 
-        def emit(kind: int, a: np.ndarray, b: np.ndarray, info: np.ndarray) -> None:
-            out.append((np.full(len(a), kind, np.int32), a, b, info))
+        def emit(kind: int, a: np.ndarray, b: np.ndarray, need: np.ndarray, rest: np.ndarray, overlap: np.ndarray) -> None:
+            out.append((np.full(len(a), kind, np.int32), a, b, need.astype(np.int32), rest, overlap))
+
+        def entries(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> None:
+            emit(1, token, node, np.zeros(len(token)), _size(info), np.zeros(len(token), np.int64))
 
         def close(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> None:
             if len(token) > SHORT:
-                emit(1, token, node, info)
+                entries(token, node, info)
             elif len(token) > 1:
                 i, j = np.triu_indices(len(node), 1)
-                n, ell = info >> (_COMMON + 3), info >> _COMMON & 7
+                n, ell = _size(info), _ell(info)
                 ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
-                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]))
+                behind = n - (info & _POSITION) - 1
+                overlap = -(-percent * (n[i] + n[j]) // (100 + percent))
+                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]), np.minimum(behind[i], behind[j]), overlap)
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*out)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "info"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "need", "rest", "overlap"])
 
         for batch in batches:
             cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
@@ -207,7 +241,7 @@ def _meet(percent: int):
             if long_token is not None:
                 same = int(np.searchsorted(token, long_token, side="right"))
                 if same:
-                    emit(1, *(x[:same] for x in cols))
+                    entries(*(x[:same] for x in cols))
                     last = int(cols[1][same - 1])
                     cols = tuple(x[same:] for x in cols)
                     token = cols[0]
@@ -220,7 +254,7 @@ def _meet(percent: int):
                     close(*(x[begin[k] : begin[k] + size[k]] for x in cols))
                 held = tuple(x[begin[-1] :] for x in cols)
                 if size[-1] > SHORT:
-                    emit(1, *held)
+                    entries(*held)
                     long_token, last, held = int(held[0][0]), int(held[1][-1]), None
             else:
                 held = None
@@ -347,14 +381,19 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     counters = count_tokens(docs, width)
     rows = cut(named_sets(docs, width))
     entry = prefixes(docs, width, percent, counters)
-    met = entry.where("not hot").select("token", "node", "info").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_meet(percent), _MET)
-    hot = entry.where("hot").select(F.lit(1).alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), "info").distinct()
-    met = cut(met.union(hot))
-    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("info").alias("need")).where("shared >= need").select("a", "b")
-    n, common = F.shiftright("info", _COMMON + 3).alias("n"), F.col("info").bitwiseAND((1 << _COMMON) - 1).alias("common")
-    listed = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), n, common)
-    hubs = listed.groupBy("token").agg(F.max(F.struct("common", "node")).alias("x"), F.count("*").alias("c")).where("c > 1").select("token", F.col("x.node").alias("hub"))
-    groups = listed.join(hubs, "token").groupBy("hub", "node").agg(F.first("n").alias("n"))
+    listed = lambda x: x.select("token", "node", "info").repartition("token").sortWithinPartitions("token", "node")
+    shared = listed(entry.where("not hot")).mapInArrow(_shared_only, "token long, node long, info long")
+    shared = cut(shared.union(entry.where("hot").select("token", "node", "info").distinct()))
+    # a partner of smaller l needs that many shared tokens only, so the least l among a token's nodes decides
+    ell = F.shiftright("info", 21).bitwiseAND(F.lit(_ELL).cast("long"))
+    least = shared.groupBy("token").agg(F.min(ell).alias("ell"))
+    live = cut(shared.join(least, "token").groupBy("node").agg(F.count("*").alias("c"), F.min("ell").alias("ell"), F.max(ell).alias("own")).where("c >= least(ell, own)").select("node", "c"))
+    met = cut(listed(shared.join(live.select("node"), "node", "left_semi")).mapInArrow(_meet(percent), _MET))
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("overlap").alias("overlap"))
+    pairs = pairs.where("shared >= need and shared + rest >= overlap").select("a", "b")
+    long_lists = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("rest").alias("n")).join(live, "node")
+    hubs = long_lists.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub"))
+    groups = long_lists.join(hubs, "token").groupBy("hub", "node").agg(F.first("n").alias("n"))
     pairs, groups = cut(pairs), cut(groups)
     used = groups.select("node").union(pairs.select(F.col("a").alias("node"))).union(pairs.select(F.col("b").alias("node"))).distinct()
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
