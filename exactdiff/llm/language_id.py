@@ -33,7 +33,7 @@ MAX_DOC_BYTES = 100_000
 CONTEXTS = 8_000
 #: Lengths are in this part of a bit.
 UNIT = 256
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 UND = "und"
 _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 

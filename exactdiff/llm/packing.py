@@ -43,6 +43,12 @@ WINDOW = 1 << 21
 _ROWS = 200
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, len(b), _ROWS):
+            yield b.slice(lo, _ROWS)
+
+
 def _directions() -> np.ndarray:
     return np.random.default_rng(20240607).standard_normal((FEATURES, DIMS)).astype(np.float32)
 
@@ -139,9 +145,8 @@ def hilbert_pack(docs: DataFrame, tokenizer: str | None = None, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, end)
         sequence, used, out = TaskContext.get().partitionId() << 40, 0, _Rows(ids)
-        for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                tokens = encoder.encode(t.as_py())
+        for b in _slices(batches):
+            for doc_id, tokens in zip(b.column(0).to_pylist(), encoder.encode_column(b.column(1))):
                 start = 0
                 while start < len(tokens):
                     n = min(length - used, len(tokens) - start)
@@ -233,9 +238,8 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, end)
         sequence, pieces, tokens = TaskContext.get().partitionId() << 40, [], 0
-        for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(t.as_py())
+        for b in _slices(batches):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_column(b.column(1))):
                 for start in range(0, len(ids), length):
                     pieces.append((doc_id, start, ids[start : start + length]))
                     tokens += len(pieces[-1][2])

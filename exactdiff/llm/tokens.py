@@ -1,20 +1,34 @@
 """Token ids of whole texts by a public tokenizer file, which stays where it is.
 
 The tokenizer works piece by piece between ASCII white space when its pre-tokenizer drops white space, as that of
-word_bpe_49k.json does: normalisation, splitting and merging never look across it. So each distinct piece is encoded
-once by the library and remembered; texts repeat most of their words. encode() checks on the first texts of every task
-that this gives the ids that the library gives for the whole text, and encodes whole texts if it doesn't.
+word_bpe_49k.json does: normalisation (lower case among it), splitting and merging never look across it. So each distinct
+piece is encoded once and remembered by its 64-bit hash, by every Python worker for as long as it lives, and the ids of
+a batch of texts are gathered by numpy. Pieces of Latin letters with some marks behind them, which normalisation only
+puts in lower case, go to the library's merge model directly, others through the whole tokenizer. A task compares its
+first texts, and the model's ids of its first pieces, with what the library gives, and encodes whole texts if they differ. What is remembered changes the time only, never an id, save if two
+different pieces among the REMEMBERED share a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+
+from exactdiff.llm.words import SPACED, buffers, hashed
 
-#: Pieces remembered by a task.
-REMEMBERED = 200_000
+#: Pieces that a worker remembers, some 40 bytes each; beyond that it starts anew.
+REMEMBERED = 1_200_000
+_SLOTS = 21
 _CHECKED = 3
-#: ASCII white space that str.split() would take along with other separators.
-_SPLIT = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
+_LENGTH = 20  # bits of an entry that hold how many ids a piece has
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$#&*|]*)")
+#: The characters by which byte-level models write the bytes: printable ones stand for themselves, others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def default_path() -> str:
@@ -23,42 +37,123 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Pieces:
+    """An open-addressing table from hashes to where a piece's ids lie."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(1 << _SLOTS, np.uint64)
+        self.entry = np.zeros(1 << _SLOTS, np.int64)
+        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of hashes (none is 0), and the positions of those not known."""
+        out = np.zeros(len(h), np.int64)
+        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        rest, missing = np.arange(len(h)), []
+        while len(rest):
+            there = self.hash[slot]
+            hit, empty = there == h[rest], there == 0
+            out[rest[hit]] = self.entry[slot[hit]]
+            missing.append(rest[empty])
+            on = ~(hit | empty)
+            rest, slot = rest[on], (slot[on] + 1) & (1 << _SLOTS) - 1
+        return out, np.concatenate(missing) if missing else rest
+
+    def put(self, h: np.ndarray, found: list[list[int]]) -> None:
+        """Adds different hashes, none of them known, and their ids."""
+        size = np.array([len(x) for x in found], np.int64)
+        n = int(size.sum())
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + n, np.uint32)))
+        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
+        entry = (self.used + np.cumsum(size) - size) << _LENGTH | size
+        self.used, self.known = self.used + n, self.known + len(h)
+        slot, rest = (h >> np.uint64(64 - _SLOTS)).astype(np.int64), np.arange(len(h))
+        while len(rest):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.hash[slot[first]] == 0]
+            self.hash[slot[first]], self.entry[slot[first]] = h[rest[first]], entry[rest[first]]
+            left = np.ones(len(rest), bool)
+            left[first] = False
+            rest, slot = rest[left], (slot[left] + 1) & (1 << _SLOTS) - 1
+
+
+_library: dict[str, object] = {}
+_pieces: dict[str, _Pieces] = {}
+
+
 class Encoder:
-    """encode(text): ids of the text and, behind them, the end id, as 32-bit integers."""
+    """Ids of texts and, behind each text's, the end id, as 32-bit integers."""
 
     def __init__(self, path: str, end: int) -> None:
-        from tokenizers import Tokenizer
+        if path not in _library:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.end = np.array([end], np.uint32)
-        self.known: dict[str, np.ndarray] = {}
-        self.by_piece, self.checks = True, 0
+            _library[path], _pieces[path] = Tokenizer.from_file(path), _Pieces()
+        self.path, self.library, self.model = path, _library[path], _library[path].model
+        self.end = np.uint32(end)
+        self.by_piece, self.by_model, self.checks = True, True, 0
 
     def whole(self, text: str) -> np.ndarray:
-        return np.concatenate((np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32), self.end))
-
-    def pieces(self, text: str) -> np.ndarray:
-        known = self.known
-        pieces = text.translate(_SPLIT).split(" ") if not text.isascii() else text.split()
-        try:
-            return np.concatenate([*map(known.__getitem__, pieces), self.end])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for p, x in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(x.ids, np.uint32)
-        return np.concatenate([*map(known.__getitem__, pieces), self.end])
+        return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
+
+    def _by_model(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join(map(_BYTE.__getitem__, letters.lower().encode())) if not letters.isascii() else letters.lower())]
+
+    def _learn(self, pieces: list[str]) -> list[list[int]]:
+        parts = [_PLAIN.fullmatch(p) for p in pieces]
+        marks = list(dict.fromkeys(m[2] for m in parts if m))
+        ids_of = lambda some: [x.ids for x in self.library.encode_batch(some, add_special_tokens=False)]
+        behind = dict(zip(marks, ids_of(marks)))
+        if self.checks == 0:
+            some = [m for m in parts if m][:300]
+            self.by_model = ids_of([m[0] for m in some]) == [self._by_model(m[1]) + behind[m[2]] for m in some]
+        if not self.by_model:
+            parts = [None] * len(pieces)
+        rest = iter(ids_of([p for p, m in zip(pieces, parts) if not m]))
+        return [self._by_model(m[1]) + behind[m[2]] if m else next(rest) for m in parts]
+
+    def _pieces_of(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        h, row, begin, end = hashed(raw, at, SPACED)
+        h = np.maximum(h, np.uint64(1))
+        known = _pieces[self.path]
+        entry, missing = known.find(h)
+        if len(missing):
+            if known.known > REMEMBERED:
+                known = _pieces[self.path] = _Pieces()
+                missing = np.arange(len(h))
+            new, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            whole = raw.tobytes()
+            places = list(zip(begin[first].tolist(), end[first].tolist()))
+            for lo in range(0, len(new), 20_000):
+                known.put(new[lo : lo + 20_000], self._learn([whole[a:b].decode() for a, b in places[lo : lo + 20_000]]))
+            entry, _ = known.find(h)
+        size = entry & (1 << _LENGTH) - 1
+        last = np.cumsum(size)
+        ids = known.ids[np.repeat((entry >> _LENGTH) - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        words = np.searchsorted(row, np.arange(1, len(at)))
+        ends = np.concatenate(([0], last))[words]
+        return np.split(np.insert(ids, ends, self.end), (ends + np.arange(1, len(at)))[:-1])
+
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column; null texts are empty."""
+        if not len(column):
+            return []
+        if self.by_piece:
+            out = self._pieces_of(*buffers(column))
+            for i, text in enumerate(column):
+                if self.checks >= _CHECKED:
+                    return out
+                if text.as_py():
+                    self.checks += 1
+                    if not np.array_equal(out[i], self.whole(text.as_py())):
+                        self.by_piece = False
+                        break
+            else:
+                return out
+        return [self.whole(x.as_py() or "") for x in column]
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_piece:
-            return self.whole(text)
-        ids = self.pieces(text)
-        if self.checks < _CHECKED and text:
-            self.checks += 1
-            if not np.array_equal(ids, whole := self.whole(text)):
-                self.by_piece = False
-                return whole
-        return ids
+        return self.encode_column(pa.array([text], pa.string()))[0]

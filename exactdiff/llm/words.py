@@ -1,7 +1,7 @@
 """Hashes of the words of whole texts, computed over the bytes of an Arrow string column.
 
 A word is a maximal run of bytes of a class given as a table of 256 flags; letters A-Z count as a-z.
-The work goes by numpy over blocks of about a million bytes that are cut between words, so a text of any
+The work goes by numpy over blocks of about a quarter of a million bytes that are cut between words, so a text of any
 length takes bounded memory beside its own bytes and one integer for each of its words.
 """
 
@@ -16,7 +16,7 @@ SPACED = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _U = np.uint64
 
 
