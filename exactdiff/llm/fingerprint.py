@@ -69,24 +69,23 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", kept: li
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text (null: empty), next_id, next_text: the row that follows by doc_id, after the last the first.
 
-    Rows are dealt to ranges of doc_id, whose bounds need not be exact, and followed within a range; a range's last row
-    takes the first row of the next range that has rows. Rows of one doc_id follow each other by text.
+    Rows are dealt to ranges of doc_id, whose bounds need not be exact, each together with a copy of the first row of
+    the next range, so that texts are shuffled once. Rows of one doc_id follow each other by text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 1000)).first()[0] or []
     place = F.lit(0)
     for x in sorted(set(bounds)):
         place = place + F.coalesce((F.col("doc_id") > x).cast("int"), F.lit(0))
-    w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    linked = rows.withColumn("range", place)
-    linked = linked.select("range", "doc_id", "text", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"), F.row_number().over(w).alias("row"))
-    firsts = linked.where("row = 1").select("range", "doc_id", "text")
-    order = sorted(r.range for r in rows.select(place.alias("range")).distinct().collect())
-    after = {x: order[(k + 1) % len(order)] for k, x in enumerate(order)}
-    before = F.create_map(*[F.lit(x) for a, b in after.items() for x in (b, a)])[F.col("range")] if after else F.lit(None).cast("int")
-    joint = firsts.select(before.alias("range"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    last = linked.where("next_text is null").join(joint, "range").select("doc_id", "text", F.col("first_id").alias("next_id"), F.col("first_text").alias("next_text"))
-    return linked.where("next_text is not null").select("doc_id", "text", "next_id", "next_text").union(last)
+    ranged = rows.select(place.alias("range"), F.lit(0).alias("copy"), "doc_id", "text")
+    order = sorted(r.range for r in ranged.select("range").distinct().collect())
+    if not order:
+        return rows.select("doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    before = F.create_map(*[F.lit(x) for k, at in enumerate(order) for x in (at, order[k - 1])])[F.col("range")]
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("x")).select(before.alias("range"), F.lit(1).alias("copy"), "x.doc_id", "x.text")
+    w = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    linked = ranged.union(firsts).select("copy", "doc_id", "text", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"))
+    return linked.where("copy = 0").drop("copy")
 
 
 def edited(text: Column, other: Column) -> Column:
