@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exactdiff.llm import fingerprint, language_id, licenses, mixing, nearest, ngram_join, packing, pii, quality
+from exactdiff.llm import fingerprint, language_id, licenses, mixing, nearest, ngram_join, oracle, packing, pii, quality
 from exactdiff.llm.common import table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
