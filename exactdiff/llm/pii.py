@@ -117,7 +117,6 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 RUN = 7
 _SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:plus[ ,-]{1,3})?(?:(?:[0-9]+|" + "|".join(DIGITS) + r")(?:[ ,.-]{1,3}|(?![A-Za-z0-9]))){%d,}" % RUN, re.I)
 _SPELLED_PART = re.compile(r"plus[ ,-]{1,3}|[0-9]|" + "|".join(DIGITS) + r"|[ ,.-]+", re.I)
-_SIGN_SPELLED = tuple(x for x in DIGITS if len(x) > 3)
 _AT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?: {1,3}at {1,3})|@)[A-Za-z0-9-]+(?:(?: {1,3}dot {1,3}|\.)[A-Za-z0-9-]+)+", re.I)
@@ -186,7 +185,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     alike = not text.isascii() and not _ALIKE.keys().isdisjoint(text)
     box = ("[" in text or "(" in text or "{" in text or "<" in text) and _SIGN_BOX.search(text) is not None
     low = text.lower() if not alike else ""
-    spelled = alike or sum(x in low for x in _SIGN_SPELLED) >= 2
+    spelled = alike or any(x in low for x in DIGITS)
     bare = alike or " dot " in low
     spelled = spelled and (alike or _SPELLED.search(text) is not None)
     if not (alike or box or spelled or bare):
