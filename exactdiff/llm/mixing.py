@@ -8,7 +8,8 @@ other engine, keeps the same ones.
 
 Targets are, unless given, shares in proportion to tokens to a power below 1 for each margin, which lifts small groups.
 The cells are few: as many as there are combinations of margins, whatever the number of documents; raking runs over
-that table with a windowed sum for each margin, in ROUNDS rounds, its lineage cut on the way.
+that table with a windowed sum for each margin, in ROUNDS rounds, its lineage cut on the way. Documents find their
+cell's probability by a broadcast of the cells if these are few enough, else by a shuffle.
 
 A topic, unless the table has a topic column, is read off the text's make-up: which of TOPICS classes its longer words
 fall into most, by their length and first letter. It stands in for a topic model of the caller's.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import cut
+from exactdiff.llm.common import broadcast_if_small, cut, free_name
 
 TOPICS = 4
 ROUNDS = 8
@@ -103,16 +104,14 @@ def calibrated(docs: DataFrame, rate: float = RATE, topic: str | None = None) ->
     rows = measured(docs, topic)
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     p = probabilities(cells, rate)
-    return rows.join(p.drop("weight"), ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return rows.join(broadcast_if_small(p.drop("weight")), ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
 def sample(docs: DataFrame, rate: float = RATE, topic: str | None = None) -> DataFrame:
     """The documents drawn, with all their columns."""
-    from exactdiff.llm.common import free_name
-
     p_name = free_name(docs.columns, "probability")
     keys = {m: free_name(docs.columns, f"cell_{m}") for m in ("source", "lang", "topic")}
     cells = measured(docs, topic).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     p = probabilities(cells, rate).select(*(F.col(m).alias(k) for m, k in keys.items()), F.col("probability").alias(p_name))
     own = docs.select("*", F.coalesce("source", F.lit("")).alias(keys["source"]), F.coalesce("lang", F.lit("")).alias(keys["lang"]), (F.coalesce(F.col(topic).cast("string"), F.lit("")) if topic else topic_of(F.col("text")).cast("string")).alias(keys["topic"]))
-    return own.join(p, list(keys.values())).where(uniform(F.col("doc_id")) < F.col(p_name)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.join(broadcast_if_small(p), list(keys.values())).where(uniform(F.col("doc_id")) < F.col(p_name)).select(*(F.col(f"`{c}`") for c in docs.columns))
