@@ -13,6 +13,9 @@ repeated rows keep their rows. Columns of the input stay, but for one named fing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,26 +46,34 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(*parts, F.lit("-"), F.hex(F.octet_length(form))))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", kept: list[str] | None = None) -> DataFrame:
+def semi(df: DataFrame, few: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The rows of df whose columns are those of a row of few, null being equal to null. on: df's columns to few's."""
+    names = {c: f"__few_{i}" for i, c in enumerate(on)}
+    side = broadcast_if_small(cut(few.select(*(F.col(v).alias(names[c]) for c, v in on.items())).distinct()))
+    return df.join(side, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items())), "left_semi")
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", kept: list[str] | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """keys, the columns kept, and fingerprint, for each row of texts; keys need not be unique.
 
-    Texts are read twice: for all digests, and for the bytes of those that several rows have.
+    Texts are read twice: for all digests, and for the bytes of those that several rows have. again: gives the texts, in
+    a column `text`, for rows of keys and kept; it may give more. Without it they are taken from texts.
     """
     kept = kept or []
     form = canonical(F.col(text))
     small = cut(texts.select(*keys, *kept, digest(form).alias("fingerprint")))
     many = cut(small.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
-    suspects = small.join(many, "fingerprint", "left_semi").select(*keys).distinct()
-    suspects = cut(suspects)
-    again = texts.select(*keys, text).join(broadcast_if_small(suspects), keys, "left_semi")
-    forms = again.select(form.alias("form")).select(digest(F.col("form")).alias("fingerprint"), "form").groupBy("fingerprint", "form").agg(F.count("*").alias("n"))
+    suspects = cut(small.join(broadcast_if_small(many), "fingerprint", "left_semi").select(*keys, *kept).distinct())
+    found = again(suspects) if again else semi(texts, suspects, {k: k for k in keys}).select(F.col(text).alias("text"))
+    form = canonical(F.col("text"))
+    forms = found.select(form.alias("form")).select(digest(F.col("form")).alias("fingerprint"), "form").groupBy("fingerprint", "form").agg(F.count("*").alias("n"))
     # one row for each different form; almost always one for each digest
     clashing = cut(forms.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.collect_set(F.sha2("form", 256)).alias("x")).where("forms > 1"))
     if clashing.isEmpty():
         return small
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("form"))
     numbered = forms.join(clashing.select("fingerprint"), "fingerprint", "left_semi").select("fingerprint", "form", rank.alias("k"))
-    named = texts.select(*keys, *kept, form.alias("form")).withColumn("fingerprint", digest(F.col("form"))).join(numbered, ["fingerprint", "form"], "left")
+    named = texts.select(*keys, *kept, canonical(F.col(text)).alias("form")).withColumn("fingerprint", digest(F.col("form"))).join(numbered, ["fingerprint", "form"], "left")
     return named.select(*keys, *kept, F.when(F.col("k") > 1, F.concat("fingerprint", F.lit("."), F.col("k"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
 
 

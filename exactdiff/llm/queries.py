@@ -44,12 +44,23 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = fingerprint.edited(F.col("text"), F.col("next_text"))
     each = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), new.alias("text"), F.sha2(new, 256).alias("sha")))
     texts = chained.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.explode(each).alias("x")).select("doc_id", "next_id", "n_chars", "x.kind", "x.text", "x.sha")
-    prints = fingerprint.fingerprints(texts, ["doc_id", "kind"], kept=["next_id", "n_chars", "sha"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def again(some: DataFrame) -> DataFrame:
+        """The texts and edited texts of some documents, found by their ids without ordering all documents anew."""
+        plain = fingerprint.semi(rows, some.where("kind = 0"), {"doc_id": "doc_id"}).select("text")
+        pairs = some.where("kind = 1").select("doc_id", "next_id").distinct()
+        first = fingerprint.semi(rows, pairs, {"doc_id": "doc_id"}).toDF("doc_id", "text")
+        second = fingerprint.semi(rows, pairs, {"doc_id": "next_id"}).toDF("next_id", "next_text")
+        named = pairs.toDF("a", "b").join(first, F.col("a").eqNullSafe(F.col("doc_id"))).join(second, F.col("b").eqNullSafe(F.col("next_id")))
+        return plain.union(named.select(new.alias("text")))
+
+    prints = fingerprint.fingerprints(texts, ["doc_id", "kind"], kept=["next_id", "n_chars", "sha"], again=again)
     own, changed = F.when(F.col("kind") == 0, F.col("fingerprint")), F.when(F.col("kind") == 1, F.col("fingerprint"))
-    rows = prints.groupBy("doc_id").agg(F.max("next_id").alias("next_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(own).alias("fingerprint"), F.max(changed).alias("edited_fingerprint"))
-    after = rows.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    shown = prints.groupBy("doc_id").agg(F.max("next_id").alias("next_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(own).alias("fingerprint"), F.max(changed).alias("edited_fingerprint"))
+    after = shown.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
     alike = lambda x: (F.col("fingerprint") == F.col(x)).cast("double")
-    return rows.join(after, "next_id", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
+    return shown.join(after, "next_id", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
