@@ -15,8 +15,10 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two sets lin
    a pair stays if it shares the tokens it needs and its last shared position leaves room for the overlap it needs.
    A longer list gives no pairs: its entries are tied to the list's hub, its node with most entries, and all nodes
    tied to one hub are compared in step 4, so two that share any token of a long list are compared there.
-4. Verification. Pairs are verified on whole sets; the documents of a hub in blocks of BLOCK by BLOCK through a matrix
-   product over the tokens that at least two of them have, blocks ordered by set size so that those too
+4. Verification. Parity bits come first: a set's BITS bits hold the parity of how many of its tokens fall on each, so
+   two sets differ in at least as many tokens as bits, and pairs that must differ in too many go, exactly. The others
+   are verified on whole sets. The documents of a hub are compared in blocks of BLOCK by BLOCK, by their bits and then
+   through a matrix product over the tokens that at least two of them have, blocks ordered by set size so that those too
    different in size never meet. Each block returns a spanning forest of its links, never all its pairs.
 5. Components of the links, and back from nodes to documents.
 
@@ -51,6 +53,7 @@ _COLUMNS = 4096
 LONGEST, VERIFY = 0.04, 20
 #: A token counted so many times more than the mean counter goes to its hub directly, as its list must be long.
 HOT = 6
+BITS = 1024
 _ROWS = 400
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -112,16 +115,21 @@ def _lengthen(counts: np.ndarray, n: int, percent: int, floor: float) -> int:
     return 1 + int(np.argmin(base + k + met * (1 + VERIFY / k)))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """BITS bits: bit i is whether an odd number of the set's tokens fall on i."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def named_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (the set's size), node (its name, null if empty) of each row."""
+    """doc_id, n (the set's size), node (its name, null if empty), bits (its parity bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, sets in _sets(b, width):
                 n, node = [len(s) for s in sets], [_node(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(list(map(_parity, sets)), pa.binary())], names=["doc_id", "n", "node", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bits binary")
 
 
 #: An entry's info: size of the set, 12 bits of l, 21 bits of the token's position (the last stands for any behind it).
@@ -219,8 +227,7 @@ def _meet(percent: int):
                 ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
                 behind = n - (info & _POSITION) - 1
-                overlap = -(-percent * (n[i] + n[j]) // (100 + percent))
-                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]), np.minimum(behind[i], behind[j]), overlap)
+                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]), np.minimum(behind[i], behind[j]), _needed(n[i], n[j], percent))
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*out)]
@@ -326,17 +333,65 @@ def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return some.mapInArrow(run, "node long, tokens binary")
 
 
-def _verify(percent: int):
+def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The least intersection with which sets of sizes n and m link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _unpacked(bits: pa.Array | pd.Series) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, BITS // 8), axis=1)
+
+
+def _possible(percent: int):
+    """Of pairs (a, b, n and bits of both) those whose bits leave room for a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*(batch.column(k) for k in ("a", "b", "s", "t"))):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(x.as_py())
-                    b.append(y.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if len(batch):
+                apart = (_unpacked(batch.column("s").to_pylist()) ^ _unpacked(batch.column("t").to_pylist())).sum(1, dtype=np.int64)
+                n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+                keep = pa.array(n + m - apart >= 2 * _needed(n, m, percent))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _possible_in_block(percent: int):
+    """hub, i, j, node: the nodes of a pair of blocks whose bits leave room for a link with one of the other block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        first, second = ((pdf["block"] == x).to_numpy() for x in (i, j))
+        if first.any() and second.any():
+            x, n = _unpacked(pdf["bits"]).astype(np.float32), pdf["n"].to_numpy()
+            ones = x.sum(1)
+            apart = ones[first][:, None] + ones[second][None, :] - 2 * (x[first] @ x[second].T)
+            both = n[first][:, None] + n[second][None, :]
+            ok = both - apart.astype(np.int64) >= 2 * _needed(n[first][:, None], n[second][None, :], percent)
+            if i == j:
+                np.fill_diagonal(ok, False)
+            keep = np.zeros(len(pdf), bool)
+            keep[np.flatnonzero(first)[ok.any(1)]] = True
+            keep[np.flatnonzero(second)[ok.any(0)]] = True
+        else:
+            keep = np.zeros(len(pdf), bool)
+        return pdf.loc[keep, ["hub", "node", "block", "i", "j"]]
+
+    return run
+
+
+def _verify(percent: int):
+    """The links among pairs: of each pair, two rows with its nodes a and b and one node's tokens, in any order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = {n: np.frombuffer(x, np.uint64) for n, x in zip(pdf["node"], pdf["tokens"])}
+        out = []
+        for a, b in set(zip(pdf["a"], pdf["b"])):
+            if a in sets and b in sets:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -394,15 +449,19 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     long_lists = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("rest").alias("n")).join(live, "node")
     hubs = long_lists.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub"))
     groups = long_lists.join(hubs, "token").groupBy("hub", "node").agg(F.first("n").alias("n"))
-    pairs, groups = cut(pairs), cut(groups)
-    used = groups.select("node").union(pairs.select(F.col("a").alias("node"))).union(pairs.select(F.col("b").alias("node"))).distinct()
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(named.join(used, "node", "left_semi"))
-    sets = cut(set_rows(docs, wanted, width))
-    s = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
-    t = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
-    found = pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long")
-    compared = _blocks(groups, percent).join(sets, "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+    pairs, blocks = cut(pairs), cut(_blocks(groups, percent))
+    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(blocks.select("node")).distinct()
+    named = cut(named.join(broadcast_if_small(cut(met)), "node", "left_semi"))
+    of = lambda node, n, bits: named.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
+    pairs = cut(pairs.join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long"))
+    kept = "hub long, node long, block int, i int, j int"
+    blocks = cut(blocks.join(named.select("node", "n", "bits"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
+    each = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
+    used = each.select("node").union(blocks.select("node")).distinct()
+    sets = cut(set_rows(docs, cut(named.join(used, "node", "left_semi")), width))
+    found = sets.join(broadcast_if_small(each), "node").groupBy("a", "b").applyInPandas(_verify(percent), "a long, b long")
+    compared = sets.join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
     return rows.select("doc_id", "n", "node"), found.union(compared)
 
 
