@@ -9,7 +9,8 @@ character, and listed look-alikes of other scripts) become ASCII, invisible char
 or as bare words in a chain `name at host dot name`, become @ and a full stop; runs of at least RUN digits of which some
 are spelled become digits, `plus` before such a run a plus sign. The plain detectors run over the rewritten text and
 their matches are mapped back to the source. A match is added if a disguise was undone inside it and no plain match of
-its kind overlaps it. Plain matches always stay.
+its kind covers it wholly; one that is disguised in part is so added beside the plain match of its fragment. Plain
+matches always stay.
 
 A text without a sign of a disguise is not rewritten; signs are looked for in the whole text.
 
@@ -204,7 +205,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     for kind, i, j in plain(tape[0]):
         begin, end = tape[1][i], tape[2][j - 1]
         changed = any(tape[3][i:j]) or end - begin != j - i
-        if changed and not any(k == kind and a < end and begin < b for k, a, b in known):
+        if changed and not any(k == kind and a <= begin and end <= b for k, a, b in known):
             found.append((kind, begin, end))
     return found
 

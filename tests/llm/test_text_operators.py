@@ -224,6 +224,17 @@ def test_disguises_map_back(text, kind, span):
     assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, span)]
 
 
+@pytest.mark.parametrize("span, fragment", [
+    ("jаne@example.com", "ne@example.com"), ("jane@example.cоm", "jane@example.c"), ("jane [dot] doe@example.com", "doe@example.com"), ("jane@mail.example [dot] com", "jane@mail.example"), ("jane@mail.example dot com", "jane@mail.example"),
+])
+def test_disguised_in_part_is_found_whole(span, fragment):
+    text = f"to {span}, please"
+    base, every = pii.spans(text)
+    assert [(k, text[a:b]) for k, a, b in base] == [("email", fragment)] and set(base) < set(every)
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [("email", span)]
+    assert pii.mask(text) == "to [EMAIL], please"
+
+
 def test_clean_texts_stay_clean(prose):
     for t in ["We met at noon.", "look at the red dot here", "one two three", "at example dot", "éèê – naïve", "meet me at example.com", prose(500), prose(500, "de")]:
         assert pii.spans(t) == ([], []) and pii.mask(t) == t
