@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and a search for phrases.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z. A block is a line of a text; a line of more
-than SPAN words is cut into windows of SPAN words, half of which the next window shares. A block meets a template if
-it has at least `percent` of the template's distinct words. The join is the usual filter chain, exact at each step:
+Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z. Blocks are the lines of a text, and the text
+as a whole, so that a notice that wraps over lines is met too; a line or text of more than SPAN words is cut into windows
+of SPAN words, half of which the next window shares. A block meets a template if it has at least `percent` of the
+template's distinct words. The join is the usual filter chain, exact at each step:
 
 * Global order. The templates' words are counted over all documents, rare to frequent.
 * Prefix. Of a template's n words a block must have at least `need = ceil(percent * n / 100)`, so it has one of the
@@ -98,6 +99,15 @@ def word_counts(docs: DataFrame, words: _Words) -> np.ndarray:
     return out
 
 
+def _windows(i: int, a: int, b: int) -> list[tuple[int, int]]:
+    """The blocks around word i of the words from a to b."""
+    if b - a <= SPAN:
+        return [(a, b)]
+    half = SPAN // 2
+    k = (i - a) // half
+    return [(a + half * j, min(b, a + half * j + SPAN)) for j in (k - 1, k) if j >= 0]
+
+
 class Scanner:
     """phrases and templates compiled for scanning; counts: of the words, by which templates' words are ordered."""
 
@@ -152,13 +162,7 @@ class Scanner:
             lo = max(int(at[r]), int(breaks[line - 1]) + 1 if line else 0)
             hi = min(int(at[r + 1]), int(breaks[line]) if line < len(breaks) else len(raw))
             a, b = int(np.searchsorted(begin, lo)), int(np.searchsorted(begin, hi))
-            if b - a <= SPAN:
-                windows = [(a, b)]
-            else:
-                half = SPAN // 2
-                k = (i - a) // half
-                windows = [(a + half * j, min(b, a + half * j + SPAN)) for j in (k - 1, k) if j >= 0]
-            for block in windows:
+            for block in [*_windows(i, a, b), *_windows(i, int(first[r]), int(first[r + 1]))]:
                 if block in done:
                     continue
                 done.add(block)

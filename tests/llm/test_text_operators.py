@@ -193,6 +193,21 @@ def test_licenses(table, prose, odd):
     assert licenses.scan(table([])).count() == 0
 
 
+def test_wrapped_notices(table, prose):
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows, want = [], {}
+    for n in (5, 12):
+        for mark in ("", " * "):
+            for before in (0, 3, 30, 61, 95, 200):
+                for t, label in licenses.TEMPLATES.items():
+                    want[len(rows)] = label
+                    rows.append((len(rows), prose(before, punctuation=False) + "\n" + wrap(t, n, mark) + "\n" + prose(70)))
+    rows += [(len(rows), "Licensed under the Apache\nLicense, Version 2.0"), (len(rows) + 1, "Licensed under CC BY 4.0\nLicensed under CC BY-SA\n4.0"), (len(rows) + 2, "not licensed\nunder any\npublic license")]
+    found = {x.doc_id: x for x in licenses.scan(table(rows)).collect()}
+    assert all(want[i] in found[i].labels.split(",") and found[i].score >= 0.9 for i in want)
+    assert [found[len(want) + k].labels for k in range(3)] == ["apache-2.0", "cc-by,cc-by-4.0,cc-by-sa-4.0", ""]
+
+
 # ---- personal data
 
 
