@@ -6,9 +6,10 @@ test (parts of an address, digits and Luhn's sum of a card, digits of a phone nu
 Disguises are undone by transducers, which rewrite a text and keep for each rewritten character the source characters
 that it stands for. They compose in this order: look-alike letters and digits (whatever Unicode maps to one ASCII
 character, and listed look-alikes of other scripts) become ASCII, invisible characters go; `at` and `dot` in brackets,
-or as bare words in a chain `name at host dot name`, become @ and a full stop; runs of at least RUN digits of which some
-are spelled become digits, `plus` before such a run a plus sign. The plain detectors run over the rewritten text and
-their matches are mapped back to the source. A match is added if a disguise was undone inside it and no plain match of
+or as bare words in a chain `name at host dot name`, become @ and a full stop; a bare `dot` between four or more numbers
+becomes a full stop. Then runs of at least RUN digits, counted after undoing, become digits if some are spelled or
+`plus` begins them, and `plus` a plus sign: once with the separators as they stand, and once, if the run has RUN groups
+or begins with `plus`, without them. The plain detectors run over each of the rewritten texts, and their matches are mapped back to the source. A match is added if a disguise was undone inside it and no plain match of
 its kind covers it wholly; one that is disguised in part is so added beside the plain match of its fragment. Plain
 matches always stay.
 
@@ -116,8 +117,15 @@ _SIGN_ALIKE = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "]")
 #: Names of the digits. Fixed values.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 RUN = 7
-_SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:plus[ ,-]{1,3})?(?:(?:[0-9]+|" + "|".join(DIGITS) + r")(?:[ ,.-]{1,3}|(?![A-Za-z0-9]))){%d,}" % RUN, re.I)
-_SPELLED_PART = re.compile(r"plus[ ,-]{1,3}|[0-9]|" + "|".join(DIGITS) + r"|[ ,.-]+", re.I)
+_NAME = "(?:" + "|".join(DIGITS) + ")"
+_GROUP = f"(?:[0-9]++|{_NAME})(?![A-Za-z0-9])"
+_PLUS = r"plus[ ,.(-]{1,3}"
+_RUN = r"(?<![A-Za-z0-9])(?:%s%s|%s%s%s)(?:%s%s)*+"
+_SPELLED, _CLOSED = (re.compile(_RUN % (_PLUS, _GROUP, _GROUP, by, _GROUP, by, _GROUP), re.I) for by in ("[ ,.()-]{1,4}", "[ ,.-]{1,3}"))
+_SPELLED_PART = re.compile(rf"{_PLUS}|[0-9]+|{_NAME}|[ ,.()-]+", re.I)
+_NUMBER = rf"(?:[0-9]++|{_NAME}(?:[ -]{{1,3}}{_NAME}){{0,2}})(?![A-Za-z0-9])"
+_DOTTED = re.compile(rf"(?<![A-Za-z0-9]){_NUMBER}(?:(?: {{1,3}}dot {{1,3}}|\.){_NUMBER}){{3,}}", re.I)
+_DOTTED_PART = re.compile(rf" {{1,3}}dot {{1,3}}|[ -]+|{_NAME}", re.I)
 _AT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?: {1,3}at {1,3})|@)[A-Za-z0-9-]+(?:(?: {1,3}dot {1,3}|\.)[A-Za-z0-9-]+)+", re.I)
@@ -167,18 +175,34 @@ def _bare(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else "."
 
 
-def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _SPELLED.finditer(text):
-        if not re.search("[A-Za-z]", m[0]):
+def _dotted(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _DOTTED.finditer(text):
+        if not re.search("[A-Za-z]", m[0]) or not re.search("[0-9]| dot ", m[0], re.I):
             continue
-        parts = list(_SPELLED_PART.finditer(m[0]))
-        while parts and re.fullmatch("[ ,.-]+", parts[-1][0]):
-            parts.pop()
-        for p in parts:
-            word = p[0].lower()
-            by = "+" if word.startswith("plus") else DIGITS.get(word, word if word.isdigit() else "")
-            if by != p[0]:
-                yield m.start() + p.start(), m.start() + p.end(), by
+        for p in _DOTTED_PART.finditer(m[0]):
+            word = p[0].lower().strip(" ")
+            yield m.start() + p.start(), m.start() + p.end(), "." if word == "dot" else DIGITS.get(word, "")
+
+
+def _spelled(closed: bool):
+    """Edits that make digits of runs; closed: without separators, of runs of RUN groups or behind a plus only."""
+
+    def edits(text: str) -> Iterator[tuple[int, int, str]]:
+        for m in (_CLOSED if closed else _SPELLED).finditer(text):
+            if not re.search("[A-Za-z]", m[0]):
+                continue
+            parts = [(p.start(), p.end(), p[0].lower()) for p in _SPELLED_PART.finditer(m[0])]
+            groups = [x for _, _, x in parts if x.isdigit() or x in DIGITS]
+            if sum(len(x) if x.isdigit() else 1 for x in groups) < RUN:
+                continue
+            if closed and len(groups) < RUN and not parts[0][2].startswith("plus"):
+                continue
+            for a, b, word in parts:
+                by = "+" if word.startswith("plus") else DIGITS.get(word, "")
+                if by or closed and not word.isdigit():
+                    yield m.start() + a, m.start() + b, by
+
+    return edits
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
@@ -186,10 +210,11 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     alike = not text.isascii() and not _ALIKE.keys().isdisjoint(text)
     box = ("[" in text or "(" in text or "{" in text or "<" in text) and _SIGN_BOX.search(text) is not None
     low = text.lower() if not alike else ""
-    spelled = alike or any(x in low for x in DIGITS)
+    named = alike or "plus" in low or any(x in low for x in DIGITS)
     bare = alike or " dot " in low
-    spelled = spelled and (alike or _SPELLED.search(text) is not None)
-    if not (alike or box or spelled or bare):
+    dotted = alike or box or (bare or named) and next(_dotted(text), None) is not None
+    spelled = named and (alike or next(_spelled(False)(text), None) is not None)
+    if not (alike or box or spelled or bare or dotted):
         return []
     tape: Tape = (text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
     if alike:
@@ -199,15 +224,17 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         tape = _rewrite(tape, _boxed(_DOT_BOXED, ".")(tape[0]))
     if bare or box:
         tape = _rewrite(tape, _bare(tape[0]))
-    if spelled:
-        tape = _rewrite(tape, _spelled(tape[0]))
-    found = []
-    for kind, i, j in plain(tape[0]):
-        begin, end = tape[1][i], tape[2][j - 1]
-        changed = any(tape[3][i:j]) or end - begin != j - i
-        if changed and not any(k == kind and a <= begin and end <= b for k, a, b in known):
-            found.append((kind, begin, end))
-    return found
+    if dotted:
+        tape = _rewrite(tape, _dotted(tape[0]))
+    tapes = [tape, *(_rewrite(tape, _spelled(closed)(tape[0])) for closed in (False, True))] if spelled else [tape]
+    found = set()
+    for rewritten, begins, ends, new in tapes:
+        for kind, i, j in plain(rewritten):
+            begin, end = begins[i], ends[j - 1]
+            changed = any(new[i:j]) or end - begin != j - i
+            if changed and not any(k == kind and a <= begin and end <= b for k, a, b in known):
+                found.add((kind, begin, end))
+    return [x for x in found if not any(x != y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)]
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

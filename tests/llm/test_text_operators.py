@@ -250,6 +250,30 @@ def test_disguised_in_part_is_found_whole(span, fragment):
     assert pii.mask(text) == "to [EMAIL], please"
 
 
+@pytest.mark.parametrize("span, kind", [
+    ("plus one 415 555 2671", "phone"), ("plus 14155552671", "phone"), ("plus 49 30 1234567", "phone"), ("+1 415 555 26 seven one", "phone"), ("+1 (415) 555 two six seven one", "phone"), ("plus one, 415, 555, 2671", "phone"),
+    ("4111 1111 1111 111 one", "card"), ("four 111-1111-1111-1111", "card"),
+    ("192 dot 168 dot 0 dot 1", "ip"), ("one nine two dot 168 dot zero dot one", "ip"), ("10.0.0.one", "ip"), ("192 [dot] 168 dot 0.1", "ip"),
+])
+def test_mixed_digits_map_back(span, kind):
+    for before, after in (("see ", ", ok"), ("", ""), ("éèê ", " - 3 of it")):
+        text = before + span + after
+        found = {(k, text[a:b]) for k, a, b in pii.spans(text)[1]}
+        assert any(k == kind and x.startswith(span) for k, x in found), found
+    assert pii.mask(f"see {span}, ok") == f"see [{kind.upper()}], ok"
+
+
+def test_what_stands_behind_a_run_hides_nothing():
+    for span, kind in [("four one one one 1111 1111 one one one one", "card"), ("4111 1111 1111 111 one", "card"), ("plus four four two oh seven nine four six oh nine five eight", "phone"), ("plus 14155552671", "phone")]:
+        for after in (" (12)", ". 12", ", 2024", " for 12"):
+            assert any(k == kind and a <= 4 and b >= 4 + len(span) for k, a, b in pii.spans(f"see {span}{after}")[1]), (span, after)
+
+
+def test_numbers_beside_words_stay_clean():
+    for t in ["one 2024-05-12 and two 12345678", "five plus 1234 is", "one.two.three.four", "red dot blue dot 1 dot 2", "chapter one. 12, 13, 14, 15, 16", "surplus 14155552671"]:
+        assert pii.spans(t) == ([], [])
+
+
 def test_clean_texts_stay_clean(prose):
     for t in ["We met at noon.", "look at the red dot here", "one two three", "at example dot", "éèê – naïve", "meet me at example.com", prose(500), prose(500, "de")]:
         assert pii.spans(t) == ([], []) and pii.mask(t) == t
