@@ -24,7 +24,7 @@ from exactdiff.llm.words import SPACED, buffers, hashed
 REMEMBERED = 1_200_000
 _SLOTS = 21
 _CHECKED = 3
-_LENGTH = 20  # bits of an entry that hold how many ids a piece has
+_LENGTH = 31  # bits of an entry that hold how many ids a piece has; a text has fewer bytes
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$#&*|]*)")
 #: The characters by which byte-level models write the bytes: printable ones stand for themselves, others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -63,6 +63,8 @@ class _Pieces:
         """Adds different hashes, none of them known, and their ids."""
         size = np.array([len(x) for x in found], np.int64)
         n = int(size.sum())
+        if n and (int(size.max()) >> _LENGTH or self.used + n >> 63 - _LENGTH):
+            raise OverflowError(f"{n} ids behind {self.used} do not fit into entries")
         if self.used + n > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + n, np.uint32)))
         self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)

@@ -34,6 +34,15 @@ def test_forgetting_pieces_changes_nothing(ids, monkeypatch, prose):
         assert e.encode(t).tolist() == ids(t)
 
 
+def test_a_piece_of_any_length_keeps_its_ids(ids):
+    long = "7" * 1_048_581
+    texts = ["one", "two", "three", f"before {long} behind"]
+    e = Encoder(default_path(), 2)
+    found = e.encode_column(pa.array(texts))
+    assert e.by_piece and len(found[3]) > 1 << 20
+    assert [x.tolist() for x in found] == [ids(t) for t in texts]
+
+
 def test_hilbert_key_is_a_curve():
     for dims, bits in ((2, 4), (3, 3)):
         side = 1 << bits
