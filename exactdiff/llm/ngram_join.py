@@ -13,29 +13,37 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two sets lin
    A node that keeps fewer entries than its l has no partner of the same or a larger l, so it goes unless a node of a
    smaller l shares a token with it. The rest are listed again. A short list gives pairs that pass the length filter;
    a pair stays if it shares the tokens it needs and its last shared position leaves room for the overlap it needs.
-   A longer list gives no pairs: its entries are tied to the list's hub, its node with most entries, and all nodes
-   tied to one hub are compared in step 4, so two that share any token of a long list are compared there.
-4. Verification. Parity bits come first: a set's BITS bits hold the parity of how many of its tokens fall on each, so
-   two sets differ in at least as many tokens as bits, and pairs that must differ in too many go, exactly. The others
-   are verified on whole sets. The documents of a hub are compared in blocks of BLOCK by BLOCK, by their bits and then
-   through a matrix product over the tokens that at least two of them have, blocks ordered by set size so that those too
-   different in size never meet. Each block returns a spanning forest of its links, never all its pairs.
+   A list of more than SHORT entries gives no pairs and is never dealt to one task: its entries are tied to the list's
+   hub, its node with most entries, and two nodes that are tied to one hub may link.
+4. Verification. Parity bits come first: bit i holds the parity of how many of a set's tokens fall on it, so two sets
+   differ in at least as many tokens as bits, and pairs that must differ in too many go, exactly. A set has about as
+   many bits as tokens, so few pairs that do not link pass. Those that do are verified on whole sets, where a set is
+   shipped once for each pair and the set that most of some pairs have in common once for them all.
+   A hub gets some PIVOTS pivots. Each of its nodes is paired with the pivot whose bits are nearest, so that a group of
+   near copies of any size takes rows in proportion to its nodes. What that leaves apart is compared in full: the nodes
+   outside the hub's largest component with all nodes of the hub, in blocks of BLOCK by BLOCK, ordered by set size so
+   that blocks of sets too different in size never meet, by their bits and then through a matrix product over the
+   tokens that at least two of them have. Each block returns a spanning forest of its links. That is quadratic only in
+   the nodes that stay apart from their hub's largest component, as where many texts that do not link are made of the
+   same frequent passages.
 5. Components of the links, and back from nodes to documents.
 
 Defined cases: null or wordless text has the empty set and links with nothing, other empty sets included; fewer words
 than the width make one shingle of the whole sequence; equal sets link; repeated rows count as documents of their own;
 an empty table gives an empty result. Other columns of the input are not looked at, whatever their names.
-Nodes are named by a 64-bit hash of their set: among 10**9 different sets one clash is expected with a chance of 3 %.
+Shingles are told apart by 64-bit hashes, and nodes by 63-bit hashes of their sets, which are not compared: among 10**9
+different sets two share a name with a chance of 5 %, and would count as equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exactdiff.llm.common import broadcast_if_small, cut
@@ -47,12 +55,17 @@ _PART = 1 << 14
 #: Lists of more entries give hub groups instead of pairs.
 SHORT = 8
 BLOCK = 512
+#: Pivots of a hub, about, and the nodes that one task compares with them.
+PIVOTS, CHUNK = 16, 2048
+#: Tokens of sets that are verified together against one set, about.
+TOGETHER = 1 << 20
 #: Tokens of a block's matrix at a time.
 _COLUMNS = 4096
 #: The largest l as a part of the set, and what a verification costs in list entries.
 LONGEST, VERIFY = 0.04, 20
 #: A token counted so many times more than the mean counter goes to its hub directly, as its list must be long.
 HOT = 6
+#: Parity bits of a set: the power of two from its size on, but so many at least.
 BITS = 1024
 _ROWS = 400
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -116,8 +129,17 @@ def _lengthen(counts: np.ndarray, n: int, percent: int, floor: float) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """BITS bits: bit i is whether an odd number of the set's tokens fall on i."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Bit i is whether an odd number of the set's tokens fall on i."""
+    n = max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
+    return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parity bits, as 64-bit words, over fewer bits: those of the same sets."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def named_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -200,77 +222,34 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:3]], names=["token", "node", "info"])
 
 
-_MET = "kind int, a long, b long, need int, rest long, overlap long"
+_MET = "a long, b long, need int, rest long, overlap long"
 
 
 def _meet(percent: int):
-    """Over entries sorted by token and node: pairs of short lists (kind 0: two nodes, the prefix tokens they must share,
-    what either has behind this token at most, the overlap they must have), entries of long ones (kind 1: token, node)."""
+    """Over entries sorted by token and node, SHORT of a token at most: of each pair of a token's nodes whose sizes allow
+    a link, the prefix tokens that they must share, what either has behind this token at most, the overlap they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        held: tuple[np.ndarray, ...] | None = None  # entries of the last token seen, SHORT at most
-        long_token, last = None, None  # a token whose list is long, and its last node
-
-        def emit(kind: int, a: np.ndarray, b: np.ndarray, need: np.ndarray, rest: np.ndarray, overlap: np.ndarray) -> None:
-            out.append((np.full(len(a), kind, np.int32), a, b, need.astype(np.int32), rest, overlap))
-
-        def entries(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> None:
-            emit(1, token, node, np.zeros(len(token)), _size(info), np.zeros(len(token), np.int64))
-
-        def close(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> None:
-            if len(token) > SHORT:
-                entries(token, node, info)
-            elif len(token) > 1:
-                i, j = np.triu_indices(len(node), 1)
-                n, ell = _size(info), _ell(info)
-                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        held: list[np.ndarray] = []  # entries of the last token seen
+        for batch in chain(batches, [None]):
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info")] if batch is not None else [x[:0] for x in held]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not cols or not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if batch is not None else len(cols[0])
+            held = [x[last:] for x in cols]
+            token, node, info = (x[:last] for x in cols)
+            size, ell, behind = _size(info), _ell(info), _size(info) - (info & _POSITION) - 1
+            for step in range(1, SHORT):
+                i = np.flatnonzero(token[step:] == token[:-step])
+                if not len(i):
+                    break
+                j = i + step
+                ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
                 i, j = i[ok], j[ok]
-                behind = n - (info & _POSITION) - 1
-                emit(0, node[i], node[j], np.minimum(ell[i], ell[j]), np.minimum(behind[i], behind[j]), _needed(n[i], n[j], percent))
-
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*out)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "need", "rest", "overlap"])
-
-        for batch in batches:
-            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
-            if held is not None:
-                cols = tuple(np.concatenate(x) for x in zip(held, cols))
-            token, node = cols[:2]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            if long_token is not None and len(token) and token[0] == long_token and node[0] == last:
-                new[0] = False
-            cols = tuple(x[new] for x in cols)
-            token = cols[0]
-            if long_token is not None:
-                same = int(np.searchsorted(token, long_token, side="right"))
-                if same:
-                    entries(*(x[:same] for x in cols))
-                    last = int(cols[1][same - 1])
-                    cols = tuple(x[same:] for x in cols)
-                    token = cols[0]
-                if len(token):
-                    long_token = last = None
-            if len(token):
-                begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                size = np.diff(np.concatenate((begin, [len(token)])))
-                for k in np.flatnonzero(size[:-1] > 1):
-                    close(*(x[begin[k] : begin[k] + size[k]] for x in cols))
-                held = tuple(x[begin[-1] :] for x in cols)
-                if size[-1] > SHORT:
-                    entries(*held)
-                    long_token, last, held = int(held[0][0]), int(held[1][-1]), None
-            else:
-                held = None
-            if out:
-                yield flush()
-        if held is not None:
-            close(*held)
-        if out:
-            yield flush()
+                found = node[i], node[j], np.minimum(ell[i], ell[j]).astype(np.int32), np.minimum(behind[i], behind[j]), _needed(size[i], size[j], percent)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "need", "rest", "overlap"])
 
     return run
 
@@ -338,8 +317,8 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _unpacked(bits: pa.Array | pd.Series) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, BITS // 8), axis=1)
+def _words(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, np.uint64)
 
 
 def _possible(percent: int):
@@ -348,54 +327,107 @@ def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                apart = (_unpacked(batch.column("s").to_pylist()) ^ _unpacked(batch.column("t").to_pylist())).sum(1, dtype=np.int64)
+                apart = []
+                for s, t in zip(batch.column("s"), batch.column("t")):
+                    x, y = _words(s.as_buffer()), _words(t.as_buffer())
+                    size = min(len(x), len(y))
+                    apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
                 n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-                keep = pa.array(n + m - apart >= 2 * _needed(n, m, percent))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+                keep = pa.array(n + m - np.array(apart) >= 2 * _needed(n, m, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in ("a", "b", "n", "m")], names=["a", "b", "n", "m"])
+
+    return run
+
+
+def _apart(first: pd.Series, second: pd.Series) -> np.ndarray:
+    """How many tokens the sets of any two rows differ in at least, by their bits."""
+    out = np.zeros((len(first), len(second)), np.int64)
+    lengths = [s.map(len).to_numpy() // 8 for s in (first, second)]
+    for a in np.unique(lengths[0]):
+        for b in np.unique(lengths[1]):
+            i, j = np.flatnonzero(lengths[0] == a), np.flatnonzero(lengths[1] == b)
+            x, y = (_folded(_words(b"".join(s.iloc[k])).reshape(len(k), -1), min(a, b)) for s, k in ((first, i), (second, j)))
+            for k, row in zip(i, x):
+                out[k, j] = np.bitwise_count(y ^ row).sum(1, dtype=np.int64)
+    return out
+
+
+def _room(first: pd.DataFrame, second: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether bits leave room for a link between any two rows, and how far they are apart at least."""
+    apart = _apart(first["bits"], second["bits"])
+    n, m = first["n"].to_numpy()[:, None], second["n"].to_numpy()[None, :]
+    return (n + m - apart >= 2 * _needed(n, m, percent)) & (first["node"].to_numpy()[:, None] != second["node"].to_numpy()[None, :]), apart
+
+
+def _to_pivots(percent: int):
+    """Pairs of a chunk of a hub's nodes with pivots: each node with the nearest, and pivots with one another."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pivots, members = pdf[pdf["pivot"]], pdf[~pdf["pivot"]]
+        if not len(pivots) or not len(members):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        room, apart = _room(members, pivots, percent)
+        far = np.where(room, apart, np.iinfo(np.int64).max)
+        keep = np.zeros_like(room)
+        keep[np.arange(len(members)), far.argmin(1)] = True
+        keep |= np.isin(members["node"].to_numpy(), pivots["node"].to_numpy())[:, None]
+        i, j = np.nonzero(keep & room)
+        a, b = members["node"].to_numpy()[i], pivots["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
 def _possible_in_block(percent: int):
-    """hub, i, j, node: the nodes of a pair of blocks whose bits leave room for a link with one of the other block."""
+    """hub, node, block, i, j: the nodes of a pair of blocks whose bits leave room for a link with one of the other block
+    that lies in another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         first, second = ((pdf["block"] == x).to_numpy() for x in (i, j))
+        keep = np.zeros(len(pdf), bool)
         if first.any() and second.any():
-            x, n = _unpacked(pdf["bits"]).astype(np.float32), pdf["n"].to_numpy()
-            ones = x.sum(1)
-            apart = ones[first][:, None] + ones[second][None, :] - 2 * (x[first] @ x[second].T)
-            both = n[first][:, None] + n[second][None, :]
-            ok = both - apart.astype(np.int64) >= 2 * _needed(n[first][:, None], n[second][None, :], percent)
-            if i == j:
-                np.fill_diagonal(ok, False)
-            keep = np.zeros(len(pdf), bool)
+            ok = _room(pdf[first], pdf[second], percent)[0] & (pdf["component"].to_numpy()[first][:, None] != pdf["component"].to_numpy()[second][None, :])
             keep[np.flatnonzero(first)[ok.any(1)]] = True
             keep[np.flatnonzero(second)[ok.any(0)]] = True
-        else:
-            keep = np.zeros(len(pdf), bool)
         return pdf.loc[keep, ["hub", "node", "block", "i", "j"]]
 
     return run
 
 
 def _verify(percent: int):
-    """The links among pairs: of each pair, two rows with its nodes a and b and one node's tokens, in any order."""
+    """The links between one set, of the row whose leaf is the center itself, and others."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {n: np.frombuffer(x, np.uint64) for n, x in zip(pdf["node"], pdf["tokens"])}
+        center = (pdf["leaf"] == pdf["center"]).to_numpy()
         out = []
-        for a, b in set(zip(pdf["a"], pdf["b"])):
-            if a in sets and b in sets:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    out.append((a, b))
+        if center.any():
+            whole = np.frombuffer(pdf["tokens"][center].iloc[0], np.uint64)
+            for leaf, raw in zip(pdf["leaf"][~center], pdf["tokens"][~center]):
+                s = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
+                both = int((whole[at] == s).sum())
+                if 100 * both >= percent * (len(whole) + len(s) - both):
+                    out.append((int(pdf["center"].iloc[0]), leaf))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n, m) that link, as a and b. Pairs are dealt by the node of them that has more pairs, and its
+    pairs again into parts of about TOGETHER tokens."""
+    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")))
+    of = lambda node, name: broadcast_if_small(degree.select(F.col("node").alias(node), F.col("pairs").alias(name)))
+    first = F.struct("x", "a") >= F.struct("y", "b")
+    named = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("center"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("n"))
+    named = cut(named)
+    parts = named.groupBy("center").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts"))
+    dealt = cut(named.join(broadcast_if_small(cut(parts)), "center").select("center", "leaf", F.pmod(F.xxhash64("leaf"), "parts").cast("int").alias("part")))
+    wanted = dealt.select(F.col("leaf").alias("node"), "center", "part", "leaf").union(dealt.select(F.col("center").alias("node"), "center", "part", F.col("center").alias("leaf")).distinct())
+    return sets.join(broadcast_if_small(wanted), "node").select("center", "part", "leaf", "tokens").groupBy("center", "part").applyInPandas(_verify(percent), "a long, b long")
+
+
 def _compare(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -409,29 +441,49 @@ def _compare(percent: int):
     return run
 
 
+def _pivot_pairs(groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node of a hub with one of the hub's pivots, where bits leave room for a link. groups: hub, node."""
+    sizes = cut(groups.groupBy("hub").agg(F.count("*").alias("c")))
+    dealt = groups.join(broadcast_if_small(sizes), "hub").withColumn("chunks", F.ceil(F.col("c") / CHUNK))
+    pivot = (F.pmod(F.xxhash64(F.lit(1), "node"), F.col("c")) < PIVOTS) | (F.col("node") == F.col("hub"))
+    members = dealt.select("hub", "node", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(False).alias("pivot"))
+    pivots = dealt.where(pivot).select("hub", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
+    return members.union(pivots).join(named.select("node", "n", "bits"), "node").groupBy("hub", "chunk").applyInPandas(_to_pivots(percent), "a long, b long")
+
+
 def _blocks(groups: DataFrame, percent: int) -> DataFrame:
-    """hub, node, block, i, j: a row for each pair of blocks (i <= j) of a hub that a node takes part in. groups: hub,
-    node, n. Blocks are ranges of set size that hold about BLOCK nodes: equal sizes are dealt by hash."""
-    sizes = groups.groupBy("hub", "n").agg(F.count("*").alias("c"))
+    """hub, node, component, block, i, j: a row for each pair of blocks (i <= j) of a hub that a node takes part in.
+    groups: hub, node, n, component and open, whether the node lies outside the hub's largest component; two blocks
+    without such nodes do not meet. Blocks are ranges of set size that hold about BLOCK nodes: equal sizes are dealt by
+    hash; those of open nodes have odd numbers."""
+    sizes = groups.groupBy("hub", "open", "n").agg(F.count("*").alias("c"))
     # every size of a hub is one row here, so that a hub of any number of documents has few rows to order
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("hub").orderBy("n")
+    w = Window.partitionBy("hub", "open").orderBy("n")
     first = F.floor(F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / BLOCK)
     last = F.floor((F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK)
-    spread = sizes.select("hub", "n", first.alias("first"), last.alias("last"))
-    dealt = groups.join(spread, ["hub", "n"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1)).cast("int"))
+    spread = sizes.select("hub", "open", "n", first.alias("first"), last.alias("last"))
+    number = F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1)
+    dealt = groups.join(spread, ["hub", "open", "n"]).withColumn("block", (2 * number + F.col("open").cast("int")).cast("int"))
     ranges = dealt.groupBy("hub", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = ranges.select("hub", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    # a hub has at most ceil(nodes / BLOCK) blocks; those of which no two sets can link drop out
-    meet = ranges.join(other, "hub").where(f"100 * least(high, high2) >= {percent} * greatest(low, low2)")
+    # a hub has few blocks; those of which no two sets can link drop out
+    meet = ranges.join(other, "hub").where(f"(block % 2 = 1 or other % 2 = 1) and 100 * least(high, high2) >= {percent} * greatest(low, low2)")
     meet = meet.select("hub", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
-    return dealt.join(meet, ["hub", "block"]).select("hub", "node", "block", "i", "j")
+    return dealt.join(meet, ["hub", "block"]).select("hub", "node", "component", "block", "i", "j")
+
+
+def _apart_in_hubs(groups: DataFrame, tied: DataFrame) -> DataFrame:
+    """groups' rows of hubs with nodes of several components, with component and open."""
+    labelled = cut(groups.join(tied, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("component")))
+    each = labelled.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    several = each.groupBy("hub").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1")
+    several = broadcast_if_small(cut(several.select("hub", F.col("most.component").alias("largest"))))
+    return labelled.join(several, "hub").select("hub", "node", "n", "component", (F.col("component") != F.col("largest")).alias("open"))
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their nodes (doc_id, n, node), and links between nodes (a, b) that connect whatever links.
-    docs: doc_id, text; any further columns are left out."""
+    """The documents with their nodes (doc_id, n, node), and for each node that links with another its component among
+    nodes (node, component). docs: doc_id, text; any further columns are left out."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counters = count_tokens(docs, width)
     rows = cut(named_sets(docs, width))
@@ -442,33 +494,40 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     # a partner of smaller l needs that many shared tokens only, so the least l among a token's nodes decides
     ell = F.shiftright("info", 21).bitwiseAND(F.lit(_ELL).cast("long"))
     least = shared.groupBy("token").agg(F.min(ell).alias("ell"))
-    live = cut(shared.join(least, "token").groupBy("node").agg(F.count("*").alias("c"), F.min("ell").alias("ell"), F.max(ell).alias("own")).where("c >= least(ell, own)").select("node", "c"))
-    met = cut(listed(shared.join(live.select("node"), "node", "left_semi")).mapInArrow(_meet(percent), _MET))
-    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("overlap").alias("overlap"))
-    pairs = pairs.where("shared >= need and shared + rest >= overlap").select("a", "b")
-    long_lists = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("rest").alias("n")).join(live, "node")
-    hubs = long_lists.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub"))
-    groups = long_lists.join(hubs, "token").groupBy("hub", "node").agg(F.first("n").alias("n"))
-    pairs, blocks = cut(pairs), cut(_blocks(groups, percent))
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(blocks.select("node")).distinct()
-    named = cut(named.join(broadcast_if_small(cut(met)), "node", "left_semi"))
+    live = shared.join(least, "token").groupBy("node").agg(F.count("*").alias("c"), F.min("ell").alias("ell"), F.max(ell).alias("own")).where("c >= least(ell, own)").select("node", "c")
+    live = cut(shared.join(live, "node"))
+    long_lists = live.groupBy("token").agg(F.count("*").alias("entries"), F.max(F.struct("c", "node")).alias("x")).where(F.col("entries") > SHORT)
+    long_lists = broadcast_if_small(cut(long_lists.select("token", F.col("x.node").alias("hub"))))
+    pairs = listed(live.join(long_lists, "token", "left_anti")).mapInArrow(_meet(percent), _MET)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("overlap").alias("overlap"))
+    pairs = cut(pairs.where("shared >= need and shared + rest >= overlap").select("a", "b"))
+    groups = cut(live.join(long_lists, "token").groupBy("hub", "node").agg(F.first(F.shiftright("info", 33)).alias("n")))
+    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct())
+    named = rows.where("node is not null").join(broadcast_if_small(met), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    named = cut(named)
     of = lambda node, n, bits: named.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
-    pairs = cut(pairs.join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long"))
-    kept = "hub long, node long, block int, i int, j int"
-    blocks = cut(blocks.join(named.select("node", "n", "bits"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
-    each = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
-    used = each.select("node").union(blocks.select("node")).distinct()
-    sets = cut(set_rows(docs, cut(named.join(used, "node", "left_semi")), width))
-    found = sets.join(broadcast_if_small(each), "node").groupBy("a", "b").applyInPandas(_verify(percent), "a long, b long")
-    compared = sets.join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
-    return rows.select("doc_id", "n", "node"), found.union(compared)
+    pairs = pairs.union(_pivot_pairs(groups.select("hub", "node"), named, percent)).distinct()
+    pairs = cut(pairs.join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long"))
+    found = cut(_verified(pairs, _sets_of(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("node")), width), percent))
+    tied = cut(connected_components(found))
+    blocks = cut(_blocks(_apart_in_hubs(groups, tied), percent))
+    if not blocks.isEmpty():
+        kept = "hub long, node long, block int, i int, j int"
+        blocks = cut(blocks.join(named.select("node", "n", "bits"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
+        compared = _sets_of(docs, named, blocks.select("node"), width).join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+        more = cut(compared)
+        if not more.isEmpty():
+            tied = connected_components(found.union(more))
+    return rows.select("doc_id", "n", "node"), tied
+
+
+def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    return cut(set_rows(docs, cut(named.join(broadcast_if_small(cut(nodes.distinct())), "node", "left_semi").select("node", "doc_id")), width))
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that is reachable by links, itself included) of each row."""
-    rows, linked = links(docs, width, percent)
-    tied = connected_components(linked)
+    rows, tied = links(docs, width, percent)
     of_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = of_node.join(tied, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     low = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
