@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in lower:
         wanted = f"_{wanted}"
     return wanted
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it has
+        pass

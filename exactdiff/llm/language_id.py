@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exactdiff.llm.common import release
 from exactdiff.llm.words import buffers
 
 SAMPLE_BYTES = 1_000_000
@@ -142,7 +143,8 @@ def fit(texts: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model:
     for context, p in order3:
         row[context // k**2, context // k % k, context % k] = len(rows)
         rows.append(p)
-    cost = np.clip(np.rint(-np.log2(np.maximum(np.stack(rows), 2.0**-60)) * UNIT), 1, 65535).astype(np.uint16)
+    # a row at a time: all of them as floating-point numbers would be the driver's largest array
+    cost = np.stack([np.clip(np.rint(-np.log2(np.maximum(p, 2.0**-60)) * UNIT), 1, 65535).astype(np.uint16) for p in rows])
     return Model(languages, code, k, row.reshape(-1), np.ascontiguousarray(cost.transpose(0, 2, 1)))
 
 
@@ -206,6 +208,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     for i in np.flatnonzero(named):
                         lang[i], score[i], bits[i] = m.languages[best[i]], sure[i], least[i] / UNIT / size[i]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bits, mask=np.isnan(bits))], names=[*b.schema.names, "lang_pred", "score", "bits"])
+            release()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -216,7 +219,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def train(docs: DataFrame, bytes_each: int = SAMPLE_BYTES) -> Model:
     """A model learned from text and lang of the documents that are not held out."""
     texts = sample(docs.where(~held_out()), bytes_each)
-    return fit(texts) if texts else Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 1, 0), np.uint16))
+    model = fit(texts) if texts else Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 1, 0), np.uint16))
+    del texts
+    release()
+    return model
 
 
 def accepted(predicted: DataFrame, model: Model) -> DataFrame:

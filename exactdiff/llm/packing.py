@@ -2,8 +2,10 @@
 
 `hilbert_pack`: space-filling-curve order. A document's words are hashed into FEATURES counts, damped by a logarithm and
 scaled to length one; a fixed random matrix projects the vector to DIMS coordinates, each cut into 2**BITS cells, and
-the cells' place along a Hilbert curve is the document's key. Spark sorts by ranges of (key, doc_id), so a key that any
-number of documents share spreads over partitions; each partition then lays its documents end to end into sequences of
+the cells' place along a Hilbert curve is the document's key. Documents are dealt to ranges of the curve that hold about
+PARTITION_BYTES of text each, by a histogram of the bytes over 2**CELL_BITS stretches of the curve, a table of fixed
+size; a stretch with more text is dealt to several partitions by a hash of doc_id, so that a key which any number of
+documents share spreads. Each partition sorts by (key, doc_id, text) and lays its documents end to end into sequences of
 `length` tokens, cutting wherever a sequence is full. Only a partition's last sequence is not full.
 
 `best_fit_pack`: best-fit-decreasing. Documents longer than a sequence are split losslessly into full pieces and a
@@ -30,23 +32,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exactdiff.llm.common import release
 from exactdiff.llm.tokens import Encoder, default_path
-from exactdiff.llm.words import SPACED, buffers, hashed
+from exactdiff.llm.words import SPACED, buffers, hashed, mix
 
 FEATURES, DIMS, BITS = 1024, 6, 8
 END = 2
 LENGTH = 4096
-#: Bytes of text in a partition of the sort, about; partitions grow in number, not in size.
+#: Bytes of text in a partition of the sort, about, beside one document; partitions grow in number, not in size.
 PARTITION_BYTES = 24_000_000
+CELL_BITS = 16
 #: Tokens that a task packs together by best fit.
 WINDOW = 1 << 21
-_ROWS = 200
+_ROWS, _BYTES = 200, 1 << 21
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of _ROWS rows at most and about _BYTES bytes of text, or one row."""
     for b in batches:
-        for lo in range(0, len(b), _ROWS):
-            yield b.slice(lo, _ROWS)
+        at = buffers(b.column(text))[1]
+        lo = 0
+        while lo < len(b):
+            hi = min(lo + _ROWS, max(lo + 1, int(np.searchsorted(at, at[lo] + _BYTES))), len(b))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+        release()
 
 
 def _directions() -> np.ndarray:
@@ -97,19 +107,54 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text and curve_key."""
+def _keys(b: pa.RecordBatch) -> np.ndarray:
+    cells = np.clip((vectors(*buffers(b.column(1))) + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return hilbert_key(cells)
+
+
+_CELL = np.int64(DIMS * BITS - CELL_BITS)
+
+
+def _rows_of(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def curve_bytes(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The bytes of text, and one more for each document, in each of the curve's 2**CELL_BITS stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for b in _slices(batches):
+            np.add.at(total, _keys(b) >> _CELL, np.diff(buffers(b.column(1))[1]) + 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    for cell, n in _rows_of(docs, text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out
+
+
+def curve_order(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, text and curve_key, dealt along the curve and sorted."""
+    size = curve_bytes(docs, text)
+    ends = np.cumsum(size)
+    parts = max(1, -(-int(ends[-1]) // PARTITION_BYTES))
+    first = (ends - size) // PARTITION_BYTES
+    span = np.maximum(1, -(-ends // PARTITION_BYTES) - first) * (size > PARTITION_BYTES) + (size <= PARTITION_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast((first, span))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), _ROWS):
-                b = whole.slice(lo, _ROWS)
-                v = vectors(*buffers(b.column(1)))
-                cells = np.clip((v + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hilbert_key(cells), pa.int64())], names=["doc_id", "text", "curve_key"])
+        first, span = shared.value
+        for b in _slices(batches):
+            key = _keys(b)
+            cell = key >> _CELL
+            ids = b.column(0).fill_null(-1).to_numpy().astype(np.uint64) ^ (np.diff(buffers(b.column(1))[1]).astype(np.uint64) << np.uint64(40))
+            part = first[cell] + (mix(ids) % span[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array(part.astype(np.int32))], names=["doc_id", "text", "curve_key", "part"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, curve_key long")
+    dealt = _rows_of(docs, text).mapInArrow(run, "doc_id long, text string, curve_key long, part int")
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("curve_key", "doc_id", "text").drop("part")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -138,9 +183,7 @@ def hilbert_pack(docs: DataFrame, tokenizer: str | None = None, end: int = END,
     """A row for each piece, as PIECES: which tokens of its document it holds, and where it lies in which sequence;
     the ids themselves are left out if ids is false."""
     path = tokenizer or default_path()
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(1, -(-size // PARTITION_BYTES))
-    ordered = curve_keys(docs, text).repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "text").select("doc_id", "text")
+    ordered = curve_order(docs, text).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, end)
@@ -154,8 +197,8 @@ def hilbert_pack(docs: DataFrame, tokenizer: str | None = None, end: int = END,
                     start, used = start + n, used + n
                     if used == length:
                         sequence, used = sequence + 1, 0
-                if out.bytes > 1 << 22:
-                    yield out.batch()
+                    if out.bytes > 1 << 22:
+                        yield out.batch()
         if out.rows:
             yield out.batch()
 
@@ -250,7 +293,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, end: int = END,
         if pieces:
             yield pack(pieces, sequence)[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SEQUENCES)
+    return _rows_of(docs, text).mapInArrow(run, SEQUENCES)
 
 
 def write_packed(packed: DataFrame, folder: str) -> None:

@@ -1,12 +1,13 @@
 """Token ids of whole texts by a public tokenizer file, which stays where it is.
 
-The tokenizer works piece by piece between ASCII white space when its pre-tokenizer drops white space, as that of
-word_bpe_49k.json does: normalisation (lower case among it), splitting and merging never look across it. So each distinct
-piece is encoded once and remembered by its 64-bit hash, by every Python worker for as long as it lives, and the ids of
-a batch of texts are gathered by numpy. Pieces of Latin letters with some marks behind them, which normalisation only
-puts in lower case, go to the library's merge model directly, others through the whole tokenizer. A task compares its
-first texts, and the model's ids of its first pieces, with what the library gives, and encodes whole texts if they differ. What is remembered changes the time only, never an id, save if two
-different pieces among the REMEMBERED share a 64-bit hash.
+The tokenizer works piece by piece between ASCII white space when its pre-tokenizer drops white space and its
+normalisation puts letters in lower case, as that of word_bpe_49k.json does: normalisation, splitting and merging never
+look across white space. So each distinct piece is encoded once and remembered by every Python worker, in a table of
+bounded size, and the ids of a batch of texts are gathered by numpy. A piece is found by a 64-bit hash and its bytes are
+compared; pieces of more than LONGEST bytes, and any whose hash is another's, are encoded each time they come. Pieces of
+Latin letters with some marks behind them, which normalisation only puts in lower case, go to the library's merge model
+directly, others through the whole tokenizer. A task compares its first texts, and the model's ids of its first pieces,
+with what the library gives, and encodes whole texts if they differ. What is remembered changes the time only.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from exactdiff.llm.words import SPACED, buffers, hashed
+from exactdiff.llm.words import LOWER, SPACED, buffers, hashed
 
-#: Pieces that a worker remembers, some 40 bytes each; beyond that it starts anew.
-REMEMBERED = 1_200_000
-_SLOTS = 21
+#: Pieces that a worker remembers, some 50 bytes each; beyond that it starts anew.
+REMEMBERED = 500_000
+#: Words that are looked up together; so many new pieces at most come between two looks at REMEMBERED.
+_TOGETHER = 1 << 16
+_SLOTS = 20
+LONGEST = 256
 _CHECKED = 3
-_LENGTH = 31  # bits of an entry that hold how many ids a piece has; a text has fewer bytes
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$#&*|]*)")
 #: The characters by which byte-level models write the bytes: printable ones stand for themselves, others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -37,48 +40,76 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run, one run behind the other."""
+    last = np.cumsum(size)
+    return np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0)
+
+
+class _Pool:
+    """Runs of numbers, one behind the other, in an array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.items, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, items: np.ndarray) -> int:
+        if self.used + len(items) > len(self.items):
+            self.items = np.concatenate((self.items, np.zeros(len(self.items) // 2 + len(items), self.items.dtype)))
+        self.items[self.used : self.used + len(items)] = items
+        self.used += len(items)
+        return self.used - len(items)
+
+
 class _Pieces:
-    """An open-addressing table from hashes to where a piece's ids lie."""
+    """An open-addressing table from hashes to pieces: their bytes, in lower case, and their ids."""
 
     def __init__(self) -> None:
         self.hash = np.zeros(1 << _SLOTS, np.uint64)
-        self.entry = np.zeros(1 << _SLOTS, np.int64)
-        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of hashes (none is 0), and the positions of those not known."""
-        out = np.zeros(len(h), np.int64)
-        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        rest, missing = np.arange(len(h)), []
+        self.number = np.zeros(1 << _SLOTS, np.int32)
+        self.ids, self.bytes, self.known = _Pool(np.uint32), _Pool(np.uint8), 0
+        # of each piece: where its ids begin, how many it has, and the same of its bytes
+        self.at = [_Pool(np.int64) for _ in range(4)]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes (none is 0), or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot, rest = (h >> np.uint64(64 - _SLOTS)).astype(np.int64), np.arange(len(h))
         while len(rest):
             there = self.hash[slot]
-            hit, empty = there == h[rest], there == 0
-            out[rest[hit]] = self.entry[slot[hit]]
-            missing.append(rest[empty])
-            on = ~(hit | empty)
+            hit = there == h[rest]
+            out[rest[hit]] = self.number[slot[hit]]
+            on = ~hit & (there != 0)
             rest, slot = rest[on], (slot[on] + 1) & (1 << _SLOTS) - 1
-        return out, np.concatenate(missing) if missing else rest
+        return out
 
-    def put(self, h: np.ndarray, found: list[list[int]]) -> None:
-        """Adds different hashes, none of them known, and their ids."""
+    def put(self, h: np.ndarray, found: list[list[int]], raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Adds different hashes, none of them known, with their ids and their bytes in raw."""
         size = np.array([len(x) for x in found], np.int64)
-        n = int(size.sum())
-        if n and (int(size.max()) >> _LENGTH or self.used + n >> 63 - _LENGTH):
-            raise OverflowError(f"{n} ids behind {self.used} do not fit into entries")
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + n, np.uint32)))
-        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
-        entry = (self.used + np.cumsum(size) - size) << _LENGTH | size
-        self.used, self.known = self.used + n, self.known + len(h)
+        first = self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        first_byte = self.bytes.add(LOWER[raw[_gather(begin, end - begin)]])
+        for pool, x in zip(self.at, (first + np.cumsum(size) - size, size, first_byte + np.cumsum(end - begin) - (end - begin), end - begin)):
+            pool.add(x)
+        number = self.known + np.arange(len(h), dtype=np.int32)
+        self.known += len(h)
         slot, rest = (h >> np.uint64(64 - _SLOTS)).astype(np.int64), np.arange(len(h))
         while len(rest):
             _, first = np.unique(slot, return_index=True)
             first = first[self.hash[slot[first]] == 0]
-            self.hash[slot[first]], self.entry[slot[first]] = h[rest[first]], entry[rest[first]]
+            self.hash[slot[first]], self.number[slot[first]] = h[rest[first]], number[rest[first]]
             left = np.ones(len(rest), bool)
             left[first] = False
             rest, slot = rest[left], (slot[left] + 1) & (1 << _SLOTS) - 1
 
+    def same(self, number: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether pieces have the bytes of raw from begin to end, letters in either case."""
+        at, size = self.at[2].items[number], self.at[3].items[number]
+        out = size == end - begin
+        k = np.flatnonzero(out)
+        if len(k):
+            equal = self.bytes.items[_gather(at[k], size[k])] == LOWER[raw[_gather(begin[k], size[k])]]
+            out[k] = np.logical_and.reduceat(equal, np.cumsum(size[k]) - size[k])
+        return out
+
 
 _library: dict[str, object] = {}
 _pieces: dict[str, _Pieces] = {}
@@ -95,7 +126,8 @@ class Encoder:
             _library[path], _pieces[path] = Tokenizer.from_file(path), _Pieces()
         self.path, self.library, self.model = path, _library[path], _library[path].model
         self.end = np.uint32(end)
-        self.by_piece, self.by_model, self.checks = True, True, 0
+        lowers = self.library.normalizer is not None and self.library.normalizer.normalize_str("AZ") == "az"
+        self.by_piece, self.by_model, self.checks = lowers, True, 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
@@ -116,27 +148,40 @@ class Encoder:
         rest = iter(ids_of([p for p, m in zip(pieces, parts) if not m]))
         return [self._by_model(m[1]) + behind[m[2]] if m else next(rest) for m in parts]
 
-    def _pieces_of(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        h, row, begin, end = hashed(raw, at, SPACED)
-        h = np.maximum(h, np.uint64(1))
+    def _ids(self, raw: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one behind the other, and how many each has."""
         known = _pieces[self.path]
-        entry, missing = known.find(h)
+        short = end - begin <= LONGEST
+        number = known.find(h)
+        missing = np.flatnonzero((number < 0) & short)
         if len(missing):
             if known.known > REMEMBERED:
                 known = _pieces[self.path] = _Pieces()
-                missing = np.arange(len(h))
+                missing = np.flatnonzero(short)
             new, first = np.unique(h[missing], return_index=True)
             first = missing[first]
-            whole = raw.tobytes()
-            places = list(zip(begin[first].tolist(), end[first].tolist()))
-            for lo in range(0, len(new), 20_000):
-                known.put(new[lo : lo + 20_000], self._learn([whole[a:b].decode() for a, b in places[lo : lo + 20_000]]))
-            entry, _ = known.find(h)
-        size = entry & (1 << _LENGTH) - 1
-        last = np.cumsum(size)
-        ids = known.ids[np.repeat((entry >> _LENGTH) - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+            for lo in range(0, len(new), 5_000):
+                some = first[lo : lo + 5_000]
+                known.put(new[lo : lo + 5_000], self._learn([raw[a:b].tobytes().decode() for a, b in zip(begin[some].tolist(), end[some].tolist())]), raw, begin[some], end[some])
+            number = known.find(h)
+        ok = (number >= 0) & short
+        ok[ok] = known.same(number[ok], raw, begin[ok], end[ok])
+        at, size, pool = known.at[0].items[number], known.at[1].items[number], known.ids.items
+        odd = np.flatnonzero(~ok)
+        if len(odd):
+            found = [x.ids for x in self.library.encode_batch([raw[a:b].tobytes().decode() for a, b in zip(begin[odd].tolist(), end[odd].tolist())], add_special_tokens=False)]
+            size[odd] = [len(x) for x in found]
+            at[odd] = known.ids.used + np.cumsum(size[odd]) - size[odd]
+            pool = np.concatenate((pool[: known.ids.used], np.fromiter(chain.from_iterable(found), np.uint32, int(size[odd].sum()))))
+        return pool[_gather(at, size)], size
+
+    def _pieces_of(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        h, row, begin, end = hashed(raw, at, SPACED)
+        h = np.maximum(h, np.uint64(1))
+        parts = [self._ids(raw, *(x[lo : lo + _TOGETHER] for x in (h, begin, end))) for lo in range(0, len(h), _TOGETHER)]
+        ids, size = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         words = np.searchsorted(row, np.arange(1, len(at)))
-        ends = np.concatenate(([0], last))[words]
+        ends = np.concatenate(([0], np.cumsum(size)))[words]
         return np.split(np.insert(ids, ends, self.end), (ends + np.arange(1, len(at)))[:-1])
 
     def encode_column(self, column: pa.Array) -> list[np.ndarray]:

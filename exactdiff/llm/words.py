@@ -15,7 +15,8 @@ SPACED = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 #: Words of digits, ASCII letters and whatever is not ASCII.
 ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: Each byte, A-Z as a-z.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _BLOCK = 1 << 18
 _U = np.uint64
 
@@ -31,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[_LOWER]
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[LOWER]
 _STEP = 0x5851F42D4C957F2D
 _powers: dict[str, np.ndarray] = {}
 
