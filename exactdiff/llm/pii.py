@@ -15,7 +15,9 @@ matches always stay.
 
 A text without a sign of a disguise is not rewritten; signs are looked for in the whole text.
 
-Defined cases: null text is empty; an empty table gives an empty result; spans are code points, end exclusive.
+Defined cases: null text is empty; an empty table gives an empty result; spans are code points, end exclusive; repeated
+rows are searched alike and keep their rows. detect() looks at doc_id and text only, whatever other columns are named;
+redact() keeps all columns.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from exactdiff.llm.common import release
+
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of plain detection. Fixed values.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches in linear time: a match ends where a run of digits ends, so none begins inside a run.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -65,7 +72,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
-    for m in IP.finditer(text):
+    for m in _IP.finditer(text):
         if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
             yield m.span()
 
@@ -227,14 +234,24 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     if dotted:
         tape = _rewrite(tape, _dotted(tape[0]))
     tapes = [tape, *(_rewrite(tape, _spelled(closed)(tape[0])) for closed in (False, True))] if spelled else [tape]
+    whole = {k: sorted((a, b) for x, a, b in known if x == k) for k in KINDS}
     found = set()
     for rewritten, begins, ends, new in tapes:
         for kind, i, j in plain(rewritten):
             begin, end = begins[i], ends[j - 1]
-            changed = any(new[i:j]) or end - begin != j - i
-            if changed and not any(k == kind and a <= begin and end <= b for k, a, b in known):
+            at = bisect_right(whole[kind], (begin, len(text) + 1)) - 1
+            if (end - begin != j - i or any(new[i:j])) and not (at >= 0 and end <= whole[kind][at][1]):
                 found.add((kind, begin, end))
-    return [x for x in found if not any(x != y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)]
+    return _outermost(found)
+
+
+def _outermost(found: set[Span]) -> list[Span]:
+    """Those that lie in no other of their kind."""
+    out: list[Span] = []
+    for x in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+        if not out or out[-1][0] != x[0] or x[2] > out[-1][2]:
+            out.append(x)
+    return out
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -289,6 +306,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             new = pa.array([None if (t := x.as_py()) is None else mask(t) for x in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], schema=pa.schema([pa.field(f.name, pa.string()) if i == at else f for i, f in enumerate(b.schema)]))
+            release()
 
     schema = StructType([StructField(f.name, StringType()) if i == at else f for i, f in enumerate(docs.schema.fields)])
     return docs.mapInArrow(run, schema)
