@@ -7,27 +7,36 @@ A document is kept if a number drawn from a hash of its doc_id lies below its pr
 other engine, keeps the same ones.
 
 Targets are, unless given, shares in proportion to tokens to a power below 1 for each margin, which lifts small groups.
-The cells are few: as many as there are combinations of margins, whatever the number of documents; raking runs over
-that table with a windowed sum for each margin, in ROUNDS rounds, its lineage cut on the way. Documents find their
-cell's probability by a broadcast of the cells if these are few enough, else by a shuffle.
-
-A topic, unless the table has a topic column, is read off the text's make-up: which of TOPICS classes its longer words
-fall into most, by their length and first letter. It stands in for a topic model of the caller's.
-
-Defined cases: null text has no tokens, probability of its cell and topic 0; null source or lang is a group of its
-own; null doc_id is drawn as the text `null`; repeated rows are drawn alike; a cell without tokens has factor 1; an
+The cells are as many as there are combinations of margins, whatever the number of documents; raking runs over that
+table until no margin is off its target by more than TOLERANCE of it, MOST rounds at most. Targets that contradict each
+other, as where a source has one language only and both are to have other totals, cannot all be met; a warning then says
+how far the worst margin is off. Up to FEW cells are raked by one expression over an array of them, more by windowed sums
+that are shuffled by each margin, with lineage cut every ROUNDS rounds. Documents find their cell's probability by a
+broadcast of the cells if these are few enough, else by a shuffle.
+
+A topic is a column of the caller's. Without one, the class of letters that begins most of the text's words stands in
+for it: it lets the third margin be raked, and says nothing about content.
+
+Defined cases: null text has no tokens, probability of its cell and topic 0; null and empty source or lang are one
+group; null doc_id is drawn as the text `null`; repeated rows are drawn alike; a cell without tokens has factor 1; an
 empty table gives an empty result; other columns are kept by sample() and clash with none of its own.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exactdiff.llm.common import broadcast_if_small, cut, free_name
 
 TOPICS = 4
-ROUNDS = 8
+#: Rounds between two looks at the margins, and at most; how far a margin may be off its target, as a part of it.
+ROUNDS, MOST, TOLERANCE = 8, 96, 1e-9
+#: Cells that one expression rakes.
+FEW = 5_000
 RATE = 0.7
 #: Power of each margin's token share that makes its target share.
 POWERS = {"source": 0.8, "lang": 0.85, "topic": 0.8}
@@ -67,25 +76,68 @@ def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return each.select(margin, (F.col("p") * F.lit((total.t or 0.0) / (total.p or 1.0))).alias("goal"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells with weight: tokens raked to the goals of each margin, one margin after the other, `rounds` times."""
-    raked = cells.withColumn("weight", F.col("tokens").cast("double"))
+def margin_error(raked: DataFrame, margins: Iterable[str]) -> float:
+    """The largest distance of a margin's weight from its goal, as a part of the goal; goals without tokens don't count."""
+    off = [F.when((w > 0) & (F.col(f"goal_{m}") > 0), F.abs(w / F.col(f"goal_{m}") - 1)) for m in margins for w in (F.sum("weight").over(Window.partitionBy(m)),)]
+    return raked.select(F.greatest(F.lit(0.0), *off).alias("off")).agg(F.max("off")).first()[0] or 0.0
+
+
+def _rake_few(cells: DataFrame, margins: list[str], most: int, tolerance: float) -> tuple[DataFrame, float]:
+    """cells (few, with goals) with weight, and the error left. A step sets one margin's factors to what its goals need
+    under the factors of the others; a cell's weight is its tokens times its factors."""
+    numbered = cells.coalesce(1)
+    for i, m in enumerate(margins):
+        numbered = numbered.withColumn(f"_{i}", F.dense_rank().over(Window.orderBy(m)) - 1)
+    row = numbered.agg(F.collect_list(F.struct("*")).alias("all"))
+    n = range(len(margins))
+    for i in n:
+        row = row.withColumn(f"by{i}", F.expr(f"transform(sequence(0, array_max(all._{i})), j -> filter(all, x -> x._{i} = j))")).withColumn(f"goal{i}", F.expr(f"transform(by{i}, g -> g[0].goal_{margins[i]})"))
+
+    def step(i: int) -> str:
+        product = " * ".join(["x.tokens", *(f"a.f{j}[x._{j}]" for j in n if j != i)])
+        total = f"transform(by{i}, g -> aggregate(g, 0D, (t, x) -> t + {product}))"
+        new = f"transform({total}, (t, j) -> if(t * a.f{i}[j] > 0, goal{i}[j] / t, a.f{i}[j]))"
+        off = f"array_max(zip_with(a.f{i}, f, (x, y) -> coalesce(abs(x / y - 1), 0D)))"
+        factors = ", ".join(f"'f{j}', {'f' if j == i else f'a.f{j}'}" for j in n)
+        return f"transform(array({new}), f -> named_struct({factors}, 'off', transform(a.off, (x, j) -> if(j = {i}, {off}, x))))[0]"
+
+    begin = "named_struct(" + ", ".join(f"'f{i}', transform(by{i}, g -> 1D)" for i in n) + f", 'off', array_repeat(1D, {len(margins)}))"
+    steps = " ".join(f"WHEN {i} THEN {step(i)}" for i in n)
+    loop = f"aggregate(sequence(1, {most * len(margins)}), {begin}, (a, k) -> if(array_max(a.off) <= {tolerance!r}D, a, CASE (k - 1) % {len(margins)} {steps} END))"
+    # an empty table has no cell to number
+    done = cut(row.where("size(all) > 0").withColumn("a", F.expr(loop)).select("all", "a"))
+    error = done.agg(F.max(F.array_max("a.off"))).first()[0] or 0.0
+    weight = " * ".join(["CAST(x.tokens AS DOUBLE)", *(f"a.f{i}[x._{i}]" for i in n)])
+    return done.select("a", F.explode("all").alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in cells.columns), F.expr(weight).alias("weight")), error
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], most: int = MOST, tolerance: float = TOLERANCE, few: int = FEW) -> DataFrame:
+    """cells with weight: tokens raked to the goals of each margin, one margin after the other, round by round."""
+    raked = cells
     for margin, goal in goals.items():
         raked = raked.join(goal.withColumnRenamed("goal", f"goal_{margin}"), margin, "left")
-    raked = cut(raked.coalesce(1))
-    for k in range(rounds):
-        for margin in goals:
-            total = F.sum("weight").over(Window.partitionBy(margin))
-            raked = raked.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"goal_{margin}") / total).otherwise(F.col("weight")))
-        if k % 4 == 3 or k == rounds - 1:
-            raked = cut(raked.coalesce(1))
+    if cells.count() <= few:
+        raked, error = _rake_few(raked, list(goals), most, tolerance)
+    else:
+        raked, error = cut(raked.withColumn("weight", F.col("tokens").cast("double"))), float("inf")
+        for k in range(most):
+            for margin in goals:
+                total = F.sum("weight").over(Window.partitionBy(margin))
+                raked = raked.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"goal_{margin}") / total).otherwise(F.col("weight")))
+            if k % ROUNDS == ROUNDS - 1 or k == most - 1:
+                raked = cut(raked)
+                error = margin_error(raked, goals)
+                if error <= tolerance:
+                    break
+    if error > tolerance:
+        warnings.warn(f"after {most} rounds a margin is off its target by {error:.2g} of it", stacklevel=2)
     return raked.drop(*(f"goal_{m}" for m in goals))
 
 
-def probabilities(cells: DataFrame, rate: float = RATE, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> DataFrame:
+def probabilities(cells: DataFrame, rate: float = RATE, powers: dict[str, float] = POWERS) -> DataFrame:
     """source, lang, topic, weight, probability of each cell. cells: also tokens."""
-    cells = cut(cells.coalesce(1))
-    raked = rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}, rounds)
+    cells = cut(cells)
+    raked = cut(rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}))
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0))
     raked = raked.withColumn("factor", factor)
     wanted = rate * float(raked.agg(F.sum("tokens")).first()[0] or 0)
@@ -101,7 +153,7 @@ def probabilities(cells: DataFrame, rate: float = RATE, rounds: int = ROUNDS, po
 
 def calibrated(docs: DataFrame, rate: float = RATE, topic: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, sampled: a row for each document."""
-    rows = measured(docs, topic)
+    rows = cut(measured(docs, topic))
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     p = probabilities(cells, rate)
     return rows.join(broadcast_if_small(p.drop("weight")), ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from exactdiff.llm.mixing import _CAPS, CLASSES, POWERS, RATE, ROUNDS
+from exactdiff.llm.mixing import _CAPS, CLASSES, POWERS, RATE
+
+#: Rounds that the SQL unrolls; the margins of its tables are within mixing.TOLERANCE by then.
+ROUNDS = 96
 
 
 def mixing_sql() -> str:

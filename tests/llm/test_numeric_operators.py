@@ -133,10 +133,12 @@ def test_raking_meets_its_targets(table, prose):
     df = table(rows)
     cells = mixing.measured(df).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     goals = {m: mixing.targets(cells, m, p) for m, p in mixing.POWERS.items()}
-    raked = mixing.rake(cells, goals, rounds=30)
+    raked = mixing.rake(cells, goals)
+    other = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goals, few=0, tolerance=1e-4).collect()}
+    assert all(abs(other[r.source, r.lang, r.topic] / max(r.weight, 1e-9) - 1) < 1e-2 or r.weight == 0 for r in raked.collect()) and len(other) == raked.count()
     for m, goal in goals.items():
         off = raked.groupBy(m).agg(F.sum("weight").alias("w")).join(goal, m).select(F.max(F.abs(F.col("w") / F.col("goal") - 1))).first()[0]
-        assert off < 1e-3
+        assert off < 1e-8
     found = mixing.calibrated(df, rate=0.5).collect()
     total = sum(r.tokens for r in found)
     assert len(found) == 300 and abs(sum(r.tokens * r.probability for r in found) / total - 0.5) < 0.02 and 0.35 < sum(r.tokens for r in found if r.sampled) / total < 0.65
@@ -144,6 +146,17 @@ def test_raking_meets_its_targets(table, prose):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in found if r.sampled} and kept.columns == [*df.columns, "probability"]
 
 
+def test_raking_goes_on_until_correlated_margins_are_met(spark):
+    cells = [(f"s{i}", f"l{i % 5}" if j == 0 else f"l{(i + j) % 5}", str(i % 4 if j == 0 else (i + j) % 4), (20 if i == 0 else 1) * (1000 if j == 0 else 7)) for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    goals = {m: mixing.targets(df, m, p) for m, p in mixing.POWERS.items()}
+    raked = mixing.rake(df, goals, most=1000)
+    for m, goal in goals.items():
+        assert raked.groupBy(m).agg(F.sum("weight").alias("w")).join(goal, m).select(F.max(F.abs(F.col("w") / F.col("goal") - 1))).first()[0] < 1e-7
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.rake(df, goals, most=2)
+
+
 def test_mixing_edge_cases(table, odd):
     assert mixing.calibrated(table([])).count() == 0 and mixing.sample(table([])).count() == 0
     found = mixing.calibrated(table(odd)).collect()
