@@ -14,8 +14,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     end are dropped. edges is evaluated once. Each round moves edges towards the smallest neighbour.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
-    before = None
-    while True:
+    while not _settled(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour is tied to the smallest of the neighbourhood
@@ -24,10 +23,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
     tied = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return tied.union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    return tied.union(roots)
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour only, or none and is nobody's larger one: edges form stars."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(True).alias("larger")), F.struct(F.col("v").alias("node"), F.lit(False).alias("larger")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.count_if("larger").alias("up"), F.bool_or(~F.col("larger")).alias("down")).where("up > 1 or (up = 1 and down)").isEmpty()

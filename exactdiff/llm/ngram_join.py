@@ -18,13 +18,15 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two sets lin
 4. Verification. Parity bits come first: bit i holds the parity of how many of a set's tokens fall on it, so two sets
    differ in at least as many tokens as bits, and pairs that must differ in too many go, exactly. A set has about as
    many bits as tokens, so few pairs that do not link pass. Those that do are verified on whole sets, where a set is
-   shipped once for each pair and the set that most of some pairs have in common once for them all.
+   shipped once for each pair and the set that most of some pairs have in common once for them all: first each node
+   with the nearest smaller node that it is paired with, and then the pairs whose nodes are not yet in one component.
    A hub gets some PIVOTS pivots. Each of its nodes is paired with the pivot whose bits are nearest, so that a group of
    near copies of any size takes rows in proportion to its nodes. What that leaves apart is compared in full: the nodes
    outside the hub's largest component with all nodes of the hub, in blocks of BLOCK by BLOCK, ordered by set size so
-   that blocks of sets too different in size never meet, by their bits and then through a matrix product over the
-   tokens that at least two of them have. Each block returns a spanning forest of its links. That is quadratic only in
-   the nodes that stay apart from their hub's largest component, as where many texts that do not link are made of the
+   that blocks of sets too different in size never meet, by their bits. First each node is verified with the nearest of
+   another component; where bits, now FINE times as many, leave pairs open after that, whole blocks are compared through
+   a matrix product over the tokens that at least two of their sets have, and each block returns a spanning forest of its
+   links. That is quadratic only in the nodes that stay apart from their hub's largest component, as where many texts that do not link are made of the
    same frequent passages.
 5. Components of the links, and back from nodes to documents.
 
@@ -46,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import broadcast_if_small, cut
+from exactdiff.llm.common import broadcast_if_small, cut, release
 from exactdiff.llm.components import connected_components
 from exactdiff.llm.words import SPACED, buffers, hashed, mix, shingles
 
@@ -56,7 +58,7 @@ _PART = 1 << 14
 SHORT = 8
 BLOCK = 512
 #: Pivots of a hub, about, and the nodes that one task compares with them.
-PIVOTS, CHUNK = 16, 2048
+PIVOTS, CHUNK = 16, 256
 #: Tokens of sets that are verified together against one set, about.
 TOGETHER = 1 << 20
 #: Tokens of a block's matrix at a time.
@@ -67,6 +69,7 @@ LONGEST, VERIFY = 0.04, 20
 HOT = 6
 #: Parity bits of a set: the power of two from its size on, but so many at least.
 BITS = 1024
+FINE = 8
 _ROWS = 400
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -82,6 +85,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndar
         raw, offsets = buffers(part.column("text"))
         h, row, _, _ = hashed(raw, offsets, SPACED)
         yield at, shingles(h, row, len(part), width)
+    release()
 
 
 def _node(s: np.ndarray) -> int:
@@ -128,9 +132,9 @@ def _lengthen(counts: np.ndarray, n: int, percent: int, floor: float) -> int:
     return 1 + int(np.argmin(base + k + met * (1 + VERIFY / k)))
 
 
-def _parity(s: np.ndarray) -> bytes:
-    """Bit i is whether an odd number of the set's tokens fall on i."""
-    n = max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
+def _parity(s: np.ndarray, times: int = 1) -> bytes:
+    """Bit i is whether an odd number of the set's tokens fall on i; times: how many times as many bits."""
+    n = times * max(BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITS
     return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
@@ -156,7 +160,7 @@ def named_sets(docs: DataFrame, width: int) -> DataFrame:
 
 #: An entry's info: size of the set, 12 bits of l, 21 bits of the token's position (the last stands for any behind it).
 _ELL, _POSITION = (1 << 12) - 1, (1 << 21) - 1
-_SEEN = 1 << 20
+_SEEN = 1 << 17
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, counters: np.ndarray) -> DataFrame:
@@ -298,16 +302,17 @@ def _forest(nodes: list[int], sets: list[np.ndarray], left: int, percent: int) -
     return out
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, tokens (binary) of the wanted nodes. wanted: node, doc_id of one document that has the set. A node comes
-    more than once if rows of that doc_id repeat."""
+def set_rows(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 0) -> DataFrame:
+    """node, tokens (binary) of the wanted nodes; instead of tokens parity bits, `bits` times as many as else, if bits
+    is not 0. wanted: node, doc_id of one document that has the set. A node comes more than once if rows of that doc_id
+    repeat."""
     some = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, sets in _sets(b, width):
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([_parity(s, bits) if bits else s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     return some.mapInArrow(run, "node long, tokens binary")
 
@@ -334,7 +339,7 @@ def _possible(percent: int):
                     apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
                 n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
                 keep = pa.array(n + m - np.array(apart) >= 2 * _needed(n, m, percent))
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in ("a", "b", "n", "m")], names=["a", "b", "n", "m"])
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (*(batch.column(k) for k in ("a", "b", "n", "m")), pa.array(apart, pa.int64()))], names=["a", "b", "n", "m", "apart"])
 
     return run
 
@@ -378,8 +383,27 @@ def _to_pivots(percent: int):
     return run
 
 
+def _nearest_apart(percent: int):
+    """Pairs of a pair of blocks whose bits leave room for a link: each node and the nearest of another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        first, second = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        out = set()
+        if len(first) and len(second):
+            room, apart = _room(first, second, percent)
+            ok = room & (first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :])
+            far = np.where(ok, apart, np.iinfo(np.int64).max)
+            x, y = first["node"].tolist(), second["node"].tolist()
+            pairs = [(k, int(far[k].argmin())) for k in np.flatnonzero(ok.any(1))] + [(int(far[:, k].argmin()), k) for k in np.flatnonzero(ok.any(0))]
+            out = {(min(x[k], y[m]), max(x[k], y[m])) for k, m in pairs}
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def _possible_in_block(percent: int):
-    """hub, node, block, i, j: the nodes of a pair of blocks whose bits leave room for a link with one of the other block
+    """hub, node, component, block, i, j: the nodes of a pair of blocks whose bits leave room for a link with one of the other block
     that lies in another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -390,7 +414,7 @@ def _possible_in_block(percent: int):
             ok = _room(pdf[first], pdf[second], percent)[0] & (pdf["component"].to_numpy()[first][:, None] != pdf["component"].to_numpy()[second][None, :])
             keep[np.flatnonzero(first)[ok.any(1)]] = True
             keep[np.flatnonzero(second)[ok.any(0)]] = True
-        return pdf.loc[keep, ["hub", "node", "block", "i", "j"]]
+        return pdf.loc[keep, ["hub", "node", "component", "block", "i", "j"]]
 
     return run
 
@@ -414,18 +438,20 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, n, m) that link, as a and b. Pairs are dealt by the node of them that has more pairs, and its
     pairs again into parts of about TOGETHER tokens."""
+    sets = _sets_of(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("node")), width)
     degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")))
-    of = lambda node, name: broadcast_if_small(degree.select(F.col("node").alias(node), F.col("pairs").alias(name)))
+    many = degree.count()
+    of = lambda node, name: broadcast_if_small(degree.select(F.col("node").alias(node), F.col("pairs").alias(name)), many)
     first = F.struct("x", "a") >= F.struct("y", "b")
     named = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("center"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("n"))
     named = cut(named)
     parts = named.groupBy("center").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts"))
     dealt = cut(named.join(broadcast_if_small(cut(parts)), "center").select("center", "leaf", F.pmod(F.xxhash64("leaf"), "parts").cast("int").alias("part")))
     wanted = dealt.select(F.col("leaf").alias("node"), "center", "part", "leaf").union(dealt.select(F.col("center").alias("node"), "center", "part", F.col("center").alias("leaf")).distinct())
-    return sets.join(broadcast_if_small(wanted), "node").select("center", "part", "leaf", "tokens").groupBy("center", "part").applyInPandas(_verify(percent), "a long, b long")
+    return cut(sets.join(broadcast_if_small(wanted), "node").select("center", "part", "leaf", "tokens").groupBy("center", "part").applyInPandas(_verify(percent), "a long, b long"))
 
 
 def _compare(percent: int):
@@ -448,7 +474,7 @@ def _pivot_pairs(groups: DataFrame, named: DataFrame, percent: int) -> DataFrame
     pivot = (F.pmod(F.xxhash64(F.lit(1), "node"), F.col("c")) < PIVOTS) | (F.col("node") == F.col("hub"))
     members = dealt.select("hub", "node", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(False).alias("pivot"))
     pivots = dealt.where(pivot).select("hub", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
-    return members.union(pivots).join(named.select("node", "n", "bits"), "node").groupBy("hub", "chunk").applyInPandas(_to_pivots(percent), "a long, b long")
+    return named.select("node", "n", "bits").join(broadcast_if_small(cut(members.union(pivots))), "node").groupBy("hub", "chunk").applyInPandas(_to_pivots(percent), "a long, b long")
 
 
 def _blocks(groups: DataFrame, percent: int) -> DataFrame:
@@ -496,33 +522,58 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     least = shared.groupBy("token").agg(F.min(ell).alias("ell"))
     live = shared.join(least, "token").groupBy("node").agg(F.count("*").alias("c"), F.min("ell").alias("ell"), F.max(ell).alias("own")).where("c >= least(ell, own)").select("node", "c")
     live = cut(shared.join(live, "node"))
-    long_lists = live.groupBy("token").agg(F.count("*").alias("entries"), F.max(F.struct("c", "node")).alias("x")).where(F.col("entries") > SHORT)
-    long_lists = broadcast_if_small(cut(long_lists.select("token", F.col("x.node").alias("hub"))))
+    long_lists = broadcast_if_small(cut(live.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > SHORT).select("token")))
+    long_entries = cut(live.join(long_lists, "token"))
+    hubs = cut(long_entries.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub")))
     pairs = listed(live.join(long_lists, "token", "left_anti")).mapInArrow(_meet(percent), _MET)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("overlap").alias("overlap"))
     pairs = cut(pairs.where("shared >= need and shared + rest >= overlap").select("a", "b"))
-    groups = cut(live.join(long_lists, "token").groupBy("hub", "node").agg(F.first(F.shiftright("info", 33)).alias("n")))
+    groups = cut(long_entries.join(broadcast_if_small(hubs), "token").groupBy("hub", "node").agg(F.first(F.shiftright("info", 33)).alias("n")))
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct())
     named = rows.where("node is not null").join(broadcast_if_small(met), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = cut(named)
     of = lambda node, n, bits: named.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
     pairs = pairs.union(_pivot_pairs(groups.select("hub", "node"), named, percent)).distinct()
-    pairs = cut(pairs.join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long"))
-    found = cut(_verified(pairs, _sets_of(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("node")), width), percent))
+    pairs = cut(broadcast_if_small(cut(pairs)).join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long"))
+    least_pairs = cut(pairs.groupBy("b").agg(F.min(F.struct("apart", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m"))
+    found = _verified(docs, named, least_pairs, width, percent)
     tied = cut(connected_components(found))
-    blocks = cut(_blocks(_apart_in_hubs(groups, tied), percent))
-    if not blocks.isEmpty():
-        kept = "hub long, node long, block int, i int, j int"
-        blocks = cut(blocks.join(named.select("node", "n", "bits"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
-        compared = _sets_of(docs, named, blocks.select("node"), width).join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
-        more = cut(compared)
-        if not more.isEmpty():
-            tied = connected_components(found.union(more))
+    rest = pairs.join(tied.toDF("a", "x"), "a", "left").join(tied.toDF("b", "y"), "b", "left").where("not coalesce(x, a) <=> coalesce(y, b)").join(least_pairs, ["a", "b"], "left_anti").select("a", "b", "n", "m")
+    kept = "hub long, node long, component long, block int, i int, j int"
+    for whole in (False, True):
+        blocks = cut(_blocks(_apart_in_hubs(groups, tied), percent))
+        in_blocks = named.select("node", "n", "bits").join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j")
+        if not whole:
+            some = cut(in_blocks.applyInPandas(_nearest_apart(percent), "a long, b long").distinct())
+            some = cut(some.join(of("a", "n", "s").drop("s"), "a").join(of("b", "m", "t").drop("t"), "b").select("a", "b", "n", "m").union(rest).distinct())
+            if some.isEmpty():
+                break
+            # most of them do not link: the same bits, but more of them, come before whole sets
+            fine = _sets_of(docs, named, some.select(F.explode(F.array("a", "b")).alias("node")), width, FINE).dropDuplicates(["node"])
+            some = broadcast_if_small(some).join(fine.toDF("a", "s"), "a").join(fine.toDF("b", "t"), "b")
+            some = cut(some.mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long").drop("apart"))
+            found, tied = _more(found, tied, _verified(docs, named, some, width, percent))
+        else:
+            blocks = cut(in_blocks.applyInPandas(_possible_in_block(percent), kept))
+            # the same with more bits, which only these few nodes need
+            fine = _sets_of(docs, named, blocks.select("node"), width, FINE).dropDuplicates(["node"]).withColumnRenamed("tokens", "bits")
+            blocks = cut(blocks.join(fine, "node").join(named.select("node", "n"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
+            if not blocks.isEmpty():
+                compared = _sets_of(docs, named, blocks.select("node"), width).join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+                found, tied = _more(found, tied, cut(compared))
     return rows.select("doc_id", "n", "node"), tied
 
 
-def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    return cut(set_rows(docs, cut(named.join(broadcast_if_small(cut(nodes.distinct())), "node", "left_semi").select("node", "doc_id")), width))
+def _more(found: DataFrame, tied: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with more of them, and the components of all."""
+    if more.isEmpty():
+        return found, tied
+    found = found.union(more)
+    return found, cut(connected_components(found))
+
+
+def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int, bits: int = 0) -> DataFrame:
+    return cut(set_rows(docs, cut(named.join(broadcast_if_small(cut(nodes.distinct())), "node", "left_semi").select("node", "doc_id")), width, bits))
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
