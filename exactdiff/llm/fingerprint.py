@@ -23,6 +23,8 @@ from exactdiff.llm.common import broadcast_if_small, cut
 
 #: Seeds of the two hashes, put before the text. Fixed values.
 SEEDS = (11, 1_000_003)
+#: Bytes of text in a range of documents, about, and the bins of doc_id that ranges are made of.
+RANGE_BYTES, BINS = 16_000_000, 1 << 16
 #: Code points that count as white space beside those of Unicode's property. Fixed pattern.
 SPACE = r"(?U)[\s\x{1C}-\x{1F}\x{85}]+"
 
@@ -77,26 +79,30 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", kept: li
     return named.select(*keys, *kept, F.when(F.col("k") > 1, F.concat("fingerprint", F.lit("."), F.col("k"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text (null: empty), next_id, next_text: the row that follows by doc_id, after the last the first.
+def with_next(docs: DataFrame, size: int = RANGE_BYTES, place: bool = False) -> DataFrame:
+    """doc_id, text (null: empty), next_id, next_text: the row that follows by doc_id, after the last the first; and, if
+    asked for, range and place, which name a row.
 
-    Rows are dealt to ranges of doc_id, whose bounds need not be exact, each together with a copy of the first row of
-    the next range, so that texts are shuffled once. Rows of one doc_id follow each other by text.
+    Rows are dealt to ranges of doc_id that hold about `size` bytes of text, by a histogram of at most BINS + 1 bins, each
+    range together with a copy of the first row of the next, so that texts are shuffled once. Rows of one doc_id, or of
+    none, stand in one range and follow each other by text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 1000)).first()[0] or []
-    place = F.lit(0)
-    for x in sorted(set(bounds)):
-        place = place + F.coalesce((F.col("doc_id") > x).cast("int"), F.lit(0))
-    ranged = rows.select(place.alias("range"), F.lit(0).alias("copy"), "doc_id", "text")
-    order = sorted(r.range for r in ranged.select("range").distinct().collect())
-    if not order:
-        return rows.select("doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    before = F.create_map(*[F.lit(x) for k, at in enumerate(order) for x in (at, order[k - 1])])[F.col("range")]
-    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("x")).select(before.alias("range"), F.lit(1).alias("copy"), "x.doc_id", "x.text")
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, width = float(low or 0), max(1.0, (float(high or 0) - float(low or 0)) / BINS)
+    bin_of = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.floor((F.col("doc_id").cast("double") - low) / width), F.lit(BINS - 1))).cast("int")
+    binned = rows.withColumn("bin", bin_of)
+    each = binned.groupBy("bin").agg(F.sum(F.octet_length("text") + 64).alias("n"))
+    # at most BINS + 1 rows, whatever the number of documents, so one task may order them
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = cut(each.select("bin", F.floor(before / size).alias("r")).select("bin", (F.dense_rank().over(Window.orderBy("r")) - 1).alias("range")))
+    ranges = (bins.agg(F.max("range")).first()[0] or 0) + 1
+    ranged = binned.join(F.broadcast(bins), "bin").select("range", F.lit(0).alias("copy"), "doc_id", "text")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    firsts = firsts.select(F.pmod(F.col("range") - 1, F.lit(ranges)).alias("range"), F.lit(1).alias("copy"), "x.doc_id", "x.text")
     w = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
-    linked = ranged.union(firsts).select("copy", "doc_id", "text", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"))
-    return linked.where("copy = 0").drop("copy")
+    linked = ranged.union(firsts).select("range", F.row_number().over(w).alias("place"), "copy", "doc_id", "text", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"))
+    return linked.where("copy = 0").select(*(["range", "place"] if place else []), "doc_id", "text", "next_id", "next_text")
 
 
 def edited(text: Column, other: Column) -> Column:

@@ -39,28 +39,31 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chained = fingerprint.with_next(docs, max(1, -(-size // 16_000_000)))
+    own = ["range", "place"]  # names a row, as a doc_id need not
+    chained = fingerprint.with_next(docs, place=True)
     new = fingerprint.edited(F.col("text"), F.col("next_text"))
     each = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), new.alias("text"), F.sha2(new, 256).alias("sha")))
-    texts = chained.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.explode(each).alias("x")).select("doc_id", "next_id", "n_chars", "x.kind", "x.text", "x.sha")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    facts = ["doc_id", "hash", "next_id", "next_hash", "n_chars"]
+    chained = chained.select(*own, "doc_id", F.xxhash64("text").alias("hash"), "next_id", F.xxhash64("next_text").alias("next_hash"), F.length("text").cast("long").alias("n_chars"), "text", "next_text")
+    texts = chained.select(*own, *facts, F.explode(each).alias("x")).select(*own, *facts, "x.kind", "x.text", "x.sha")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
 
     def again(some: DataFrame) -> DataFrame:
-        """The texts and edited texts of some documents, found by their ids without ordering all documents anew."""
-        plain = fingerprint.semi(rows, some.where("kind = 0"), {"doc_id": "doc_id"}).select("text")
-        pairs = some.where("kind = 1").select("doc_id", "next_id").distinct()
-        first = fingerprint.semi(rows, pairs, {"doc_id": "doc_id"}).toDF("doc_id", "text")
-        second = fingerprint.semi(rows, pairs, {"doc_id": "next_id"}).toDF("next_id", "next_text")
-        named = pairs.toDF("a", "b").join(first, F.col("a").eqNullSafe(F.col("doc_id"))).join(second, F.col("b").eqNullSafe(F.col("next_id")))
+        """The texts and edited texts of some documents, found by id and hash without ordering all documents anew."""
+        plain = fingerprint.semi(rows, some.where("kind = 0"), {"doc_id": "doc_id", "hash": "hash"}).select("text")
+        pairs = some.where("kind = 1").select("doc_id", "hash", "next_id", "next_hash").distinct()
+        first = fingerprint.semi(rows, pairs, {"doc_id": "doc_id", "hash": "hash"}).select("doc_id", "hash", "text").distinct().toDF("id1", "h1", "text")
+        second = fingerprint.semi(rows, pairs, {"doc_id": "next_id", "hash": "next_hash"}).select("doc_id", "hash", "text").distinct().toDF("id2", "h2", "next_text")
+        named = pairs.join(first, F.col("hash").eqNullSafe(F.col("h1")) & F.col("doc_id").eqNullSafe(F.col("id1"))).join(second, F.col("next_hash").eqNullSafe(F.col("h2")) & F.col("next_id").eqNullSafe(F.col("id2")))
         return plain.union(named.select(new.alias("text")))
 
-    prints = fingerprint.fingerprints(texts, ["doc_id", "kind"], kept=["next_id", "n_chars", "sha"], again=again)
-    own, changed = F.when(F.col("kind") == 0, F.col("fingerprint")), F.when(F.col("kind") == 1, F.col("fingerprint"))
-    shown = prints.groupBy("doc_id").agg(F.max("next_id").alias("next_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(own).alias("fingerprint"), F.max(changed).alias("edited_fingerprint"))
-    after = shown.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    prints = fingerprint.fingerprints(texts, [*own, "kind"], kept=[*facts, "sha"], again=again)
+    plain, changed = F.when(F.col("kind") == 0, F.col("fingerprint")), F.when(F.col("kind") == 1, F.col("fingerprint"))
+    shown = prints.groupBy(*own).agg(*(F.max(x).alias(x) for x in facts), F.max("sha").alias("edited_sha256"), F.max(plain).alias("fingerprint"), F.max(changed).alias("edited_fingerprint"))
+    after = shown.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("h")).agg(F.min("fingerprint").alias("next_fingerprint"))
     alike = lambda x: (F.col("fingerprint") == F.col(x)).cast("double")
-    return shown.join(after, "next_id", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
+    joined = shown.join(after, F.col("next_hash").eqNullSafe(F.col("h")) & F.col("next_id").eqNullSafe(F.col("id")), "left")
+    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,10 @@ def test_next_document(table, odd):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
     order = sorted(((i, t or "") for i, t in rows), key=key)
     want = sorted(((*a, *b) for a, b in zip(order, order[1:] + order[:1])), key=repr)
-    for parts in (1, 3):
-        assert sorted(map(tuple, fingerprint.with_next(table(rows), parts).collect()), key=repr) == want
-    assert fingerprint.with_next(table([]), 2).count() == 0
-    assert fingerprint.with_next(table([(1, "x")]), 2).first().next_id == 1
+    for size in (1 << 40, 300):
+        assert sorted(map(tuple, fingerprint.with_next(table(rows), size).collect()), key=repr) == want
+    assert fingerprint.with_next(table([])).count() == 0
+    assert fingerprint.with_next(table([(1, "x")])).first().next_id == 1
 
 
 def test_op7(spark, table, tmp_path):
@@ -80,6 +80,20 @@ def test_op7(spark, table, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op7_keeps_rows_that_share_a_doc_id(table, odd, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprint.with_next, "__defaults__", (200, False))
+    rows = [(i, t) for i, t, *_ in odd] + [(1, "abcd"), (1, "abcdef"), (None, "also none"), (7, "abcd"), (7, "abcd")]
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    order = sorted(((i, t or "") for i, t in rows), key=key)
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        new = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), float(canonical(t) == canonical(new)), float(canonical(t) == canonical(n))))
+    found = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in queries.op7_fingerprint(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
 # ---- languages
 
 
