@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and a search for phrases.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z. Blocks are the lines of a text, and the text
-as a whole, so that a notice that wraps over lines is met too; a line or text of more than SPAN words is cut into windows
-of SPAN words, half of which the next window shares. A block meets a template if it has at least `percent` of the
-template's distinct words. The join is the usual filter chain, exact at each step:
+as a whole, so that a notice that wraps over lines is met too; a line or text of more words than a template's span is cut
+into windows of so many words, half of which the next window shares. A template's span is SPAN, doubled until half of it
+holds the template's words, so that a notice of that length lies in one window wherever it begins. A block meets a
+template if it has at least `percent` of the template's distinct words. The join is the usual filter chain, exact at each step:
 
 * Global order. The templates' words are counted over all documents, rare to frequent.
 * Prefix. Of a template's n words a block must have at least `need = ceil(percent * n / 100)`, so it has one of the
@@ -13,7 +14,7 @@ template's distinct words. The join is the usual filter chain, exact at each ste
 
 The template and phrase tables are parameters of a fixed size, so they go to every task; documents never move.
 
-Of the templates that a block meets, one whose words are all among another's is passed over for that other one.
+Of the templates of one span that a block meets, one whose words are all among another's is passed over for that other one.
 
 Defined cases: null or empty text has no words and no places; an empty table gives an empty result; repeated rows are
 scanned alike. Other columns are not looked at; the results are named after doc_id only.
@@ -51,6 +52,9 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights": "cc0",
     "all rights reserved": "reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits": "isc",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
 }
 PERCENT = 90
 SPAN = 64
@@ -99,13 +103,21 @@ def word_counts(docs: DataFrame, words: _Words) -> np.ndarray:
     return out
 
 
-def _windows(i: int, a: int, b: int) -> list[tuple[int, int]]:
+def span_of(template: str) -> int:
+    """The words of a window for a template."""
+    span = SPAN
+    while span // 2 < len(_hashes(template)):
+        span *= 2
+    return span
+
+
+def _windows(i: int, a: int, b: int, span: int) -> list[tuple[int, int]]:
     """The blocks around word i of the words from a to b."""
-    if b - a <= SPAN:
+    if b - a <= span:
         return [(a, b)]
-    half = SPAN // 2
+    half = span // 2
     k = (i - a) // half
-    return [(a + half * j, min(b, a + half * j + SPAN)) for j in (k - 1, k) if j >= 0]
+    return [(a + half * j, min(b, a + half * j + span)) for j in (k - 1, k) if j >= 0]
 
 
 class Scanner:
@@ -118,6 +130,7 @@ class Scanner:
         rank[np.lexsort((words.names, counts))] = np.arange(len(counts))
         self.rank = rank
         self.sets, self.need = [], []
+        self.span = [span_of(t) for t in templates]
         self.prefix: dict[int, list[tuple[int, int]]] = {}  # word -> (template, place in its order)
         for t, text in enumerate(templates):
             order = sorted(set(words.number(text)), key=lambda w: rank[w])
@@ -126,6 +139,7 @@ class Scanner:
             self.need.append(need)
             for place, w in enumerate(order[: len(order) - need + 1]):
                 self.prefix.setdefault(w, []).append((t, place))
+        self.spans = {w: sorted({self.span[t] for t, _ in found}) for w, found in self.prefix.items()}
         self.first = np.zeros(len(counts), bool)
         self.first[list(self.prefix)] = True
 
@@ -155,14 +169,14 @@ class Scanner:
                 score[r] = 1.0
             count += np.bincount(row[x], minlength=n_rows)
         breaks = np.flatnonzero(raw == 10)
-        done: set[tuple[int, int]] = set()
+        done: set[tuple[int, int, int]] = set()
         for i in where[self.first[word]].tolist():
             r = int(row[i])
             line = int(np.searchsorted(breaks, begin[i]))
             lo = max(int(at[r]), int(breaks[line - 1]) + 1 if line else 0)
             hi = min(int(at[r + 1]), int(breaks[line]) if line < len(breaks) else len(raw))
             a, b = int(np.searchsorted(begin, lo)), int(np.searchsorted(begin, hi))
-            for block in [*_windows(i, a, b), *_windows(i, int(first[r]), int(first[r + 1]))]:
+            for block in {(*x, span) for span in self.spans[int(known[i])] for x in (*_windows(i, a, b, span), *_windows(i, int(first[r]), int(first[r + 1]), span))}:
                 if block in done:
                     continue
                 done.add(block)
@@ -171,7 +185,7 @@ class Scanner:
                 for w in got & self.prefix.keys():
                     for t, place in self.prefix[w]:
                         whole = self.sets[t]
-                        if len(got) < self.need[t] or len(whole) - place < self.need[t]:
+                        if self.span[t] != block[2] or len(got) < self.need[t] or len(whole) - place < self.need[t]:
                             continue
                         both = len(whole & got)
                         if both >= self.need[t]:
