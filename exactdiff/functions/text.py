@@ -43,11 +43,12 @@ def number(x: Column) -> Column:
 def first_difference(a: Column, b: Column) -> Column:
     """The 0-based place of the first code point in which a and b differ; the shorter length if one begins the other.
 
-    Halving: the longest common beginning is found in as many steps as its length has bits, up to 2**20."""
+    Halving: the longest common beginning is found in as many steps as its length has bits, which are 31 at most."""
     least = F.least(F.length(a), F.length(b))
 
     def halve(low: Column, step: Column) -> Column:
-        longer = low + step
-        return F.when((longer <= least) & (F.substring(a, F.lit(1), longer) == F.substring(b, F.lit(1), longer)), longer).otherwise(low)
+        # a step is taken only where it fits, so the sum never overflows
+        longer = F.when(step <= least - low, low + step)
+        return F.when(longer.isNotNull() & (F.substring(a, F.lit(1), longer) == F.substring(b, F.lit(1), longer)), longer).otherwise(low)
 
-    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), halve)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), halve)

@@ -14,6 +14,8 @@ from exactdiff.operators.diff import Diff
 CATEGORICAL = (30, 30, 50)
 #: Values of a context summary before the rest is counted.
 TOP = 5
+#: Parts that a pair's context values are dealt to.
+SALTS = 32
 
 
 def count_by_column(cells: DataFrame, name: str = "n") -> DataFrame:
@@ -32,10 +34,8 @@ def pair_order() -> list[Column]:
 
 def top_pairs(pairs: DataFrame) -> DataFrame:
     """Of pair_groups() the first pair of each column."""
-    best = F.max_by(F.struct("val_a", "val_b"), F.col("n"))
-    # ties need the order of the values, so the largest count goes first and the least values among its pairs
-    most = pairs.groupBy("column").agg(F.max("n").alias("n"), best.alias("_"))
-    return pairs.join(most.select("column", "n"), ["column", "n"]).groupBy("column", "n").agg(F.min(F.struct("val_a", "val_b")).alias("x")).select("column", "x.val_a", "x.val_b", "n")
+    first = F.min(F.struct((-F.col("n")).alias("n"), "val_a", "val_b"))
+    return pairs.groupBy("column").agg(first.alias("x")).select("column", "x.val_a", "x.val_b", (-F.col("x.n")).alias("n"))
 
 
 def concentration(pairs: DataFrame) -> DataFrame:
@@ -107,18 +107,28 @@ def context_summary(diff: Diff, cells: DataFrame, members: Sequence[str], top: i
     beside = diff.matched.select(*diff.k, F.array_distinct(F.array(*sides)).alias("values"))
     value = cells.join(beside, diff.k).select("column", "val_a", "val_b", F.explode("values").alias("value"))
     counted = value.groupBy("column", "val_a", "val_b", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column", "val_a", "val_b")
-    ranked = counted.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "value")))
-    shown_items = F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", F.concat("value", F.lit("×"), F.col("n").cast("string")).alias("text"))))
-    out = ranked.groupBy("column", "val_a", "val_b").agg(F.array_sort(shown_items).alias("items"), F.count("*").alias("values"))
+    pair = ["column", "val_a", "val_b"]
+    # the values of a pair are dealt to SALTS parts by their hash, each of which keeps its first ones, so that a pair with
+    # very many values is no single task's work
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "value"))
+    first = counted.select("*", salt).withColumn("rank", rank(*pair, "salt")).where(F.col("rank") <= top)
+    first = first.withColumn("rank", rank(*pair)).where(F.col("rank") <= top)
+    item = F.struct("rank", F.concat("value", F.lit("×"), F.col("n").cast("string")).alias("text"))
+    items = first.groupBy(*pair).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    out = items.join(counted.groupBy(*pair).agg(F.count("*").alias("values")), pair)
     text = F.array_join(F.transform("items", lambda x: x["text"]), " | ")
     more = F.when(F.col("values") > top, F.concat(F.lit(" | +"), (F.col("values") - top).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return out.select("column", "val_a", "val_b", F.concat(text, more).alias("summary"))
 
 
 def equal_counts(diff: Diff) -> DataFrame:
-    """column, equal: matched rows whose two values are the same text."""
-    return diff.cells.groupBy("column").agg(F.count_if(F.col("val_a") == F.col("val_b")).alias("equal"))
+    """column, equal: matched rows whose two values are the same text; one aggregation of the joined rows, without cells."""
+    columns = diff.comparable
+    if not columns:
+        return diff.matched.select(F.lit("").alias("column"), F.lit(0).cast("long").alias("equal")).limit(0)
+    counts = diff.matched.agg(*(F.count_if(F.col(diff.of_a[h]) == F.col(diff.of_b[h])).alias(f"n{i}") for i, h in enumerate(columns)), F.count("*").alias("all")).where("`all` > 0")
+    return counts.select(F.stack(F.lit(len(columns)), *(x for i, h in enumerate(columns) for x in (F.lit(h), F.col(f"n{i}")))).alias("column", "equal"))
 
 
 def overview(diff: Diff, pending: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -503,6 +503,9 @@ class Session:
             if len(self.diff.k) != kept_keys:
                 raise HardFail("the keys have changed")
         except Exception:
+            if self.diff is not state["diff"]:
+                self.diff.joined.unpersist()
+                self.diff.mismatches.unpersist()
             self.__dict__.update(state)
             raise
         state["diff"].joined.unpersist()
@@ -534,6 +537,8 @@ class Session:
             raise ActionError("this is the last sheet")
         if self.remaining_work() and not confirmed:
             raise ActionError("work remains on this sheet; confirm to go on")
+        self.diff.joined.unpersist()
+        self.diff.mismatches.unpersist()
         self.sheet += 1
         self.load, pair = self.open_sheet(self.sheets[self.sheet]), self.last_pair
         self._clean()

@@ -113,6 +113,8 @@ class SheetReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         names, held = [f"c{i}" for i in range(self.width)], []
         for i, row in enumerate(rows(self.path, self.sheet)):
+            if any(x is not None for x in row[self.width :]):
+                raise ValueError(f"row {i + 1} has {len(row)} cells, the header {self.width}")
             if i:
                 held.append((row + [None] * self.width)[: self.width])
             if len(held) == _ROWS:

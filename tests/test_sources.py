@@ -43,15 +43,23 @@ def test_duplicate_headers_are_renamed(spark, tmp_path):
 
 
 def test_ranges_read_every_record_once(spark, tmp_path, monkeypatch):
+    quoted = lambda v: f'"{v.replace(chr(34), chr(34) * 2)}"'
     rows = [(str(i), 'q"\n' * (i % 4) + "x" * (i % 7)) for i in range(200)]
-    text = "id,val\n" + "".join(f'{i},"{v.replace(chr(34), chr(34) * 2)}"\n' for i, v in rows)
-    p = write(tmp_path / "a.csv", text)
-    for size in (7, 64, 1000):
-        monkeypatch.setattr(delimited, "RANGE", size)
-        r = delimited.StrictReader({"path": p, "delimiter": ",", "encoding": "utf8"}, 2)
-        parts = r.partitions()
-        assert len(parts) > 1
-        assert [tuple(x.values()) for part in parts for b in r.read(part) for x in b.to_pylist()] == rows
+    text = "id,val\n" + "".join(f"{i},{quoted(v)}\n" for i, v in rows)
+    # quotes within plain fields are text, however many there are and whatever stands beside them
+    odd = [(str(i), ['3,5" pipe', '6" x 4"', "", '"', '""', 'a\nb"', 'é""""z', '",\n"'][i % 8]) for i in range(120)]
+    plain = lambda v: v if v and "," not in v and "\n" not in v and v[0] != '"' else quoted(v)
+    stray = '\ufeffid,val\n' + "".join(f"{i},{plain(v)}\r\n" for i, v in odd)
+    for name, data, want in (("a", text, rows), ("b", stray, odd), ("c", stray.replace("\r", ""), odd)):
+        p = write(tmp_path / f"{name}.csv", data)
+        for size in (7, 64, 1000):
+            monkeypatch.setattr(delimited, "RANGE", size)
+            inside = delimited.beginnings(spark, p, "utf8", ",")
+            r = delimited.StrictReader({"path": p, "delimiter": ",", "encoding": "utf8", "inside": inside, "range": size}, 2)
+            parts = r.partitions()
+            assert len(parts) > 1
+            assert [tuple(x.values()) for part in parts for b in r.read(part) for x in b.to_pylist()] == want
+        assert load(spark, p)[1] == want
 
 
 def book(path, sheets):
