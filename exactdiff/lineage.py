@@ -6,13 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(session: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where none is set and Spark runs in one process."""
+    context = session.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = session.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"exactdiff-{uuid.uuid4().hex}"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the session's checkpoint folder; one of our own only where none is set."""
-    session = df.sparkSession
-    if session.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        own = os.path.join(tempfile.gettempdir(), f"exactdiff-{uuid.uuid4().hex}")
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or own)
+    """The same rows, written to the session's checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from exactdiff.operators.diff import Diff
+
 SIZE = 100
 
 
@@ -24,6 +26,15 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int =
     return page_frame(df, order, number, size).collect(), number, pages
 
 
+def with_context(diff: Diff, rows: DataFrame, members: Sequence[str]) -> DataFrame:
+    """A page's rows with what stands beside them: for each member its value on either side, as a0__, b0__ and so on in the
+    order of members; null where a side lacks the column. Only the page's keys are looked up."""
+    names = [(side, f"{side}{i}__", of.get(m)) for i, m in enumerate(members) for side, of in (("a", diff.of_a), ("b", diff.of_b))]
+    beside = diff.joined.select(*diff.k, *((F.col(c) if c else F.lit(None).cast("string")).alias(name) for _, name, c in names))
+    # a page has SIZE rows at most, which bounds the broadcast
+    return beside.join(F.broadcast(rows.limit(SIZE)), diff.k)
+
+
 def after(df: DataFrame, columns: Sequence[str], values: Sequence) -> DataFrame:
     """The first row, by columns, that lies strictly behind the values; else the last row; none if df is empty."""
     here = F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, values)))

@@ -148,6 +148,18 @@ ORACLE: dict[str, str] = {
     "returned_cells": _with(CELLS, STORE, f"b2 AS ({sql('B', 'duckdb', later=True)})", _cells("cells2", "a", "b2"), select='SELECT c.* FROM cells2 c SEMI JOIN (SELECT okey, bucket, "column" AS col FROM acc) s ON c.okey = s.okey AND c.bucket = s.bucket AND c."column" = s.col WHERE val_a <> val_b AND NOT EXISTS (SELECT 1 FROM acc t WHERE t.okey = c.okey AND t.bucket = c.bucket AND t."column" = c."column" AND t.val_a = c.val_a AND t.val_b = c.val_b)'),
     "returned_keys": _with(SIDES, f"b2 AS ({sql('B', 'duckdb', later=True)})", select="SELECT 'B' AS side, okey, bucket FROM b2 JOIN b USING (okey, bucket) WHERE b2.status <> b.status AND okey NOT IN (SELECT okey FROM a)"),
 }
+_LATER = f"b2 AS ({sql('B', 'duckdb', later=True)}), {_cells('cells2', 'a', 'b2')}"
+_MARKED = """marked AS (SELECT c.*, EXISTS (SELECT 1 FROM acc t WHERE t.okey = c.okey AND t.bucket = c.bucket AND t."column" = c."column") AS returned FROM cells2 c WHERE val_a <> val_b AND "column" = 'status' AND NOT EXISTS (SELECT 1 FROM acc t WHERE t.okey = c.okey AND t.bucket = c.bucket AND t."column" = c."column" AND t.val_a = c.val_a AND t.val_b = c.val_b))"""
+_ROW = " || '|' || ".join(f'{{t}}."{c}"' for c in [*COLUMNS, "Ship Code"])
+_NATIONS = """CAST(n_nationkey AS STRING) AS "key", concat(n_name, ', "', substr(n_name, 1, 2), '"', chr(10), 'line') AS name, CASE WHEN n_nationkey % 2 = 1 THEN concat(n_nationkey, '" pipe') ELSE '' END AS size FROM nation"""
+ORACLE |= {
+    "cell_page_context": _with(CELLS, STORE, _LATER, _MARKED, select='SELECT m.*, a.priority AS priority_a, b2.priority AS priority_b, a.ship_code AS ship_code_a, CAST(NULL AS STRING) AS ship_code_b FROM (SELECT * FROM marked ORDER BY okey, bucket LIMIT 100) m JOIN a USING (okey, bucket) JOIN b2 USING (okey, bucket)'),
+    "pairs_returned": _with(CELLS, STORE, _LATER, _MARKED, select='SELECT "column", val_a, val_b, count(*) AS n, bool_or(returned) AS returned FROM marked GROUP BY 1, 2, 3'),
+    "pair_page_context": _with(CELLS, PAIRS, "page AS (SELECT * FROM pairs WHERE \"column\" = 'share' ORDER BY n DESC, val_a, val_b LIMIT 100)", f"beside AS (SELECT DISTINCT okey, bucket, value FROM (SELECT okey, bucket, {_SHOWN('yn')} AS value FROM a UNION ALL SELECT okey, bucket, {_SHOWN('yn')} FROM b))", 'counted AS (SELECT "column", val_a, val_b, value, count(*) AS k FROM mis JOIN page USING ("column", val_a, val_b) JOIN beside USING (okey, bucket) GROUP BY ALL)', 'text AS (SELECT "column", val_a, val_b, string_agg(concat(value, \'×\', k), \' | \' ORDER BY k DESC, value) AS summary FROM counted GROUP BY ALL)', select='SELECT page.*, summary FROM page LEFT JOIN text USING ("column", val_a, val_b)'),
+    "unmatched_page_flags": _with(SIDES, f"b2 AS ({sql('B', 'duckdb', later=True)})", "old AS (SELECT * FROM b WHERE okey NOT IN (SELECT okey FROM a) AND bucket IN ('0', '1', '2'))", select=f"SELECT 'B' AS side, b2.okey, b2.bucket, coalesce({_ROW.format(t='b2')} = {_ROW.format(t='old')}, false) AS accepted, coalesce({_ROW.format(t='b2')} <> {_ROW.format(t='old')}, false) AS returned FROM b2 LEFT JOIN old ON b2.okey = old.okey AND b2.bucket = old.bucket WHERE b2.okey NOT IN (SELECT okey FROM a) ORDER BY b2.okey, b2.bucket LIMIT 100"),
+    "load_delimited": f"SELECT {_NATIONS}",
+    "load_xlsx": f"SELECT {_NATIONS}",
+}
 _ROSTER_PARTS = [("accepted", 'SELECT "column", count(*) AS accepted FROM acc GROUP BY 1'), ("equal", 'SELECT "column", count(*) FILTER (WHERE val_a = val_b) AS equal FROM cells GROUP BY 1'), ("constants", _CONSTANTS), ("conc", 'SELECT "column", CAST(sum(n) AS BIGINT) AS pending, max(n) / sum(n) AS concentration FROM ppairs GROUP BY 1'), ("cat", f'SELECT "column", categorical FROM ({_categorical("pend")})'), ("matrix", _matrix("pdated"))]
 ORACLE["column_roster"] = _with(
     CELLS, STORE, 'ppairs AS (SELECT "column", val_a, val_b, count(*) AS n FROM pend GROUP BY ALL)', f"pdated AS (SELECT *, {_date('val_a')} AS da, {_date('val_b')} AS db FROM ppairs)",

@@ -13,6 +13,8 @@ from exactdiff.operators import pages, snapshots, suggest, summary
 from exactdiff.operators.diff import Diff, Side
 from exactdiff.operators.diff import duplicate_keys as repeated
 from exactdiff.plans import fixture
+from exactdiff.plans.files import shared_file, workbook
+from exactdiff.sources.load import source
 from exactdiff.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,6 +273,56 @@ def returned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.named(refresh.returned_keys(now, pending, store).drop("row"))
 
 
+def _returned_marks(spark: SparkSession, sf_dir: str) -> tuple[Diff, DataFrame]:
+    before, now = fixture.diff(spark, sf_dir), fixture.diff(spark, sf_dir, later=True)
+    store = fixture.accepted_cells(before)
+    return now, refresh.cells_marked(now, snapshots.split(now.mismatches, store, snapshots.cell_identity(now))[0], store)
+
+
+def cell_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, marked = _returned_marks(spark, sf_dir)
+    rows = pages.page_frame(snapshots.of_column(marked, "status"), now.k, 0)
+    return now.named(pages.with_context(now, rows, ["priority", "ship_code"])).withColumnsRenamed({"a0__": "priority_a", "b0__": "priority_b", "a1__": "ship_code_a", "b1__": "ship_code_b"})
+
+
+def pairs_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.pairs_marked(snapshots.of_column(_returned_marks(spark, sf_dir)[1], "status"))
+
+
+def pair_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture.diff(spark, sf_dir)
+    cells = snapshots.of_column(d.mismatches, "share")
+    page = pages.page_frame(summary.pair_groups(cells), summary.pair_order(), 0)
+    beside = summary.context_summary(d, cells.join(F.broadcast(page.select("column", "val_a", "val_b")), ["column", "val_a", "val_b"], "left_semi"), ["yn"])
+    return page.join(beside, ["column", "val_a", "val_b"], "left")
+
+
+def unmatched_page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, now = fixture.diff(spark, sf_dir), fixture.diff(spark, sf_dir, later=True)
+    store = snapshots.unmatched(before, "B").where("k1 in ('0', '1', '2')")
+    marked = refresh.rows_marked(now, snapshots.unmatched(now, "B"), store)
+    return now.named(pages.page_frame(marked.drop("row"), now.k, 0))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list[list[str]]:
+    """A table of 25 rows at every size, with quotes, delimiters and line breaks in its texts."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    return [["key", "name", "size"], *([str(r.n_nationkey), f'{r.n_name}, "{r.n_name[:2]}"\nline', f'{r.n_nationkey}" pipe' if r.n_nationkey % 2 else ""] for r in rows)]
+
+
+def load_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = lambda x: f'"{x.replace(chr(34), chr(34) * 2)}"' if "," in x else x
+    text = "\r\n".join(",".join(map(quoted, r)) for r in _nations(spark, sf_dir))
+    side = source(shared_file(spark, "nations.csv", text.encode()), "A").load(spark)
+    return side.frame.toDF(*side.headers)
+
+
+def load_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = source(shared_file(spark, "nations.xlsx", workbook("nations", _nations(spark, sf_dir))), "A", sheet="nations").load(spark)
+    return side.frame.toDF(*side.headers)
+
+
+found |= {"cell_page_context": cell_page_context, "pairs_returned": pairs_returned, "pair_page_context": pair_page_context, "unmatched_page_flags": unmatched_page_flags, "load_delimited": load_delimited, "load_xlsx": load_xlsx}
 found |= {"suggest_extras_preview": suggest_extras_preview, "returned_cells": returned_cells, "returned_keys": returned_keys}
 
 
