@@ -14,7 +14,7 @@ def folder(session: SparkSession) -> str:
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = session.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
+        if named is None and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"exactdiff-{uuid.uuid4().hex}"))
     return context._jsc.sc().getCheckpointDir().get()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exactdiff.functions.checks import CHECKS, checked
 from exactdiff.functions.text import first_difference
+from exactdiff.lineage import cut
 from exactdiff.operators import pages, snapshots, suggest, summary
 from exactdiff.operators.diff import Diff, Side
 from exactdiff.operators.diff import duplicate_keys as repeated
@@ -247,7 +248,7 @@ def sentinel_columns(d: Diff) -> DataFrame:
 @_on_diff
 def column_roster(d: Diff) -> DataFrame:
     pending, accepted = _pending(d)
-    pairs = summary.pair_groups(pending)
+    pairs = cut(summary.pair_groups(pending))  # three summaries read them
     parts = [summary.count_by_column(accepted, "accepted"), summary.equal_counts(d), summary.column_constants(d), summary.concentration(pairs).drop("top_n"), summary.categorical(pairs).select("column", "categorical"), summary.check_matrix(pairs).withColumnRenamed("trim+case", "trim_case")]
     order = d.matched.sparkSession.createDataFrame([(i, h) for i, h in enumerate(d.comparable)], "place int, column string")
     for p in parts:

@@ -84,10 +84,10 @@ def test_workbook(spark, tmp_path):
     assert xlsx.sheet_names(p) == ["data1", "data2"]
     with pytest.raises(HardFail, match="Missing sheet 'x'.*data1, data2"):
         load(spark, p, sheet="x")
-    with pytest.raises(HardFail, match="--a-sheet is required"):
+    with pytest.raises(HardFail, match="say which sheet with --a-sheet"):
         source(p, "A")
     check_sheets({"A": p, "B": p}, ["data1", "data2"])
-    with pytest.raises(HardFail, match="Missing sheet 'data3'"):
+    with pytest.raises(HardFail, match="lacks sheet 'data3'"):
         check_sheets({"A": p, "B": p}, ["data3"])
 
 
