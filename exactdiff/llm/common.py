@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set, as in tests."""
+    """The shared folder that the session names; one of our own only where none is set and Spark runs in one process."""
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"exactdiff-{uuid.uuid4().hex}"))
     return context._jsc.sc().getCheckpointDir().get()
 
