@@ -235,3 +235,29 @@ def test_nearest_edge_cases(spark):
     found = sorted(map(tuple, nearest.nearest(df.withColumn("score", F.lit(1)), F.col("vec_id") % 20 == 0, k=3).collect()))
     assert found == [(0, 1, 5, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 5, 0.0), (20, 3, 6, 0.0)]
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_few_rows_are_verified_and_the_nearest_are_among_them():
+    r = np.random.default_rng(12)
+    x = r.standard_normal((4000, 64))
+    x[1000:1500] = x[1000]  # one common vector
+    ids, q, verified = np.arange(len(x)), x[::50], []
+    at, found, _ = nearest.search_block(ids, x, ids[::50], q, 20, float(np.sqrt((x * x).sum(1)).max()), verified)
+    assert len(verified) == len(q) and sum(verified) < 0.25 * len(q) * len(x)
+    score, hit = q @ x.T, 0
+    score[np.arange(len(q)), ids[::50]] = -np.inf
+    least = np.sort(score, axis=1)[:, -20]
+    for i, j in zip(at, found):
+        hit += score[i, j] >= least[i] - 1e-9
+    assert hit >= 0.9 * 20 * len(q)
+
+
+def test_a_repeated_query_row_asks_once(spark):
+    rows = [(i, [float(i % 5), 1.0 + i]) for i in range(15)] + [(0, [0.0, 1.0])] * 3 + [(20, [1.0, 0.0]), (20, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = nearest.nearest(df, F.col("vec_id") % 20 == 0, k=4).collect()
+    own = sorted((f.rank, f.vec_id) for f in found if f.query_id == 0)
+    assert own == [(1, 14), (2, 13), (3, 12), (4, 11)]
+    other = sorted((f.rank, f.vec_id, f.score) for f in found if f.query_id == 20)
+    assert [r for r, _, _ in other] == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert {(1, 4, 4.0), (1, 0, -1.0)} <= set(other)
