@@ -38,7 +38,7 @@ def _money(s: Sides) -> Column:
 
 def _share(x: Column) -> Column:
     x = strip(x)
-    return F.when(x.endswith("%"), number(F.regexp_replace(x, "%$", "")) / 100.0).otherwise(number(x))
+    return F.when(x.endswith("%"), number(F.regexp_replace(x, r"%\z", "")) / 100.0).otherwise(number(x))
 
 
 def _percent(s: Sides) -> Column:
@@ -46,13 +46,13 @@ def _percent(s: Sides) -> Column:
 
 
 def _padded(s: Sides) -> Column:
-    digits = s.a.rlike("^[0-9]+$") & s.b.rlike("^[0-9]+$")
+    digits = s.a.rlike(r"^[0-9]+\z") & s.b.rlike(r"^[0-9]+\z")
     return digits & (F.regexp_replace(s.a, "^0+", "") == F.regexp_replace(s.b, "^0+", ""))
 
 
 def _accounting(s: Sides) -> Column:
-    boxed = lambda x: strip(x).rlike(r"(?s)^\(.*\)$")
-    value = lambda x: F.when(boxed(x), number(F.concat(F.lit("-"), strip(F.regexp_extract(strip(x), r"(?s)^\((.*)\)$", 1))))).otherwise(number(x))
+    boxed = lambda x: strip(x).rlike(r"(?s)^\(.*\)\z")
+    value = lambda x: F.when(boxed(x), number(F.concat(F.lit("-"), strip(F.regexp_extract(strip(x), r"(?s)^\((.*)\)\z", 1))))).otherwise(number(x))
     return (boxed(s.a) | boxed(s.b)) & (value(s.a) == value(s.b))
 
 

@@ -34,7 +34,7 @@ def _read(x: Column, layout: str) -> Column:
     short = part.get("y")
     year = part["Y"] if short is None else F.concat(F.when(short >= "69", "19").otherwise("20"), short)
     text = F.concat(year, F.lit("-"), part["m"], F.lit("-"), part.get("d", F.lit("01")))
-    fits = x.rlike("^" + "".join(_PATTERN.get(c, c) for c in layout) + "$") & (year >= "0001")
+    fits = x.rlike("^" + "".join(_PATTERN.get(c, c) for c in layout) + r"\z") & (year >= "0001")
     return F.when(fits, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
@@ -47,5 +47,5 @@ def calendar_date(x: Column) -> Column:
 
 def serial_date(x: Column, date: Column) -> Column:
     """The date of a spreadsheet's day number from 0 to 99999, unless x has a calendar date itself."""
-    n = F.when(x.rlike("^0*[0-9]{1,5}$"), x.try_cast("int"))
+    n = F.when(x.rlike(r"^0*[0-9]{1,5}\z"), x.try_cast("int"))
     return F.when(n.isNotNull() & date.isNull(), F.date_add(F.lit("1899-12-30").cast("date"), n))

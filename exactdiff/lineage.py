@@ -24,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the session's checkpoint folder."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet folder below the session's checkpoint folder: filters reach its row groups, and parts of
+    it can be read alone."""
+    path = f"{folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ class Side:
         """df as texts: null becomes the empty text, and rows of empty texts only are dropped."""
         headers = tuple(df.columns if headers is None else headers)
         if not headers:
-            raise HardFail("Header row is required")
+            raise HardFail("a side needs a header row")
         plain = df.toDF(*(f"c{i}" for i in range(len(headers))))
         plain = plain.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in plain.columns))
         return cls(headers, plain.where(reduce(Column.__or__, (F.col(c) != "" for c in plain.columns))))
@@ -54,11 +54,11 @@ class Diff:
         for name, side in (("A", a), ("B", b)):
             twice = [h for i, h in enumerate(side.headers) if h in side.headers[:i]]
             if twice:
-                raise HardFail(f"Duplicate column name on side {name}: {twice[0]!r}")
+                raise HardFail(f"side {name} has two columns named {twice[0]!r}")
         for name, side in (("A", a), ("B", b)):
             missing = [k for k in keys if k not in side.headers]
             if missing:
-                raise HardFail(f"Missing key column {missing[0]!r} on side {name}")
+                raise HardFail(f"side {name} lacks the key column {missing[0]!r}")
         self.a, self.b, self.keys = a, b, tuple(keys)
         both = [h for h in a.headers if h in b.headers]
         self.comparable = [h for h in both if h not in keys]
@@ -74,7 +74,7 @@ class Diff:
         """HardFail if a key of either side occurs twice; the first such key in order is named."""
         for name, side in (("A", self.a), ("B", self.b)):
             for row in duplicate_keys(side, self.keys).orderBy(*self.k).limit(1).collect():
-                raise HardFail(f"Duplicate key on side {name}: {key_text(tuple(row[:-1]))} occurs {row.n} times")
+                raise HardFail(f"side {name} has the key {key_text(tuple(row[:-1]))} on {row.n} rows")
 
     @cached_property
     def joined(self) -> DataFrame:

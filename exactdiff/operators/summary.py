@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exactdiff.functions.checks import CHECKS, checked
-from exactdiff.operators.diff import Diff
+from exactdiff.operators.diff import CELL, Diff
 
 #: Distinct pending values at most of a categorical column: side A, side B, both together. Fixed values.
 CATEGORICAL = (30, 30, 50)
@@ -94,20 +94,35 @@ def context_value(x: Column) -> Column:
     return F.when(x == "", F.lit("(empty)")).otherwise(x)
 
 
-def context_summary(diff: Diff, cells: DataFrame, members: Sequence[str], top: int = TOP) -> DataFrame:
-    """column, val_a, val_b, summary: which context values stand beside a pair, as `foo×12 | bar×4 | +N more`.
-
-    members: one context column, or several whose values form a tuple joined by |. Both sides' values count, one that
-    both sides of a row have only once; more frequent ones first, then by value."""
-    shown = lambda names: F.concat_ws("|", *(context_value(F.col(names[m])) for m in members)) if all(m in names for m in members) else None
-    sides = [x for x in (shown(diff.of_a), shown(diff.of_b)) if x is not None]
-    if not sides:
-        only_a = F.concat_ws("|", *(context_value(F.col(diff.of_a.get(m) or diff.of_b[m])) for m in members))
-        sides = [only_a]
-    beside = diff.matched.select(*diff.k, F.array_distinct(F.array(*sides)).alias("values"))
-    value = cells.join(beside, diff.k).select("column", "val_a", "val_b", F.explode("values").alias("value"))
-    counted = value.groupBy("column", "val_a", "val_b", "value").agg(F.count("*").alias("n"))
-    pair = ["column", "val_a", "val_b"]
+def context_views(diff: Diff, column: str, views: Mapping[str, Sequence[str]], accepted: DataFrame | None = None, pairs: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """view, column, val_a, val_b, summary: which context values stand beside a column's pending pairs, for several
+    views in one pass over its cells, as `foo×12 | bar×4 | +N more`.
+
+    views: by name, one context column each, or several whose values form a tuple joined by |. Both sides' values count,
+    one that both sides of a row have only once; more frequent ones first, then by value. accepted: snapshots whose cells
+    are left out; pairs: the pairs (val_a, val_b) to look at, a page of them at most."""
+
+    def shown(names: dict[str, str], members: Sequence[str]) -> Column | None:
+        return F.concat_ws("|", *(context_value(F.col(names[m])) for m in members)) if all(m in names for m in members) else None
+
+    def values(members: Sequence[str]) -> Column:
+        sides = [x for x in (shown(diff.of_a, members), shown(diff.of_b, members)) if x is not None]
+        return F.array_distinct(F.array(*(sides or [shown(diff.of_b | diff.of_a, members)])))
+
+    def named(name: str, found: Column) -> Column:
+        return F.transform(found, lambda v: F.struct(F.lit(name).alias("view"), v.alias("value")))
+
+    beside = F.flatten(F.array(*(named(name, values(m)) for name, m in views.items())))
+    # the values go along with the cell that they stand beside, so the rows are not joined again
+    cells = diff.matched.select(*diff.k, F.lit(column).alias("column"), F.col(diff.of_a[column]).alias("val_a"), F.col(diff.of_b[column]).alias("val_b"), beside.alias("beside")).where("val_a <> val_b")
+    if pairs is not None:
+        cells = cells.join(F.broadcast(pairs.select("val_a", "val_b").distinct()), ["val_a", "val_b"], "left_semi")
+    if accepted is not None:
+        identity = [*diff.k, *CELL]
+        cells = cells.join(accepted.where(F.col("column") == column).select(*identity).distinct(), identity, "left_anti")
+    value = cells.select("column", "val_a", "val_b", F.explode("beside").alias("x")).select("x.view", "column", "val_a", "val_b", "x.value")
+    counted = value.groupBy("view", "column", "val_a", "val_b", "value").agg(F.count("*").alias("n"))
+    pair = ["view", "column", "val_a", "val_b"]
     # the values of a pair are dealt to SALTS parts by their hash, each of which keeps its first ones, so that a pair with
     # very many values is no single task's work
     salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt")
@@ -119,7 +134,12 @@ def context_summary(diff: Diff, cells: DataFrame, members: Sequence[str], top: i
     out = items.join(counted.groupBy(*pair).agg(F.count("*").alias("values")), pair)
     text = F.array_join(F.transform("items", lambda x: x["text"]), " | ")
     more = F.when(F.col("values") > top, F.concat(F.lit(" | +"), (F.col("values") - top).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return out.select("column", "val_a", "val_b", F.concat(text, more).alias("summary"))
+    return out.select(*pair, F.concat(text, more).alias("summary"))
+
+
+def context_summary(diff: Diff, column: str, members: Sequence[str], accepted: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """column, val_a, val_b, summary: context_views() with one view."""
+    return context_views(diff, column, {"": members}, accepted, pairs).drop("view")
 
 
 def equal_counts(diff: Diff) -> DataFrame:

@@ -26,6 +26,8 @@ COLUMNS = {
     "note": ("CONCAT('lot ', o_orderpriority)", "CASE WHEN o_orderkey % 6 = 1 THEN CONCAT('lot  ', o_orderpriority) ELSE CONCAT('lot ', o_orderpriority) END"),
     "code": ("CONCAT('P-', CAST(o_custkey % 50 AS STRING))", "CASE WHEN o_orderkey % 6 = 2 THEN CONCAT('P–', CAST(o_custkey % 50 AS STRING)) ELSE CONCAT('P-', CAST(o_custkey % 50 AS STRING)) END"),
     "place": ("CASE WHEN o_custkey % 3 = 0 THEN 'Orléans' ELSE 'Málaga' END", "CASE WHEN o_orderkey % 6 = 3 THEN CASE WHEN o_custkey % 3 = 0 THEN 'Orleans' ELSE 'Malaga' END WHEN o_custkey % 3 = 0 THEN 'Orléans' ELSE 'Málaga' END"),
+    "stamp": (DAY, f"CASE WHEN o_orderkey % 4 = 2 THEN CONCAT({DAY}, 'T00:00:00') ELSE {DAY} END"),
+    "memo": (f"CASE o_orderkey % 7 WHEN 0 THEN {DAY} WHEN 1 THEN '012' WHEN 2 THEN 'x y' WHEN 3 THEN 'ab' WHEN 4 THEN '1–2' WHEN 5 THEN '7' ELSE '44927' END", f"CASE o_orderkey % 7 WHEN 0 THEN CONCAT(REPLACE({DAY}, '-', ''), CHR(10)) WHEN 1 THEN CONCAT('12', CHR(10)) WHEN 2 THEN CONCAT('x', CHR(160), 'y') WHEN 3 THEN CONCAT(CHR(9), 'ab') WHEN 4 THEN '1—2' WHEN 5 THEN CONCAT('7', CHR(10)) ELSE CONCAT('44927', CHR(10)) END"),
 }
 KEY = "CAST(o_orderkey AS STRING)"
 KEYS = ["okey", "bucket"]

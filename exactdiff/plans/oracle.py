@@ -1,6 +1,7 @@
 """DuckDB SQL for the rows of each query in `queries`, written from what the operators mean.
 
-Text functions are stated for the characters that the fixture holds: spaces, é and á, and the en dash.
+Text functions are stated for the characters that the fixture holds: spaces, tabs, line breaks, no-break spaces, é and á,
+the en dash and the em dash.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ STORE = "acc AS (SELECT * FROM mis WHERE \"column\" = 'status' AND bucket IN ('0
 PAIRS = 'pairs AS (SELECT "column", val_a, val_b, count(*) AS n FROM mis GROUP BY ALL)'
 
 
+_SPACES = "concat(' ', chr(9), chr(10), chr(160))"
+
+
 def _strip(x: str) -> str:
-    return f"trim({x})"
+    return f"trim({x}, {_SPACES})"
 
 
 def _number(x: str) -> str:
-    return f"(CASE WHEN regexp_full_match(trim({x}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_full_match({_strip(x)}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({_strip(x)} AS DOUBLE) END)"
 
 
 #: Layout and width of each form that a date may have. Fixed values.
@@ -42,28 +46,28 @@ def _date(x: str) -> str:
 
 def _checks(a: str, b: str, da: str, db: str) -> dict[str, str]:
     money = lambda x: f"regexp_replace({x}, '[$€£, ]', '', 'g')"
-    share = lambda x: f"(CASE WHEN ends_with(trim({x}), '%') THEN {_number(f"rtrim(trim({x}), '%')")} / 100.0 ELSE {_number(x)} END)"
-    boxed = lambda x: f"(trim({x}) LIKE '(%)')"
-    owed = lambda x: f"(CASE WHEN {boxed(x)} THEN -{_number(f'substr(trim({x}), 2, length(trim({x})) - 2)')} ELSE {_number(x)} END)"
+    share = lambda x: f"(CASE WHEN ends_with({_strip(x)}, '%') THEN {_number(f"rtrim({_strip(x)}, '%')")} / 100.0 ELSE {_number(x)} END)"
+    boxed = lambda x: f"({_strip(x)} LIKE '(%)')"
+    owed = lambda x: f"(CASE WHEN {boxed(x)} THEN -{_number(f'substr({_strip(x)}, 2, length({_strip(x)}) - 2)')} ELSE {_number(x)} END)"
     serial = lambda x, d: f"(CASE WHEN regexp_full_match({x}, '0*[0-9]{{1,5}}') AND {d} IS NULL THEN DATE '1899-12-30' + CAST({x} AS INTEGER) END)"
     truths = ", ".join(f"'{t}'" for t in TRUTHS)
     digits = f"regexp_full_match({a}, '[0-9]+') AND regexp_full_match({b}, '[0-9]+')"
     return {
-        "trim": f"trim({a}) = trim({b})",
+        "trim": f"{_strip(a)} = {_strip(b)}",
         "case": f"lower({a}) = lower({b})",
-        "trim+case": f"lower(trim({a})) = lower(trim({b}))",
+        "trim+case": f"lower({_strip(a)}) = lower({_strip(b)})",
         "num": f"{_number(a)} = {_number(b)}",
-        "ws": f"{a} <> trim({a}) OR {b} <> trim({b})",
+        "ws": " OR ".join(f"{x} <> {_strip(x)} OR regexp_matches({x}, concat('[', chr(9), chr(10), chr(160), ']'))" for x in (a, b)),
         "date": f"{da} = {db}",
         "money": f"({money(a)} <> {a} OR {money(b)} <> {b}) AND {_number(money(a))} = {_number(money(b))}",
-        "pct": f"(ends_with(trim({a}), '%') OR ends_with(trim({b}), '%')) AND {share(a)} = {share(b)}",
+        "pct": f"(ends_with({_strip(a)}, '%') OR ends_with({_strip(b)}, '%')) AND {share(a)} = {share(b)}",
         "idpad": f"{digits} AND ltrim({a}, '0') = ltrim({b}, '0')",
         "bool": f"lower({a}) IN ({truths}) AND lower({b}) IN ({truths})",
         "acctneg": f"({boxed(a)} OR {boxed(b)}) AND {owed(a)} = {owed(b)}",
         "xlsdate": f"coalesce({da}, {serial(a, da)}) = coalesce({db}, {serial(b, db)}) AND ({serial(a, da)} IS NOT NULL OR {serial(b, db)} IS NOT NULL)",
-        "inws": f"regexp_replace({a}, '\\s+', ' ', 'g') = regexp_replace({b}, '\\s+', ' ', 'g')",
-        "dash": f"replace({a}, '–', '-') = replace({b}, '–', '-')",
-        "fold": f"strip_accents({a}) = strip_accents({b})",
+        "inws": " = ".join(f"regexp_replace({x}, concat('[', {_SPACES}, ']+'), ' ', 'g')" for x in (a, b)),
+        "dash": f"translate({a}, '–—', '--') = translate({b}, '–—', '--')",
+        "fold": f"strip_accents(replace({a}, chr(160), ' ')) = strip_accents(replace({b}, chr(160), ' '))",
     }
 
 
@@ -152,12 +156,13 @@ _LATER = f"b2 AS ({sql('B', 'duckdb', later=True)}), {_cells('cells2', 'a', 'b2'
 _MARKED = """marked AS (SELECT c.*, EXISTS (SELECT 1 FROM acc t WHERE t.okey = c.okey AND t.bucket = c.bucket AND t."column" = c."column") AS returned FROM cells2 c WHERE val_a <> val_b AND "column" = 'status' AND NOT EXISTS (SELECT 1 FROM acc t WHERE t.okey = c.okey AND t.bucket = c.bucket AND t."column" = c."column" AND t.val_a = c.val_a AND t.val_b = c.val_b))"""
 _ROW = " || '|' || ".join(f'{{t}}."{c}"' for c in [*COLUMNS, "Ship Code"])
 _NATIONS = """CAST(n_nationkey AS STRING) AS "key", concat(n_name, ', "', substr(n_name, 1, 2), '"', chr(10), 'line') AS name, CASE WHEN n_nationkey % 2 = 1 THEN concat(n_nationkey, '" pipe') ELSE '' END AS size FROM nation"""
+_ORDERS = """CAST(o_orderkey AS STRING) AS "key", CASE o_orderkey % 4 WHEN 0 THEN concat(o_orderpriority, ', "', substr(o_orderpriority, 1, 2), '"', chr(10), 'line') WHEN 1 THEN concat(chr(13), chr(10), '"', chr(10), o_orderstatus) WHEN 2 THEN '' ELSE concat(o_orderpriority, '" pipe') END AS name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS total FROM orders"""
 ORACLE |= {
     "cell_page_context": _with(CELLS, STORE, _LATER, _MARKED, select='SELECT m.*, a.priority AS priority_a, b2.priority AS priority_b, a.ship_code AS ship_code_a, CAST(NULL AS STRING) AS ship_code_b FROM (SELECT * FROM marked ORDER BY okey, bucket LIMIT 100) m JOIN a USING (okey, bucket) JOIN b2 USING (okey, bucket)'),
     "pairs_returned": _with(CELLS, STORE, _LATER, _MARKED, select='SELECT "column", val_a, val_b, count(*) AS n, bool_or(returned) AS returned FROM marked GROUP BY 1, 2, 3'),
     "pair_page_context": _with(CELLS, PAIRS, "page AS (SELECT * FROM pairs WHERE \"column\" = 'share' ORDER BY n DESC, val_a, val_b LIMIT 100)", f"beside AS (SELECT DISTINCT okey, bucket, value FROM (SELECT okey, bucket, {_SHOWN('yn')} AS value FROM a UNION ALL SELECT okey, bucket, {_SHOWN('yn')} FROM b))", 'counted AS (SELECT "column", val_a, val_b, value, count(*) AS k FROM mis JOIN page USING ("column", val_a, val_b) JOIN beside USING (okey, bucket) GROUP BY ALL)', 'text AS (SELECT "column", val_a, val_b, string_agg(concat(value, \'×\', k), \' | \' ORDER BY k DESC, value) AS summary FROM counted GROUP BY ALL)', select='SELECT page.*, summary FROM page LEFT JOIN text USING ("column", val_a, val_b)'),
     "unmatched_page_flags": _with(SIDES, f"b2 AS ({sql('B', 'duckdb', later=True)})", "old AS (SELECT * FROM b WHERE okey NOT IN (SELECT okey FROM a) AND bucket IN ('0', '1', '2'))", select=f"SELECT 'B' AS side, b2.okey, b2.bucket, coalesce({_ROW.format(t='b2')} = {_ROW.format(t='old')}, false) AS accepted, coalesce({_ROW.format(t='b2')} <> {_ROW.format(t='old')}, false) AS returned FROM b2 LEFT JOIN old ON b2.okey = old.okey AND b2.bucket = old.bucket WHERE b2.okey NOT IN (SELECT okey FROM a) ORDER BY b2.okey, b2.bucket LIMIT 100"),
-    "load_delimited": f"SELECT {_NATIONS}",
+    "load_delimited": f"SELECT {_ORDERS}",
     "load_xlsx": f"SELECT {_NATIONS}",
 }
 _ROSTER_PARTS = [("accepted", 'SELECT "column", count(*) AS accepted FROM acc GROUP BY 1'), ("equal", 'SELECT "column", count(*) FILTER (WHERE val_a = val_b) AS equal FROM cells GROUP BY 1'), ("constants", _CONSTANTS), ("conc", 'SELECT "column", CAST(sum(n) AS BIGINT) AS pending, max(n) / sum(n) AS concentration FROM ppairs GROUP BY 1'), ("cat", f'SELECT "column", categorical FROM ({_categorical("pend")})'), ("matrix", _matrix("pdated"))]
@@ -166,6 +171,51 @@ ORACLE["column_roster"] = _with(
     "names AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(NAMES)) + ') t(place, "column"))',
     select="SELECT * REPLACE (coalesce(accepted, 0) AS accepted, coalesce(pending, 0) AS pending, round(coalesce(concentration, 0), 9) AS concentration) FROM names " + " ".join(f'LEFT JOIN ({q}) {n} USING ("column")' for n, q in _ROSTER_PARTS),
 )
+
+
+def _after(accepted: str) -> str:
+    """What the roster shows of columns if cells that fit a condition are accepted."""
+    cells = f"state AS (SELECT *, coalesce({accepted}, false) AS done FROM mis)"
+    pairs = "spairs AS (SELECT \"column\", val_a, val_b, count_if(NOT done) AS n, count_if(done) AS m FROM state GROUP BY 1, 2, 3)"
+    live = "ppairs AS (SELECT \"column\", val_a, val_b, CAST(n AS BIGINT) AS n FROM spairs WHERE n > 0)"
+    top = 'top AS (SELECT * FROM ppairs QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, val_a, val_b) = 1)'
+    dated = f"pdated AS (SELECT *, {_date('val_a')} AS da, {_date('val_b')} AS db FROM ppairs)"
+    kinds = f'(SELECT "column", categorical FROM ({_categorical("ppairs")})) k'
+    select = f'SELECT s."column", CAST(pending AS BIGINT) AS pending, CAST(accepted AS BIGINT) AS accepted, t.val_a, t.val_b, t.n AS top_n, round(coalesce(t.n / pending, 0), 9) AS concentration, categorical, m.* EXCLUDE ("column") FROM (SELECT "column", sum(n) AS pending, sum(m) AS accepted FROM spairs GROUP BY 1) s LEFT JOIN top t ON t."column" = s."column" LEFT JOIN {kinds} ON k."column" = s."column" LEFT JOIN ({_matrix("pdated")}) m ON m."column" = s."column"'
+    return _with(CELLS, cells, pairs, live, top, dated, select=select)
+
+
+_BEFORE = "\"column\" = 'status' AND bucket IN ('0', '1', '2')"
+_VIEWS = {"priority": _SHOWN("priority"), "0: status + ship_code": None, "3: flag + status": f"concat_ws('|', {_SHOWN('flag')}, {_SHOWN('status')})"}
+_VIEWED = " UNION ALL ".join(
+    [f"SELECT okey, bucket, '{name}' AS view, {x} AS value FROM {t}" for name, x in _VIEWS.items() if x for t in "ab"] + [f"SELECT okey, bucket, '0: status + ship_code', concat_ws('|', {_SHOWN('status')}, {_SHOWN('ship_code')}) FROM a"]
+)
+#: Signs for what can't be seen, for the characters that the fixture holds.
+_DOTS = lambda x: f"repeat('·', length({x}))"
+_SIGNS = lambda x: f"translate({x}, concat(chr(9), chr(10), chr(160)), '→↵␣')"
+_VISIBLE = lambda x: f"CASE WHEN {x} = '' THEN '(empty)' WHEN trim({x}) = '' THEN {_DOTS(x)} ELSE repeat('·', length({x}) - length(ltrim({x}))) || {_SIGNS(f'trim({x})')} || repeat('·', length({x}) - length(rtrim({x}))) END"
+
+
+def _window(x: str, at: str, width: int) -> str:
+    begin = f"greatest(1, least({at} - {width // 2}, length({x}) - {width - 1}))"
+    return f"CASE WHEN length({x}) <= {width} THEN {x} WHEN {at} < {width - 1} THEN substr({x}, 1, {width - 1}) || '…' WHEN {begin} + {width - 1} < length({x}) THEN '…' || substr({x}, {begin} + 1, {width - 2}) || '…' ELSE '…' || substr({x}, {begin} + 1, {width - 1}) END"
+
+
+_PLACED = 'SELECT *, row_number() OVER (ORDER BY okey, bucket, "column") - 1 AS place, count(*) OVER () AS total FROM mis'
+_NEAR = ", ".join(f"lead({v}) OVER o AS next_{v}, lag({v}) OVER o AS previous_{v}, first_value({v}) OVER w AS first_{v}, last_value({v}) OVER w AS last_{v}" for v in ("val_a", "val_b"))
+_DRAFT = lambda old, new, name: f"SELECT n.okey, n.bucket, '{name}' AS draft FROM {new} n LEFT JOIN {old} o USING (okey, bucket) WHERE n.status_a = 'F' AND n.status_b = 'f' AND ((o.status_a = 'F' AND o.status_b = 'f' AND bucket = '2') OR coalesce(NOT (o.status_a = 'F' AND o.status_b = 'f'), true))"
+ORACLE |= {
+    "roster_after_accept": _after(f"({_BEFORE}) OR (\"column\" = 'yn' AND val_a = 'N' AND val_b = 'No') OR (\"column\" = 'status' AND bucket = '3')"),
+    "roster_after_undo": _after(f"({_BEFORE}) OR (\"column\" = 'status' AND bucket = '3')"),
+    "context_views": _with(CELLS, f"beside AS (SELECT DISTINCT okey, bucket, view, value FROM ({_VIEWED}))", "counted AS (SELECT view, \"column\", val_a, val_b, value, count(*) AS n FROM mis JOIN beside USING (okey, bucket) WHERE \"column\" = 'yn' AND bucket <> '2' GROUP BY ALL)", 'ranked AS (SELECT *, row_number() OVER (PARTITION BY view, "column", val_a, val_b ORDER BY n DESC, value) AS r FROM counted)', select="SELECT view, \"column\", val_a, val_b, concat(string_agg(concat(value, '×', n), ' | ' ORDER BY r) FILTER (WHERE r <= 5), CASE WHEN count(*) > 5 THEN concat(' | +', count(*) - 5, ' more') ELSE '' END) AS summary FROM ranked GROUP BY 1, 2, 3, 4"),
+    "deep_page": _with(CELLS, f"placed AS ({_PLACED})", select="SELECT * EXCLUDE (place, total) FROM placed WHERE place // 100 = (total + 99) // 100 - 2"),
+    "page_of_key": _with(CELLS, "placed AS (SELECT okey, bucket, row_number() OVER (ORDER BY okey, bucket) - 1 AS place FROM mis WHERE \"column\" = 'status')", select="SELECT okey, bucket, CAST(place // 100 AS BIGINT) AS page, CAST(place % 100 AS BIGINT) AS row_on_page FROM placed WHERE okey LIKE '%8'"),
+    "next_pair_below": _with(CELLS, PAIRS, f"near AS (SELECT *, row_number() OVER o - 1 AS place, least(count(*) OVER (), 100) AS seen, {_NEAR} FROM pairs WHERE \"column\" = 'mixed' WINDOW o AS (ORDER BY n DESC, val_a, val_b), w AS (ORDER BY n DESC, val_a, val_b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", select='SELECT * EXCLUDE ("column", n, place, seen) FROM near WHERE place IN (0, seen // 2, seen - 1)'),
+    "pair_text": _with(CELLS, PAIRS, f"seen AS (SELECT \"column\", val_a, val_b, {_VISIBLE('val_a')} AS va, {_VISIBLE('val_b')} AS vb, coalesce((SELECT min(i) FROM range(0, least(length(val_a), length(val_b))) r(i) WHERE substr(val_a, i + 1, 1) <> substr(val_b, i + 1, 1)), least(length(val_a), length(val_b))) AS d FROM pairs)", "marked AS (SELECT *, least(CASE WHEN val_a = '' THEN 0 ELSE d END, length(va)) AS ma, least(CASE WHEN val_b = '' THEN 0 ELSE d END, length(vb)) AS mb FROM seen)", select=f'SELECT "column", val_a, val_b, {_window("va", "ma", 10)} AS text_a, {_window("vb", "mb", 10)} AS text_b FROM marked'),
+    "undo_cell": _with(CELLS, select="SELECT * FROM mis WHERE \"column\" = 'yn' OR (\"column\" = 'status' AND okey NOT LIKE '%7')"),
+    "undo_unmatched_key": _with(SIDES, select="SELECT 'A' AS side, okey, bucket FROM a ANTI JOIN b USING (okey, bucket) WHERE okey LIKE '%3'"),
+    "draft_after_refresh": _with(SIDES, f"b2 AS ({sql('B', 'duckdb', later=True)})", "first_read AS (SELECT okey, bucket, a.status AS status_a, b.status AS status_b FROM a JOIN b USING (okey, bucket))", "later_read AS (SELECT okey, bucket, a.status AS status_a, b2.status AS status_b FROM a JOIN b2 USING (okey, bucket))", select=_DRAFT("first_read", "later_read", "forth") + " UNION ALL " + _DRAFT("later_read", "first_read", "back")),
+}
 for _name in CHECKS:
     _key = _name.replace("+", "_")
     ORACLE[f"check_{_key}"] = _with(CELLS, PAIRS, DATED, select=f'SELECT "column", val_a, val_b, coalesce({HELD[_name]}, false) AS holds FROM dated')

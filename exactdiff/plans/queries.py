@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exactdiff.functions.checks import CHECKS, checked
-from exactdiff.functions.text import first_difference
-from exactdiff.lineage import cut
-from exactdiff.operators import pages, snapshots, suggest, summary
+from exactdiff.functions.text import first_difference, pair_text
+from exactdiff.lineage import cut, folder
+from exactdiff.operators import pages, roster, snapshots, suggest, summary
 from exactdiff.operators.diff import Diff, Side
 from exactdiff.operators.diff import duplicate_keys as repeated
+from exactdiff.operators.store import Store, signed
 from exactdiff.plans import fixture
 from exactdiff.plans.files import shared_file, workbook
+from exactdiff.sources import lines
 from exactdiff.sources.load import source
 from exactdiff.streaming import refresh
 
@@ -161,12 +164,18 @@ def overview_counts(d: Diff) -> DataFrame:
 
 @_on_diff
 def pair_context_top5(d: Diff) -> DataFrame:
-    return summary.context_summary(d, snapshots.of_column(d.mismatches, "yn"), ["priority"])
+    return summary.context_summary(d, "yn", ["priority"])
 
 
 @_on_diff
 def pair_context_group_top5(d: Diff) -> DataFrame:
-    return summary.context_summary(d, snapshots.of_column(d.mismatches, "yn"), ["flag", "status"])
+    return summary.context_summary(d, "yn", ["flag", "status"])
+
+
+@_on_diff
+def context_views(d: Diff) -> DataFrame:
+    views = {"priority": ["priority"], "0: status + ship_code": ["status", "ship_code"], "3: flag + status": ["flag", "status"]}
+    return summary.context_views(d, "yn", views, accepted=d.mismatches.where("column = 'yn' and k1 = '2'"))
 
 
 @_on_diff
@@ -245,15 +254,110 @@ def sentinel_columns(d: Diff) -> DataFrame:
     return summary.constant_columns(summary.column_constants(d), d.mismatches, "A", "")
 
 
+def _shown(facts: DataFrame) -> DataFrame:
+    return facts.withColumnRenamed("trim+case", "trim_case").withColumn("concentration", F.round(F.coalesce(F.col("top_n") / F.col("pending"), F.lit(0.0)), 9))
+
+
 @_on_diff
 def column_roster(d: Diff) -> DataFrame:
-    pending, accepted = _pending(d)
-    pairs = cut(summary.pair_groups(pending))  # three summaries read them
-    parts = [summary.count_by_column(accepted, "accepted"), summary.equal_counts(d), summary.column_constants(d), summary.concentration(pairs).drop("top_n"), summary.categorical(pairs).select("column", "categorical"), summary.check_matrix(pairs).withColumnRenamed("trim+case", "trim_case")]
+    pairs = cut(roster.counted(d.mismatches, fixture.accepted_cells(d), snapshots.cell_identity(d)))  # two summaries read them
     order = d.matched.sparkSession.createDataFrame([(i, h) for i, h in enumerate(d.comparable)], "place int, column string")
-    for p in parts:
-        order = order.join(p, "column", "left")
-    return order.withColumn("accepted", F.coalesce("accepted", F.lit(0))).withColumn("pending", F.coalesce("pending", F.lit(0))).withColumn("concentration", F.round(F.coalesce("concentration", F.lit(0.0)), 9)).orderBy("place")
+    # a row for each column on all sides
+    found = order.join(F.broadcast(_shown(roster.facts(pairs)).drop("val_a", "val_b", "top_n")), "column", "left").join(F.broadcast(roster.reading(d).drop("matched", "a_only", "b_only")), "column", "left")
+    return found.fillna(0, ["pending", "accepted", "concentration"]).orderBy("place")
+
+
+def _roster_after(d: Diff, undone: bool) -> DataFrame:
+    """The roster's facts after a pair and part of a column have been accepted on top of what was, and one is undone."""
+    identity = snapshots.cell_identity(d)
+    counts = roster.new_counts(roster.counted(d.mismatches, fixture.accepted_cells(d), identity))
+    facts = cut(roster.facts(counts.current()))
+    accepted = [cut(snapshots.of_pair(d.mismatches, "N", "No", ["yn"]).select(*identity)), cut(d.mismatches.where("column = 'status' and k1 = '3'").select(*identity))]
+    steps = [(x, True) for x in accepted] + [(accepted[0], False)] * undone
+    for delta, accepting in steps:
+        counts = roster.moved(counts, delta, accepting)
+        facts = cut(roster.after(facts, counts, delta))
+    return _shown(facts)
+
+
+@_on_diff
+def roster_after_accept(d: Diff) -> DataFrame:
+    return _roster_after(d, undone=False)
+
+
+@_on_diff
+def roster_after_undo(d: Diff) -> DataFrame:
+    return _roster_after(d, undone=True)
+
+
+@_on_diff
+def deep_page(d: Diff) -> DataFrame:
+    held = pages.Ordered(d.mismatches, [("k0", True), ("k1", True), ("column", True)])
+    return d.named(held.page_frame(held.pages() - 2))
+
+
+@_on_diff
+def page_of_key(d: Diff) -> DataFrame:
+    held = pages.Ordered(snapshots.of_column(d.mismatches, "status"), [("k0", True), ("k1", True)])
+    found = held.placed(F.col("k0").endswith("8")).select(*d.k, F.floor(F.col("place") / pages.SIZE).alias("page"), (F.col("place") % pages.SIZE).alias("row_on_page"))
+    return d.named(found)
+
+
+@_on_diff
+def next_pair_below(d: Diff) -> DataFrame:
+    pairs = cut(summary.pair_groups(snapshots.of_column(d.mismatches, "mixed")))
+    order = [r for r in pages.page_frame(pairs, summary.pair_order(), 0).collect()]  # a page
+    at = [order[0], order[len(order) // 2], order[-1]]
+    found = [pages.neighbours(pairs, r.val_a, r.val_b).select(F.lit(r.val_a).alias("val_a"), F.lit(r.val_b).alias("val_b"), *(F.col(f"{c}.{v}").alias(f"{c}_{v}") for c in ("next", "previous", "first", "last") for v in ("val_a", "val_b"))) for r in at]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _shown_pairs(d: Diff) -> DataFrame:
+    pairs = summary.pair_groups(d.mismatches).select("column", "val_a", "val_b")
+    a, b = pair_text(F.col("val_a"), F.col("val_b"), 10)
+    return pairs.withColumn("text_a", a).withColumn("text_b", b)
+
+
+found["pair_text"] = lambda spark, sf_dir: _shown_pairs(fixture.diff(spark, sf_dir))
+
+
+def _store(rows: DataFrame, identity: list[str]) -> Store:
+    """A store that has grown by five accepts."""
+    held = Store(tuple(identity), ("n",))
+    for part in range(5):
+        held = held.plus(signed(rows.where(F.col("k1") == str(part)), identity, 1))
+    return held
+
+
+@_on_diff
+def undo_cell(d: Diff) -> DataFrame:
+    identity = snapshots.cell_identity(d)
+    held = _store(d.mismatches.where("column in ('status', 'yn')"), identity)
+    gone = held.current((F.col("column") == "status") & F.col("k0").endswith("7"))  # single cells, by their keys
+    return d.named(snapshots.split(d.mismatches, held.plus(signed(gone, identity, -1)).current(), identity)[1])
+
+
+@_on_diff
+def undo_unmatched_key(d: Diff) -> DataFrame:
+    identity = snapshots.unmatched_identity(d)
+    rows = snapshots.unmatched(d, "A").unionByName(snapshots.unmatched(d, "B"))
+    held = _store(rows, identity)
+    gone = held.current((F.col("side") == "A") & F.col("k0").endswith("3"))
+    return d.named(snapshots.split(rows, held.plus(signed(gone, identity, -1)).current(), identity)[0].drop("row"))
+
+
+def draft_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drafts of two pairs, one of which loses keys at a refresh and one of which gets some."""
+    first, later = fixture.diff(spark, sf_dir), fixture.diff(spark, sf_dir, later=True)
+    out = []
+    for name, before, now in (("forth", first, later), ("back", later, first)):
+        old, new = (snapshots.of_pair(x.mismatches, "F", "f", ["status"]) for x in (before, now))
+        left = refresh.unchecked_after(old, new, old.where("k1 = '2'"), first.k)
+        out.append(first.named(left).withColumn("draft", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+found["draft_after_refresh"] = draft_after_refresh
 
 
 def suggest_extras_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,8 +398,9 @@ def pair_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixture.diff(spark, sf_dir)
     cells = snapshots.of_column(d.mismatches, "share")
     page = pages.page_frame(summary.pair_groups(cells), summary.pair_order(), 0)
-    beside = summary.context_summary(d, cells.join(F.broadcast(page.select("column", "val_a", "val_b")), ["column", "val_a", "val_b"], "left_semi"), ["yn"])
-    return page.join(beside, ["column", "val_a", "val_b"], "left")
+    page = cut(page)  # a page of pairs; it is looked up and shown
+    beside = summary.context_summary(d, "share", ["yn"], pairs=page)
+    return page.join(F.broadcast(beside), ["column", "val_a", "val_b"], "left")
 
 
 def unmatched_page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,10 +416,18 @@ def _nations(spark: SparkSession, sf_dir: str) -> list[list[str]]:
     return [["key", "name", "size"], *([str(r.n_nationkey), f'{r.n_name}, "{r.n_name[:2]}"\nline', f'{r.n_nationkey}" pipe' if r.n_nationkey % 2 else ""] for r in rows)]
 
 
+#: Bytes of a range in which part files are read here, so that some have several.
+RANGE = 1 << 15
+
+
 def load_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quoted = lambda x: f'"{x.replace(chr(34), chr(34) * 2)}"' if "," in x else x
-    text = "\r\n".join(",".join(map(quoted, r)) for r in _nations(spark, sf_dir))
-    side = source(shared_file(spark, "nations.csv", text.encode()), "A").load(spark)
+    """Part files that executors write from orders, with quotes, delimiters and line breaks in their texts, read again."""
+    name = F.expr("""case o_orderkey % 4 when 0 then concat(o_orderpriority, ', "', substr(o_orderpriority, 1, 2), '"', chr(10), 'line') when 1 then concat(chr(13), chr(10), '"', chr(10), o_orderstatus) when 2 then '' else concat(o_orderpriority, '" pipe') end""")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), name.alias("name"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"))
+    path = f"{folder(spark)}/orders-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    headers, frame = lines.read(spark, path, "utf8", ",", RANGE)
+    side = Side.of(frame, headers)
     return side.frame.toDF(*side.headers)
 
 

@@ -129,19 +129,24 @@ def _records(path: str, codec: str, errors: str, delimiter: str, part: Range) ->
             yield record
 
 
+def renamed(record: list[str]) -> list[str]:
+    """Headers of which a later copy has _duplicated_0 and so on behind it."""
+    names: list[str] = []
+    for x in record:
+        k, name = 0, x
+        while name in names:
+            name, k = f"{x}_duplicated_{k}", k + 1
+        names.append(name)
+    return names
+
+
 def read_header(path: str, encoding: str, delimiter: str) -> list[str]:
-    """The first record; a later copy of a name gets _duplicated_0 and so on behind it."""
+    """The first record, as renamed()."""
     codec, errors = ENCODINGS[encoding]
     for record in _records(path, codec, errors, delimiter, Range(0, sys.maxsize, False)):
         if record:
-            names: list[str] = []
-            for x in record:
-                k, name = 0, x
-                while name in names:
-                    name, k = f"{x}_duplicated_{k}", k + 1
-                names.append(name)
-            return names
-    raise HardFail("Header row is required")
+            return renamed(record)
+    raise HardFail(f"{path} has no header row")
 
 
 class StrictReader(DataSourceReader):

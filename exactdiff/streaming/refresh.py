@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def returned_keys(diff: Diff, pending_rows: DataFrame, snapshots: DataFrame) ->
     return pending_rows.join(snapshots.select("side", *diff.k).distinct(), ["side", *diff.k], "left_semi")
 
 
+def marked(rows: DataFrame, hits: DataFrame | None, on: Sequence[str], name: str = "returned") -> DataFrame:
+    """rows with a flag: whether they are among the hits."""
+    if hits is None:
+        return rows.withColumn(name, F.lit(False))
+    return rows.join(hits.select(*on).distinct().withColumn(name, F.lit(True)), list(on), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def cells_marked(diff: Diff, pending: DataFrame, snapshots: DataFrame | None) -> DataFrame:
     """Pending cells with returned: whether their key and column were accepted with other values."""
     if snapshots is None:
@@ -41,3 +50,10 @@ def rows_marked(diff: Diff, rows: DataFrame, snapshots: DataFrame | None) -> Dat
     known = snapshots.select(*key).distinct().withColumn("known", F.lit(True))
     found = rows.join(same, [*key, "row"], "left").join(known, key, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     return found.withColumn("returned", F.coalesce("known", F.lit(False)) & ~F.col("accepted")).drop("known")
+
+
+def unchecked_after(before: DataFrame, now: DataFrame, unchecked: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """The keys that a pair draft leaves unchecked after a refresh: those that were and are still there, and those that
+    have come since, which nobody has looked at. before, now: the draft's cells in both readings."""
+    came = now.select(*keys).join(before.select(*keys), list(keys), "left_anti")
+    return came if unchecked is None else came.unionByName(now.select(*keys).join(unchecked.select(*keys), list(keys), "left_semi"))

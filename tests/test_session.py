@@ -111,7 +111,7 @@ def test_refresh(session, data):
     session.accept_all()
     data["b"] = [("1", "7", "0", "a "), ("2", "0", "0", "b"), ("3", "5", "y", "c"), ("9", "m", "m", "changed")]
     delta = session.refresh()
-    assert delta.returned == 2 and delta.message() == "pending columns 2→3 · unmatched keys 1→2 · mismatched columns 3→3 · 2 returned"
+    assert delta.returned == 2 and delta.message() == "pending columns 2→3 · unmatched keys 1→2 · mismatched columns 1→1 · 2 returned qty"
     assert [r["returned"] for r in session.roster()[:3]] == [True, False, False]
     data["b"] = list(B)
     session.refresh()
@@ -149,4 +149,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Status: 3 pending, top pair 'Y' → 'Yes' 67% [bool]" in capsys.readouterr().out
     assert run("--a", str(a), "--b", str(a), "--keys", "id,year") == 0
     assert run("--a", str(a), "--b", str(b)) == 2 and run("--a", str(a), "--b", str(tmp_path / "no.csv"), "--keys", "id") == 2
-    assert run("--a", str(a), "--b", str(b), "--keys", "year") == 2 and "Duplicate key on side A: ('2020',) occurs 2 times" in capsys.readouterr().err
+    assert run("--a", str(a), "--b", str(b), "--keys", "year") == 2 and "side A has the key ('2020',) on 2 rows" in capsys.readouterr().err
