@@ -14,7 +14,11 @@ template if it has at least `percent` of the template's distinct words. The join
 
 The template and phrase tables are parameters of a fixed size, so they go to every task; documents never move.
 
-Of the templates of one span that a block meets, one whose words are all among another's is passed over for that other one.
+A set has no order, so what the join finds is looked at once more: the block must have `percent` of the template's words
+one behind the other as the template has them (a longest common subsequence), or words that are scattered over a sentence
+would do. Of two templates that are met in places that overlap, one is passed over if all its words that its block has
+are among those that the other's block has of the other one, and they are fewer, or a smaller part of it: a notice of the
+lesser licence has the words of the plain one too, and one of version 3 nearly all of version 2's.
 
 Defined cases: null or empty text has no words and no places; an empty table gives an empty result; repeated rows are
 scanned alike. Other columns are not looked at; the results are named after doc_id only.
@@ -23,7 +27,8 @@ scanned alike. Other columns are not looked at; the results are named after doc_
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,15 @@ TEMPLATES = {
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
     "licensed under the gnu lesser general public license": "lgpl",
+    "licensed under the gnu lesser general public license version 2 1": "lgpl-2.1",
+    "licensed under the gnu lesser general public license version 3": "lgpl-3",
+    "licensed under the gnu affero general public license version 3": "agpl-3",
     "licensed under cc by 4 0": "cc-by-4.0",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-4.0",
     "this work is licensed under a creative commons attribution license": "cc-by",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
@@ -56,8 +67,18 @@ TEMPLATES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits": "isc",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
 }
+#: The notice that the GNU licences ask for, by the words that differ, and their labels. Fixed values.
+GNU = {("", "2"): "gpl-2", ("", "3"): "gpl-3", ("lesser", "2 1"): "lgpl-2.1", ("lesser", "3"): "lgpl-3", ("affero", "3"): "agpl-3"}
+for (_kind, _version), _label in GNU.items():
+    TEMPLATES[" ".join(f"you can redistribute it and or modify it under the terms of the gnu {_kind} general public license as published by the free software foundation either version {_version} of the license or at your option any later version".split())] = _label
+#: Identifiers as they stand in SPDX tags, and their labels. Fixed values.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2.0", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "mpl 2 0": "mpl-2.0", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd",
+    "isc": "isc", "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa-4.0", "cc by nc 4 0": "cc-by-nc-4.0",
+}
+TEMPLATES |= {f"spdx license identifier {name}": label for name, label in SPDX.items()}
 PERCENT = 90
-SPAN = 64
+SPAN = 16
 _ROWS = 500
 
 
@@ -120,20 +141,38 @@ def _windows(i: int, a: int, b: int, span: int) -> list[tuple[int, int]]:
     return [(a + half * j, min(b, a + half * j + span)) for j in (k - 1, k) if j >= 0]
 
 
+def reached(words: Iterable[int], masks: dict[int, int], n: int, target: int) -> int | None:
+    """How many of some words it takes until their longest common subsequence with a template of n words, given as the
+    places (bits) of each of its words, has the target's length; None if they never do."""
+    rows = full = (1 << n) - 1
+    for k, w in enumerate(words):
+        if w in masks:
+            hit = rows & masks[w]
+            rows = ((rows + hit) | (rows - hit)) & full
+            if n - rows.bit_count() >= target:
+                return k + 1
+    return None
+
+
 class Scanner:
     """phrases and templates compiled for scanning; counts: of the words, by which templates' words are ordered."""
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str], percent: int, words: _Words, counts: np.ndarray) -> None:
-        self.words, self.labels = words, list(templates.values())
+        self.words, self.labels, self.percent = words, list(templates.values()), percent
         self.phrases = [(words.number(p), label) for p, label in phrases.items()]
         rank = np.empty(len(counts), np.int64)
         rank[np.lexsort((words.names, counts))] = np.arange(len(counts))
         self.rank = rank
         self.sets, self.need = [], []
+        self.masks: list[list[dict[int, int]]] = []  # forwards and backwards
+        self.length = []
         self.span = [span_of(t) for t in templates]
         self.prefix: dict[int, list[tuple[int, int]]] = {}  # word -> (template, place in its order)
         for t, text in enumerate(templates):
-            order = sorted(set(words.number(text)), key=lambda w: rank[w])
+            numbers = words.number(text)
+            self.length.append(len(numbers))
+            self.masks.append([{w: sum(1 << i for i, x in enumerate(some) if x == w) for w in set(numbers)} for some in (numbers, numbers[::-1])])
+            order = sorted(set(numbers), key=lambda w: rank[w])
             need = math.ceil(percent * len(order) / 100)
             self.sets.append(frozenset(order))
             self.need.append(need)
@@ -170,6 +209,7 @@ class Scanner:
             count += np.bincount(row[x], minlength=n_rows)
         breaks = np.flatnonzero(raw == 10)
         done: set[tuple[int, int, int]] = set()
+        met: dict[int, list[tuple[int, int, int, frozenset]]] = defaultdict(list)
         for i in where[self.first[word]].tolist():
             r = int(row[i])
             line = int(np.searchsorted(breaks, begin[i]))
@@ -181,19 +221,22 @@ class Scanner:
                     continue
                 done.add(block)
                 got = {int(x) for x in known[block[0] : block[1]] if x >= 0}
-                met: dict[int, float] = {}
-                for w in got & self.prefix.keys():
-                    for t, place in self.prefix[w]:
-                        whole = self.sets[t]
-                        if self.span[t] != block[2] or len(got) < self.need[t] or len(whole) - place < self.need[t]:
-                            continue
-                        both = len(whole & got)
-                        if both >= self.need[t]:
-                            met[t] = both / len(whole)
-                for t, share in met.items():
-                    if not any(self.sets[t] < self.sets[u] for u in met):
-                        labels[r].add(self.labels[t])
-                        score[r] = max(score[r], share)
+                for t in {t for w in got & self.prefix.keys() for t, place in self.prefix[w] if self.span[t] == block[2] and len(got) >= self.need[t] and len(self.sets[t]) - place >= self.need[t]}:
+                    shared = self.sets[t] & got
+                    if len(shared) < self.need[t]:
+                        continue
+                    run, n = known[block[0] : block[1]].tolist(), self.length[t]
+                    target = math.ceil(self.percent * n / 100)
+                    end = reached(run, self.masks[t][0], n, target)
+                    if end is not None:
+                        start = end - reached(reversed(run[:end]), self.masks[t][1], n, target)
+                        met[r].append((t, block[0] + start, block[0] + end, shared))
+        for r, some in met.items():
+            for t, a, b, shared in some:
+                over = lambda u, more: shared < more or (shared == more and len(self.sets[u]) < len(self.sets[t]))  # noqa: E731, B023
+                if not any(over(u, more) for u, c, d, more in some if c < b and a < d):
+                    labels[r].add(self.labels[t])
+                    score[r] = max(score[r], len(shared) / len(self.sets[t]))
         ends = [(min(x), max(x)) if x else (None, None) for x in places]
         return {"n_words": np.diff(first).tolist(), "n_base": count.tolist(), "first_word": [x for x, _ in ends], "last_word": [x for _, x in ends],
                 "base_labels": [",".join(sorted(x)) for x in base], "labels": [",".join(sorted(x)) for x in labels], "score": score}
