@@ -23,8 +23,8 @@ from exactdiff.llm.common import broadcast_if_small, cut
 
 #: Seeds of the two hashes, put before the text. Fixed values.
 SEEDS = (11, 1_000_003)
-#: Bytes of text in a range of documents, about, and the bins of doc_id that ranges are made of.
-RANGE_BYTES, BINS = 16_000_000, 1 << 16
+#: Bytes of text in a range of documents, about, and the parts that a span of doc_ids is cut into at least.
+RANGE_BYTES, PARTS = 16_000_000, 64
 #: Code points that count as white space beside those of Unicode's property. Fixed pattern.
 SPACE = r"(?U)[\s\x{1C}-\x{1F}\x{85}]+"
 
@@ -79,25 +79,57 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", kept: li
     return named.select(*keys, *kept, F.when(F.col("k") > 1, F.concat("fingerprint", F.lit("."), F.col("k"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
 
 
+def _in_cell() -> Column:
+    """The number of the part of its cell's span that a row's doc_id lies in; it never falls as doc_id grows, and the ends
+    of a span lie in different parts."""
+    wide = lambda x: F.col(x).cast("decimal(20,0)")  # noqa: E731  # the difference of two longs may be no long
+    part = F.floor((wide("doc_id") - wide("low")).cast("double") / (wide("high") - wide("low")).cast("double") * F.col("parts"))
+    return F.when(F.col("parts") > 1, F.least(part, F.col("parts") - 1)).otherwise(0)
+
+
+def _cells(sizes: DataFrame, size: int) -> list[DataFrame]:
+    """Tables that lead a row to its cell of doc_ids, one after the other: bin, low, high, parts and first (the number of
+    the bin's first part). Cells of more than `size` bytes are cut into parts of their own span of doc_ids until each
+    holds less or a single doc_id, so doc_ids that lie close together, or far off, make no large cell. sizes: doc_id, n."""
+    out: list[DataFrame] = []
+    placed = sizes.withColumn("bin", F.col("doc_id").isNotNull().cast("long"))
+    while True:
+        each = cut(placed.groupBy("bin").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+        parts = F.when((F.col("n") > size) & (F.col("low") < F.col("high")), F.greatest(F.lit(PARTS), F.ceil(2 * F.col("n") / size))).otherwise(1)
+        table = each.select("bin", "n", "low", "high", parts.cast("long").alias("parts"))
+        # a row for each cell, some 16 for each range of the result
+        first = F.coalesce(F.sum("parts").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out.append(cut(table.withColumn("first", first)))
+        if out[-1].where("parts > 1").isEmpty():
+            return out
+        placed = _split(placed, out[-1])
+
+
+def _split(placed: DataFrame, table: DataFrame) -> DataFrame:
+    """placed with the bins of the next table."""
+    names = [c for c in placed.columns if c != "bin"]
+    found = placed.join(broadcast_if_small(table.drop("n")), "bin")
+    return found.select(*names, (F.col("first") + _in_cell()).alias("bin"))
+
+
 def with_next(docs: DataFrame, size: int = RANGE_BYTES, place: bool = False) -> DataFrame:
     """doc_id, text (null: empty), next_id, next_text: the row that follows by doc_id, after the last the first; and, if
     asked for, range and place, which name a row.
 
-    Rows are dealt to ranges of doc_id that hold about `size` bytes of text, by a histogram of at most BINS + 1 bins, each
-    range together with a copy of the first row of the next, so that texts are shuffled once. Rows of one doc_id, or of
-    none, stand in one range and follow each other by text.
+    Rows are dealt to ranges of doc_id that hold about `size` bytes of text, however doc_ids are spread, each range
+    together with a copy of the first row of the next, so that texts are shuffled once. Rows of one doc_id, or of none,
+    stand in one range and follow each other by text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, width = float(low or 0), max(1.0, (float(high or 0) - float(low or 0)) / BINS)
-    bin_of = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.floor((F.col("doc_id").cast("double") - low) / width), F.lit(BINS - 1))).cast("int")
-    binned = rows.withColumn("bin", bin_of)
-    each = binned.groupBy("bin").agg(F.sum(F.octet_length("text") + 64).alias("n"))
-    # at most BINS + 1 rows, whatever the number of documents, so one task may order them
+    sizes = cut(rows.select("doc_id", (F.octet_length("text") + 64).cast("long").alias("n")))
+    *splits, last = _cells(sizes, size)
     before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = cut(each.select("bin", F.floor(before / size).alias("r")).select("bin", (F.dense_rank().over(Window.orderBy("r")) - 1).alias("range")))
+    bins = cut(last.select("bin", F.floor(before / size).alias("r")).select("bin", (F.dense_rank().over(Window.orderBy("r")) - 1).alias("range")))
     ranges = (bins.agg(F.max("range")).first()[0] or 0) + 1
-    ranged = binned.join(F.broadcast(bins), "bin").select("range", F.lit(0).alias("copy"), "doc_id", "text")
+    placed = rows.withColumn("bin", F.col("doc_id").isNotNull().cast("long"))
+    for table in splits:
+        placed = _split(placed, table)
+    ranged = placed.join(broadcast_if_small(bins), "bin").select("range", F.lit(0).alias("copy"), "doc_id", "text")
     firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("x"))
     firsts = firsts.select(F.pmod(F.col("range") - 1, F.lit(ranges)).alias("range"), F.lit(1).alias("copy"), "x.doc_id", "x.text")
     w = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")

@@ -68,6 +68,23 @@ def test_next_document(table, odd):
     assert fingerprint.with_next(table([(1, "x")])).first().next_id == 1
 
 
+def test_ranges_hold_alike_however_doc_ids_are_spread(table):
+    ids = [*range(1000), *range(10**12, 10**12 + 300), 2**60, -(2**63), 2**63 - 1, None]
+    rows = [(i, f"text {k % 7} " * (1 + k % 5)) for k, i in enumerate(ids)]
+    size = 2_000
+    found = fingerprint.with_next(table(rows), size, place=True).collect()
+    assert len(found) == len(rows)
+    held = collections.Counter()
+    for r in found:
+        held[r.range] += len(r.text.encode()) + 64
+    total = sum(held.values())
+    assert max(held.values()) <= 2 * size and total / size <= len(held) + 1
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    order = [(i, t) for i, t in sorted(rows, key=key)]
+    want = {(*a, *b) for a, b in zip(order, order[1:] + order[:1])}
+    assert {(r.doc_id, r.text, r.next_id, r.next_text) for r in found} == want
+
+
 def test_op7(spark, table, tmp_path):
     rows = [(3, "abcde"), (1, "héllo wörld"), (2, None), (9, "abcde")]
     table(rows).write.parquet(str(tmp_path / "documents.parquet"))
