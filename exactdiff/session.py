@@ -199,7 +199,7 @@ class Session:
             self.kinds.pop(c, None)
             if c in found:
                 self.totals[c] = found[c]
-        self.ordered = {k: x for k, x in self.ordered.items() if columns is not None and k[1] not in columns}
+        self.ordered = {k: x for k, x in self.ordered.items() if columns is not None and k[1] not in columns and k[0] != "union"}
         live = {c: self.totals[c] for c in self.diff.comparable if c in self.totals}
         self.by_column = {c: r.pending for c, r in live.items() if r.pending}
         self.first_pair = {c: (live[c].val_a, live[c].val_b) for c in self.by_column}
@@ -553,6 +553,28 @@ class Session:
         columns = list(columns or (self.draft.columns if self.draft else self.by_column))
         return self._accept_cells("pairs", (val_a, val_b, *columns), snapshots.of_pair(self.pending, val_a, val_b, columns))
 
+    def same_pairs(self, page: int = 0) -> tuple[list[Row], int, int]:
+        """What `m` lists on the roster: pairs over the drafted columns, or over all pending ones, as val_a, val_b, n and
+        n_cols, the most frequent first; the page's number and the number of pages."""
+        columns = tuple(self.draft.columns if self.draft and self.draft.columns else self.by_column)
+        key = ("union", None, columns)
+        if key not in self.ordered:
+            found = self.counts.current(F.col("column").isin(list(columns))) if columns else None
+            if found is None:
+                return [], 0, 1
+            pairs = found.where("pending > 0").groupBy("val_a", "val_b").agg(F.sum("pending").alias("n"), F.count("*").alias("n_cols"))
+            self.ordered[key] = pages.Ordered(pairs, [("n", False), ("val_a", True), ("val_b", True)])
+        return self.ordered[key].page(page)
+
+    def accept_same(self, page: int, row: int) -> int:
+        """Accepts the pair that stands in a row of same_pairs() in all columns that the list is of."""
+        if self.place.screen != "roster":
+            raise ActionError("the list of pairs over columns belongs to the roster")
+        rows = self.same_pairs(page)[0]
+        if not 0 <= row < len(rows):
+            raise ActionError("no such row")
+        return self.accept_pair_across(rows[row].val_a, rows[row].val_b)
+
     def accept_cell(self, key: tuple[str, ...], column: str) -> int:
         at = snapshots.of_column(self.pending, column)
         for k, v in zip(self.diff.k, key):

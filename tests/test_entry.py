@@ -7,7 +7,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-NAMES = ["load_drop_empty_rows", "duplicate_keys", "cell_mismatches", "key_classification", "column_roster", "pair_context_group_top5", "check_matrix", "returned_cells", "accept_pair", "next_pending_key", "check_xlsdate", "first_diff"]
+NAMES = ["load_drop_empty_rows", "duplicate_keys", "cell_mismatches", "key_classification", "column_roster", "pair_context_group_top5", "check_matrix", "returned_cells", "accept_pair", "next_pending_key", "check_xlsdate", "first_diff", "roster_after_undo", "deep_page", "context_views", "pair_text", "draft_after_refresh", "load_delimited"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -331,3 +331,25 @@ def test_a_grain_that_covers_nothing_any_more_is_forgotten(session, data):
     with pytest.raises(ActionError):
         session.undo()
     assert session.undo_column("qty") == 1 and session.by_column["qty"] == 3
+
+
+def test_a_pair_is_picked_from_the_list_over_columns(session):
+    rows, page, count = session.same_pairs()
+    assert (page, count) == (0, 1) and [(r.val_a, r.val_b, r.n, r.n_cols) for r in rows][0] == ("", "0", 5, 2)
+    with pytest.raises(ActionError):
+        session.accept_same(0, len(rows))
+    session.draft_by_name("amt")
+    assert [(r.n, r.n_cols) for r in session.same_pairs()[0]] == [(2, 1), (1, 1), (1, 1)]
+    assert session.accept_same(0, 0) == 2 and session.by_column["qty"] == 3 and session.draft.columns == ["amt"]
+    session.back()
+    assert session.same_pairs()[0][0].n == 3
+    session.drill("qty")
+    with pytest.raises(ActionError):
+        session.accept_same(0, 0)
+
+
+def test_identity_lines_name_sheet_and_keys(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("id,v\n1,x\n")
+    s = Session.of_sources(spark, source(str(tmp_path / "a.csv"), "A"), source(str(tmp_path / "b.csv"), "B"), ["id"])
+    assert s.identity_lines() == [f"A: {tmp_path}/a.csv (utf8, comma)", f"B: {tmp_path}/b.csv (utf8, comma)", "keys: id"]
