@@ -3,8 +3,9 @@
 `hilbert_pack`: space-filling-curve order. A document's words are hashed into FEATURES counts, damped by a logarithm and
 scaled to length one; a fixed random matrix projects the vector to DIMS coordinates, each cut into 2**BITS cells, and
 the cells' place along a Hilbert curve is the document's key. Documents are dealt to ranges of the curve that hold about
-PARTITION_BYTES of text each, by a histogram of the bytes over 2**CELL_BITS stretches of the curve, a table of fixed
-size; a stretch with more text is dealt to several partitions by a hash of doc_id, so that a key which any number of
+PARTITION_BYTES of text each (or more, so that there are PARTITIONS at most), by a histogram of the bytes over 2**CELL_BITS
+stretches of the curve. A stretch with more text than a partition is cut again by the next bits of the key, until it
+holds less or a single key, which is dealt to several partitions by a hash of doc_id, so that a key which any number of
 documents share spreads. Each partition sorts by (key, doc_id, text) and lays its documents end to end into sequences of
 `length` tokens, cutting wherever a sequence is full. Only a partition's last sequence is not full.
 
@@ -32,16 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import release
+from exactdiff.llm.common import cut, release
 from exactdiff.llm.tokens import Encoder, default_path
 from exactdiff.llm.words import SPACED, buffers, hashed, mix
 
 FEATURES, DIMS, BITS = 1024, 6, 8
 END = 2
 LENGTH = 4096
-#: Bytes of text in a partition of the sort, about, beside one document; partitions grow in number, not in size.
-PARTITION_BYTES = 24_000_000
+#: Bytes of text in a partition of the sort, about, beside one document; partitions grow in number first, up to PARTITIONS.
+PARTITION_BYTES, PARTITIONS = 24_000_000, 1 << 16
 CELL_BITS = 16
+#: Bits by which a heavy stretch is cut at least.
+MORE = 6
 #: Tokens that a task packs together by best fit.
 WINDOW = 1 << 21
 _ROWS, _BYTES = 200, 1 << 21
@@ -119,38 +122,84 @@ def _rows_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def curve_bytes(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The bytes of text, and one more for each document, in each of the curve's 2**CELL_BITS stretches."""
+class Stretches:
+    """The curve cut into stretches: begin has each one's first key, in order, and bits how many bits of the key run free
+    in it."""
+
+    def __init__(self, begin: np.ndarray, bits: np.ndarray) -> None:
+        self.begin, self.bits = begin, bits
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, key, side="right") - 1
+
+    def cut(self, more: np.ndarray, kept: np.ndarray) -> Stretches:
+        """Those kept, each cut by some more bits."""
+        begin, bits, more = self.begin[kept], self.bits[kept] - more[kept], more[kept]
+        count = np.int64(1) << more
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return Stretches(np.repeat(begin, count) + (step << np.repeat(bits, count)), np.repeat(bits, count))
+
+
+def curve_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """key, n: each document's place on the curve, and the bytes of its text and one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
         for b in _slices(batches):
-            np.add.at(total, _keys(b) >> _CELL, np.diff(buffers(b.column(1))[1]) + 1)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(b)), pa.array(np.diff(buffers(b.column(1))[1]) + 1)], names=["key", "n"])
+
+    return _rows_of(docs, text).mapInArrow(run, "key long, n long")
 
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    for cell, n in _rows_of(docs, text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
+
+def curve_bytes(keys: DataFrame, stretches: Stretches) -> np.ndarray:
+    """The bytes in each of the curve's stretches."""
+    shared = keys.sparkSession.sparkContext.broadcast(stretches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value.begin), np.int64)
+        for b in batches:
+            np.add.at(total, shared.value.of(b.column(0).to_numpy()), b.column(1).to_numpy())
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["stretch", "n"])
+
+    out = np.zeros(len(stretches.begin), np.int64)
+    # no more rows than there are stretches, whose number is bounded
+    for stretch, n in keys.mapInArrow(run, "stretch long, n long").groupBy("stretch").agg(F.sum("n")).collect():
+        out[stretch] = n
     return out
 
 
+def curve_stretches(docs: DataFrame, text: str = "text") -> tuple[Stretches, np.ndarray, int]:
+    """Stretches, the bytes of each, and the bytes of a partition. A stretch that holds more than a partition is cut again
+    by some more bits, until it holds less or a single key; keys are computed once for that, and empty stretches go."""
+    keys = cut(curve_keys(docs, text))
+    stretches = Stretches(np.arange(1 << CELL_BITS) << _CELL, np.full(1 << CELL_BITS, _CELL))
+    while True:
+        size = curve_bytes(keys, stretches)
+        each = max(PARTITION_BYTES, -(-int(size.sum()) // PARTITIONS))
+        heavy = (size > each) & (stretches.bits > 0)
+        if not heavy.any():
+            return stretches, size, each
+        more = np.ceil(np.log2(np.maximum(8 * size / each, 1))).astype(np.int64)
+        stretches = stretches.cut(np.where(heavy, np.minimum(np.maximum(more, MORE), stretches.bits), 0), size > 0)
+
+
 def curve_order(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text and curve_key, dealt along the curve and sorted."""
-    size = curve_bytes(docs, text)
+    """doc_id, text and curve_key, dealt along the curve and sorted. Only a stretch that still holds more than a partition
+    is dealt by a hash of doc_id and size: its documents have one key."""
+    stretches, size, each = curve_stretches(docs, text)
     ends = np.cumsum(size)
-    parts = max(1, -(-int(ends[-1]) // PARTITION_BYTES))
-    first = (ends - size) // PARTITION_BYTES
-    span = np.maximum(1, -(-ends // PARTITION_BYTES) - first) * (size > PARTITION_BYTES) + (size <= PARTITION_BYTES)
-    shared = docs.sparkSession.sparkContext.broadcast((first, span))
+    parts = max(1, -(-int(ends[-1]) // each))
+    first = (ends - size) // each
+    span = np.maximum(1, -(-ends // each) - first) * (size > each) + (size <= each)
+    shared = docs.sparkSession.sparkContext.broadcast((stretches, first, span))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, span = shared.value
+        stretches, first, span = shared.value
         for b in _slices(batches):
             key = _keys(b)
-            cell = key >> _CELL
+            at = stretches.of(key)
             ids = b.column(0).fill_null(-1).to_numpy().astype(np.uint64) ^ (np.diff(buffers(b.column(1))[1]).astype(np.uint64) << np.uint64(40))
-            part = first[cell] + (mix(ids) % span[cell].astype(np.uint64)).astype(np.int64)
+            part = first[at] + (mix(ids) % span[at].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array(part.astype(np.int32))], names=["doc_id", "text", "curve_key", "part"])
 
     dealt = _rows_of(docs, text).mapInArrow(run, "doc_id long, text string, curve_key long, part int")

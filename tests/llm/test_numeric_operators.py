@@ -74,6 +74,30 @@ def test_hilbert_pack(table, odd, ids):
     assert packing.hilbert_pack(table([])).count() == 0
 
 
+def test_partitions_follow_the_curve_through_heavy_stretches(table, prose, monkeypatch):
+    base = prose(400, punctuation=False).split()
+    near = [" ".join(base[:i] + [f"word{i}"] + base[i + 1 :]) for i in range(300)]  # they share a cell, or nearly so
+    rows = [(i, t) for i, t in enumerate([*near, *(prose(50) for _ in range(60)), *[near[0]] * 40])]
+    size = sum(len(t.encode()) + 1 for _, t in rows)
+    for each in (size // 12, size // 40):
+        monkeypatch.setattr(packing, "PARTITION_BYTES", each)
+        docs = table(rows)
+        stretches, found, _ = packing.curve_stretches(docs)
+        assert (stretches.bits < 32).any() and found.sum() == size
+        dealt = packing.curve_order(docs).select("doc_id", "curve_key", F.octet_length("text").alias("n"), F.spark_partition_id().alias("p")).collect()
+        assert sorted(r.doc_id for r in dealt) == [i for i, _ in rows]
+        at = dict(zip([r.doc_id for r in dealt], stretches.of(np.array([r.curve_key for r in dealt])).tolist()))
+        of_part = {}
+        for r in dealt:
+            of_part.setdefault(r.p, []).append(r)
+        # a stretch that holds no more than a partition lies in one partition, and these follow each other along the curve
+        light = [(min(at[r.doc_id] for r in some), max(at[r.doc_id] for r in some)) for _, some in sorted((p, [r for r in x if found[at[r.doc_id]] <= each]) for p, x in of_part.items()) if some]
+        assert len(light) > 4 and all(a[1] < b[0] for a, b in zip(light, light[1:]))
+        assert len({r.curve_key for r in dealt if found[at[r.doc_id]] > each}) <= 1  # that of the forty copies
+        assert max(sum(r.n + 1 for r in x) for x in of_part.values()) <= 3 * each + 3000
+    assert packing.hilbert_pack(table(rows), length=256).where("start = 0").count() == len(rows)
+
+
 def test_neighbours_share_topics():
     raw = pa.array(["alpha beta gamma " * 30, "alpha beta gamma " * 31, "one two three four " * 30, None])
     from exactdiff.llm.words import buffers
