@@ -682,17 +682,19 @@ class Session:
         return n
 
     def repeat(self) -> None:
-        """Opens the draft of the pair that was accepted last, in the current column or where it was."""
+        """Opens the draft of the pair that was accepted last if the place is its column, else goes there; where the pair is
+        no longer pending, work goes on at the next lever."""
         self._idle()
         if self.place.screen not in TABS or self.last_pair is None:
             raise ActionError("nothing to repeat here")
         column, pair = self.last_pair
         if column not in self.diff.comparable:
             raise ActionError(f"column {column!r} is gone")
-        if column == self.place.column:
+        landed = self.place_of_last_pair()
+        if landed is not None and column == self.place.column:
             self.start_pair(column, pair)
         else:
-            self.place = Place("pairs", column, pair)
+            self.place = landed or self.next_lever()
 
     # ---- undoing
 
@@ -835,18 +837,24 @@ class Session:
             self.place = Place()
 
     def next_sheet(self, confirmed: bool = False) -> None:
-        """The next sheet of the job with a clean slate; only the last exact pair comes along."""
+        """The next sheet of the job with a clean slate; only the last exact pair comes along. If the sheet can't be read,
+        the session stays on the one before."""
         self._idle()
         if self.sheet + 1 >= len(self.sheets):
             raise ActionError("this is the last sheet")
         if self.remaining_work() and not confirmed:
             raise ActionError("work remains on this sheet; confirm to go on")
-        self.diff.joined.unpersist()
-        self.diff.mismatches.unpersist()
-        self.sheet += 1
-        self.load, pair = self.open_sheet(self.sheets[self.sheet]), self.last_pair
-        self._clean()
-        self.last_pair = pair
+        state = dict(self.__dict__)
+        try:
+            self.sheet += 1
+            self.load = self.open_sheet(self.sheets[self.sheet])
+            self._clean()
+        except Exception:
+            self.__dict__.update(state)
+            raise
+        state["diff"].joined.unpersist()
+        state["diff"].mismatches.unpersist()
+        self.last_pair = state["last_pair"]
 
     def quit(self) -> int:
         """The exit code: 0 if nothing is pending, else 1. Drafts are discarded."""

@@ -353,3 +353,24 @@ def test_identity_lines_name_sheet_and_keys(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("id,v\n1,x\n")
     s = Session.of_sources(spark, source(str(tmp_path / "a.csv"), "A"), source(str(tmp_path / "b.csv"), "B"), ["id"])
     assert s.identity_lines() == [f"A: {tmp_path}/a.csv (utf8, comma)", f"B: {tmp_path}/b.csv (utf8, comma)", "keys: id"]
+
+
+def test_the_next_sheet_begins_clean_or_not_at_all(side):
+    def open_sheet(name):
+        def load():
+            if name == "bad":
+                raise HardFail("no such sheet")
+            return side(["id", "v"], ("1", "a"), ("2", name)), side(["id", "v"], ("1", "b"), ("2", "b"))
+
+        return load
+
+    s = Session(open_sheet("one"), ["id"], ["one", "two", "bad"], open_sheet)
+    s.accept_pair("v", "a", "b")
+    with pytest.raises(ActionError):
+        s.next_sheet()
+    s.next_sheet(confirmed=True)
+    assert s.sheet == 1 and s.by_column == {"v": 2} and s.cells is None and s.last_pair == ("v", ("a", "b"))
+    assert s.place_of_last_pair() == Place("pairs", "v", ("a", "b"), 0, 0)
+    with pytest.raises(HardFail):
+        s.next_sheet(confirmed=True)
+    assert s.sheet == 1 and s.by_column == {"v": 2} and s.accept_column("v") == 2
