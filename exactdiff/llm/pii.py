@@ -5,13 +5,15 @@ test (parts of an address, digits and Luhn's sum of a card, digits of a phone nu
 
 Disguises are undone by transducers, which rewrite a text and keep for each rewritten character the source characters
 that it stands for. They compose in this order: look-alike letters and digits (whatever Unicode maps to one ASCII
-character, and listed look-alikes of other scripts) become ASCII, invisible characters go; `at` and `dot` in brackets,
-or as bare words in a chain `name at host dot name`, become @ and a full stop; a bare `dot` between four or more numbers
-becomes a full stop. Then runs of at least RUN digits, counted after undoing, become digits if some are spelled or
-`plus` begins them, and `plus` a plus sign: once with the separators as they stand, and once, if the run has RUN groups
-or begins with `plus`, without them. The plain detectors run over each of the rewritten texts, and their matches are mapped back to the source. A match is added if a disguise was undone inside it and no plain match of
-its kind covers it wholly; one that is disguised in part is so added beside the plain match of its fragment. Plain
-matches always stay.
+character, the decimal digits of all scripts, and listed look-alikes of other scripts) become ASCII, invisible characters
+go; HTML's names and numbers of @ and the full stop become these; `at` and `dot` in brackets, or as bare words in a chain
+`name at host dot name`, become @ and a full stop; a bare `dot` between four or more numbers becomes a full stop. Then
+runs of at least RUN digits, counted after undoing, become digits if some are spelled (in English, or in German, French
+or Spanish) or `plus` begins them, and `plus` a plus sign: once with the separators as they stand, and once, if the run
+has RUN groups or begins with `plus`, without them. The plain detectors run over each of the rewritten texts, and their
+matches are mapped back to the source. A match is added if a disguise was undone inside it and no plain match of its
+kind covers it wholly; one that is disguised in part is so added beside the plain match of its fragment. Plain matches
+always stay.
 
 A text without a sign of a disguise is not rewritten; signs are looked for in the whole text.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -45,7 +48,6 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _NOT_DIGIT = re.compile("[^0-9]+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 
 Span = tuple[str, int, int]
 
@@ -115,24 +117,76 @@ def _table() -> dict[str, str]:
         x = unicodedata.normalize("NFKC", c)
         if len(x) == 1 and x.isascii() and x.isprintable() and not x.isspace() and unicodedata.category(c) not in ("No", "Lm"):
             found[c] = x
-    return found | LOOK_ALIKES
+    digits = {c: str(d) for c in map(chr, range(0x80, sys.maxunicode + 1)) if (d := unicodedata.decimal(c, None)) is not None}
+    return found | digits | LOOK_ALIKES
 
 
 _ALIKE = _table()
 _SIGN_ALIKE = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "]")
 
-#: Names of the digits. Fixed values.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Names of the digits: English ones, and German, French and Spanish ones. Fixed values.
+ENGLISH = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+ABROAD = {
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "six": "6", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
 RUN = 7
-_NAME = "(?:" + "|".join(DIGITS) + ")"
-_GROUP = f"(?:[0-9]++|{_NAME})(?![A-Za-z0-9])"
 _PLUS = r"plus[ ,.(-]{1,3}"
-_RUN = r"(?<![A-Za-z0-9])(?:%s%s|%s%s%s)(?:%s%s)*+"
-_SPELLED, _CLOSED = (re.compile(_RUN % (_PLUS, _GROUP, _GROUP, by, _GROUP, by, _GROUP), re.I) for by in ("[ ,.()-]{1,4}", "[ ,.-]{1,3}"))
-_SPELLED_PART = re.compile(rf"{_PLUS}|[0-9]+|{_NAME}|[ ,.()-]+", re.I)
-_NUMBER = rf"(?:[0-9]++|{_NAME}(?:[ -]{{1,3}}{_NAME}){{0,2}})(?![A-Za-z0-9])"
-_DOTTED = re.compile(rf"(?<![A-Za-z0-9]){_NUMBER}(?:(?: {{1,3}}dot {{1,3}}|\.){_NUMBER}){{3,}}", re.I)
-_DOTTED_PART = re.compile(rf" {{1,3}}dot {{1,3}}|[ -]+|{_NAME}", re.I)
+
+
+class Digits:
+    """Names of digits, and the transducers that undo them. letter: a class of what stands beside no name."""
+
+    def __init__(self, names: dict[str, str], letter: str) -> None:
+        self.names = names
+        name = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + ")"
+        group = f"(?:[0-9]++|{name})(?!{letter})"
+        run = rf"(?<!{letter})(?:%s%s|%s%s%s)(?:%s%s)*+"
+        self.runs = {closed: re.compile(run % (_PLUS, group, group, by, group, by, group), re.I) for closed, by in ((False, "[ ,.()-]{1,4}"), (True, "[ ,.-]{1,3}"))}
+        self.part = re.compile(rf"{_PLUS}|[0-9]+|{name}|[ ,.()-]+", re.I)
+        number = rf"(?:[0-9]++|{name}(?:[ -]{{1,3}}{name}){{0,2}})(?!{letter})"
+        self.chain = re.compile(rf"(?<!{letter}){number}(?:(?: {{1,3}}dot {{1,3}}|\.){number}){{3,}}", re.I)
+        self.chain_part = re.compile(rf" {{1,3}}dot {{1,3}}|[ -]+|{name}", re.I)
+        self.two = re.compile(rf"(?<!{letter}){name}[ ,.()-]{{1,4}}(?:{name}|[0-9])|[0-9][ ,.()-]{{1,4}}{name}(?!{letter})")
+
+    def sign(self, low: str) -> bool:
+        """Whether a text in lower case may have a run: a name beside another one or a digit."""
+        return "plus" in low or self.two.search(low) is not None
+
+    def dotted(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Edits that make an address of numbers and names with a bare dot between them."""
+        for m in self.chain.finditer(text):
+            if not _LETTER.search(m[0]) or not re.search("[0-9]| dot ", m[0], re.I):
+                continue
+            for p in self.chain_part.finditer(m[0]):
+                word = p[0].lower().strip(" ")
+                yield m.start() + p.start(), m.start() + p.end(), "." if word == "dot" else self.names.get(word, "")
+
+    def spelled(self, closed: bool):
+        """Edits that make digits of runs; closed: without separators, of runs of RUN groups or behind a plus only."""
+
+        def edits(text: str) -> Iterator[tuple[int, int, str]]:
+            for m in self.runs[closed].finditer(text):
+                if not _LETTER.search(m[0]):
+                    continue
+                parts = [(p.start(), p.end(), p[0].lower()) for p in self.part.finditer(m[0])]
+                groups = [x for _, _, x in parts if x.isdigit() or x in self.names]
+                if sum(len(x) if x.isdigit() else 1 for x in groups) < RUN:
+                    continue
+                if closed and len(groups) < RUN and not parts[0][2].startswith("plus"):
+                    continue
+                for a, b, word in parts:
+                    by = "+" if word.startswith("plus") else self.names.get(word, "")
+                    if by or closed and not word.isdigit():
+                        yield m.start() + a, m.start() + b, by
+
+        return edits
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+SPOKEN = (Digits(ENGLISH, "[A-Za-z0-9]"), Digits(ABROAD, r"[^\W_]"))
+_ENTITY_AT, _ENTITY_DOT = (re.compile(rf"&(?:#0{{0,5}}{n}|#x0{{0,5}}{n:x}|{name});", re.I) for n, name in ((64, "commat"), (46, "period")))
 _AT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOT_BOXED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?: {1,3}at {1,3})|@)[A-Za-z0-9-]+(?:(?: {1,3}dot {1,3}|\.)[A-Za-z0-9-]+)+", re.I)
@@ -182,58 +236,32 @@ def _bare(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else "."
 
 
-def _dotted(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _DOTTED.finditer(text):
-        if not re.search("[A-Za-z]", m[0]) or not re.search("[0-9]| dot ", m[0], re.I):
-            continue
-        for p in _DOTTED_PART.finditer(m[0]):
-            word = p[0].lower().strip(" ")
-            yield m.start() + p.start(), m.start() + p.end(), "." if word == "dot" else DIGITS.get(word, "")
-
-
-def _spelled(closed: bool):
-    """Edits that make digits of runs; closed: without separators, of runs of RUN groups or behind a plus only."""
-
-    def edits(text: str) -> Iterator[tuple[int, int, str]]:
-        for m in (_CLOSED if closed else _SPELLED).finditer(text):
-            if not re.search("[A-Za-z]", m[0]):
-                continue
-            parts = [(p.start(), p.end(), p[0].lower()) for p in _SPELLED_PART.finditer(m[0])]
-            groups = [x for _, _, x in parts if x.isdigit() or x in DIGITS]
-            if sum(len(x) if x.isdigit() else 1 for x in groups) < RUN:
-                continue
-            if closed and len(groups) < RUN and not parts[0][2].startswith("plus"):
-                continue
-            for a, b, word in parts:
-                by = "+" if word.startswith("plus") else DIGITS.get(word, "")
-                if by or closed and not word.isdigit():
-                    yield m.start() + a, m.start() + b, by
-
-    return edits
-
-
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Matches that show only once disguises are undone, with places in the source; known: the plain matches."""
     alike = not text.isascii() and not _ALIKE.keys().isdisjoint(text)
     box = ("[" in text or "(" in text or "{" in text or "<" in text) and _SIGN_BOX.search(text) is not None
+    entity = "&" in text and (_ENTITY_AT.search(text) or _ENTITY_DOT.search(text)) is not None
     low = text.lower() if not alike else ""
-    named = alike or "plus" in low or any(x in low for x in DIGITS)
+    named = [x for x in SPOKEN if alike or x.sign(low)]
     bare = alike or " dot " in low
-    dotted = alike or box or (bare or named) and next(_dotted(text), None) is not None
-    spelled = named and (alike or next(_spelled(False)(text), None) is not None)
-    if not (alike or box or spelled or bare or dotted):
+    dotted = [x for x in SPOKEN if alike or box or (bare or x in named) and next(x.dotted(text), None) is not None]
+    spelled = [x for x in named if alike or next(x.spelled(False)(text), None) is not None]
+    if not (alike or box or entity or spelled or bare or dotted):
         return []
     tape: Tape = (text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
     if alike:
         tape = _rewrite(tape, _alike(tape[0]))
+    if entity:
+        tape = _rewrite(tape, _boxed(_ENTITY_AT, "@")(tape[0]))
+        tape = _rewrite(tape, _boxed(_ENTITY_DOT, ".")(tape[0]))
     if alike or box:
         tape = _rewrite(tape, _boxed(_AT_BOXED, "@")(tape[0]))
         tape = _rewrite(tape, _boxed(_DOT_BOXED, ".")(tape[0]))
     if bare or box:
         tape = _rewrite(tape, _bare(tape[0]))
-    if dotted:
-        tape = _rewrite(tape, _dotted(tape[0]))
-    tapes = [tape, *(_rewrite(tape, _spelled(closed)(tape[0])) for closed in (False, True))] if spelled else [tape]
+    for x in dotted:
+        tape = _rewrite(tape, x.dotted(tape[0]))
+    tapes = [tape, *(_rewrite(tape, x.spelled(closed)(tape[0])) for x in spelled for closed in (False, True))]
     whole = {k: sorted((a, b) for x, a, b in known if x == k) for k in KINDS}
     found = set()
     for rewritten, begins, ends, new in tapes:

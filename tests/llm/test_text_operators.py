@@ -344,6 +344,23 @@ def test_mixed_digits_map_back(span, kind):
     assert pii.mask(f"see {span}, ok") == f"see [{kind.upper()}], ok"
 
 
+@pytest.mark.parametrize("span, kind", [
+    ("plus vier neun drei null eins zwei drei vier fünf sechs sieben", "phone"), ("plus trois trois un deux trois quatre cinq six sept huit neuf", "phone"), ("plus tres cuatro uno dos tres cuatro cinco seis siete ocho nueve", "phone"),
+    ("cuatro uno uno uno 1111 1111 1111", "card"), ("4111 1111 1111 111 un", "card"), ("١٩٢.١٦٨.٠.١", "ip"), ("४१११ ११११ ११११ ११११", "card"), ("+１ ４１５ ५५५ २६७१", "phone"),
+    ("jane&#64;example.com", "email"), ("jane&commat;example&period;com", "email"), ("jane&#x40;example&#46;com", "email"),
+])
+def test_disguises_of_other_languages_and_scripts(span, kind):
+    for before, after in (("see ", ", ok"), ("ça ", " là")):
+        found = {(k, (before + span + after)[a:b]) for k, a, b in pii.spans(before + span + after)[1]}
+        assert (kind, span) in found, found
+    assert pii.mask(f"see {span}, ok") == f"see [{kind.upper()}], ok"
+
+
+def test_counting_in_other_languages_stays_clean():
+    for t in ["eins zwei drei vier fünf sechs sieben acht neun", "un, deux, trois, quatre, cinq, six, sept", "uno dos tres cuatro cinco seis siete ocho", "acht Uhr und neun", "&#169; 2024 &amp; co", "un six pack"]:
+        assert pii.spans(t) == ([], []) and pii.mask(t) == t
+
+
 def test_what_stands_behind_a_run_hides_nothing():
     for span, kind in [("four one one one 1111 1111 one one one one", "card"), ("4111 1111 1111 111 one", "card"), ("plus four four two oh seven nine four six oh nine five eight", "phone"), ("plus 14155552671", "phone")]:
         for after in (" (12)", ". 12", ", 2024", " for 12"):
