@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from exactdiff.llm.common import free_name, release
 from exactdiff.llm.tokens import _gather, _Pool
 
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16_000_000
+REMEMBERED, REMEMBERED_CHARS = 300_000, 12_000_000
 LOOKED_UP = 1 << 18
 #: Characters of texts that are encoded together.
-TOGETHER = 16_000_000
+TOGETHER = 8_000_000
 #: Characters of words over which merges are replayed together, or one longer word.
 REPLAYED = 1 << 22
 #: Places of a merge in one word from which on they are merged one by one instead of in rounds.
