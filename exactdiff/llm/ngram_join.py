@@ -206,24 +206,34 @@ def _ell(info):
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by token and node, each once, those whose token more than one node has."""
-    held: tuple[np.ndarray, ...] | None = None  # the last entry, and whether the one before it has its token
-    for batch in batches:
-        cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
-        before = False
-        if held is not None:
-            cols, before = tuple(np.concatenate(x) for x in zip(held[:3], cols)), bool(held[3][0])
+    """Of entries sorted by token, l and node, each once, those whose token more than one node has, with the least l that
+    any of them has, which is the first one's."""
+    held: tuple[np.ndarray, ...] | None = None  # the last entry, the least l of its token, whether the one before it has it
+
+    def batch(cols: tuple[np.ndarray, ...], least: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*cols, least)], names=["token", "node", "info", "least"])
+
+    for b in batches:
+        cols = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "info"))
         if not len(cols[0]):
             continue
+        before, known = False, None
+        if held is not None:
+            cols, known, before = tuple(np.concatenate(x) for x in zip(held[:3], cols)), int(held[3][0]), bool(held[4][0])
         new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
         cols = tuple(x[new] for x in cols)
         same = cols[0][1:] == cols[0][:-1]
+        starts = np.concatenate(([True], ~same))
+        least = _ell(cols[2])[starts]
+        if known is not None:
+            least[0] = known
+        least = least[np.cumsum(starts) - 1]
         keep = np.concatenate(([before], same)) | np.concatenate((same, [False]))
-        held = (*(x[-1:] for x in cols), np.array([same[-1] if len(same) else before]))
+        held = (*(x[-1:] for x in cols), least[-1:], np.array([same[-1] if len(same) else before]))
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "info"])
-    if held is not None and held[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:3]], names=["token", "node", "info"])
+        yield batch(cols, least, keep)
+    if held is not None and held[4][0]:
+        yield batch(held[:3], held[3], np.array([True]))
 
 
 _MET = "a long, b long, need int, rest long, overlap long"
@@ -514,14 +524,16 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     counters = count_tokens(docs, width)
     rows = cut(named_sets(docs, width))
     entry = prefixes(docs, width, percent, counters)
-    listed = lambda x: x.select("token", "node", "info").repartition("token").sortWithinPartitions("token", "node")
-    shared = listed(entry.where("not hot")).mapInArrow(_shared_only, "token long, node long, info long")
-    shared = cut(shared.union(entry.where("hot").select("token", "node", "info").distinct()))
-    # a partner of smaller l needs that many shared tokens only, so the least l among a token's nodes decides
+    listed = lambda x, *within: x.select("token", "node", "info").repartition("token").sortWithinPartitions("token", *within, "node")
     ell = F.shiftright("info", 21).bitwiseAND(F.lit(_ELL).cast("long"))
-    least = shared.groupBy("token").agg(F.min(ell).alias("ell"))
-    live = shared.join(least, "token").groupBy("node").agg(F.count("*").alias("c"), F.min("ell").alias("ell"), F.max(ell).alias("own")).where("c >= least(ell, own)").select("node", "c")
-    live = cut(shared.join(live, "node"))
+    shared = listed(entry.where("not hot"), ell).mapInArrow(_shared_only, "token long, node long, info long, least long")
+    hot = cut(entry.where("hot").select("token", "node", "info").distinct())
+    hot = hot.join(broadcast_if_small(cut(hot.groupBy("token").agg(F.min(ell).alias("least")))), "token").select("token", "node", "info", "least")
+    # a partner of smaller l needs that many shared tokens only, so the least l among a token's nodes decides; a node's
+    # entries meet once, and no more than its prefix
+    own = Window.partitionBy("node")
+    met = shared.union(hot).select("token", "node", "info", F.count("*").over(own).alias("c"), F.min("least").over(own).alias("ell"), F.max(ell).over(own).alias("own"))
+    live = cut(met.where("c >= least(ell, own)").select("token", "node", "info", "c"))
     long_lists = broadcast_if_small(cut(live.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > SHORT).select("token")))
     long_entries = cut(live.join(long_lists, "token"))
     hubs = cut(long_entries.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub")))
