@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that nothing uses any more. It does so when the
+    driver's JVM collects garbage, and a driver with room to spare seldom does that in the middle of many small steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of those taken, whatever their case."""
     lower = {x.lower() for x in taken}

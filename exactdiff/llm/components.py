@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import cut
+from exactdiff.llm.common import BROADCAST_ROWS, cut
+
+#: Partitions of an edge table of few rows: a round of many tasks for a handful of rows each would cost more than it does.
+FEW = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b (long). Returns node, component: one row for each node of an edge between two different
     nodes, and the smallest node that it reaches. Repeated edges and an empty table are fine; loops and rows with a null
-    end are dropped. edges is evaluated once. Each round moves edges towards the smallest neighbour.
+    end are dropped. edges is evaluated once. Each round moves edges towards the smallest neighbour. No round has more
+    edges than the first, so where these are few, all rounds run in few partitions.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
+    few = (lambda df: df.coalesce(FEW)) if e.count() <= BROADCAST_ROWS else (lambda df: df)
+    e = few(e)
     while not _settled(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour is tied to the smallest of the neighbourhood
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(large)
         # small star: each smaller neighbour, and the node itself, is tied to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = few(cut(few(small.union(low.select("u", F.col("m").alias("v"))).distinct())))
     tied = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return tied.union(roots)

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import broadcast_if_small, cut, release
+from exactdiff.llm.common import broadcast_if_small, cut, forget, release
 from exactdiff.llm.components import connected_components
 from exactdiff.llm.words import SPACED, buffers, hashed, mix, shingles
 
@@ -545,11 +545,14 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     named = rows.where("node is not null").join(broadcast_if_small(met), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = cut(named)
     of = lambda node, n, bits: named.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
+    del entry, shared, hot, met, live, long_lists, long_entries, hubs  # their shuffle files may go
+    forget(docs.sparkSession)
     pairs = pairs.union(_pivot_pairs(groups.select("hub", "node"), named, percent)).distinct()
     pairs = cut(broadcast_if_small(cut(pairs)).join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long"))
     least_pairs = cut(pairs.groupBy("b").agg(F.min(F.struct("apart", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m"))
     found = _verified(docs, named, least_pairs, width, percent)
     tied = cut(connected_components(found))
+    forget(docs.sparkSession)
     rest = pairs.join(tied.toDF("a", "x"), "a", "left").join(tied.toDF("b", "y"), "b", "left").where("not coalesce(x, a) <=> coalesce(y, b)").join(least_pairs, ["a", "b"], "left_anti").select("a", "b", "n", "m")
     kept = "hub long, node long, component long, block int, i int, j int"
     for whole in (False, True):
@@ -581,7 +584,9 @@ def _more(found: DataFrame, tied: DataFrame, more: DataFrame) -> tuple[DataFrame
     if more.isEmpty():
         return found, tied
     found = found.union(more)
-    return found, cut(connected_components(found))
+    tied = cut(connected_components(found))
+    forget(found.sparkSession)
+    return found, tied
 
 
 def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int, bits: int = 0) -> DataFrame:
