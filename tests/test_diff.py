@@ -185,7 +185,7 @@ def long_rows(spark, gone, status="x"):
     return Side.of(spark.createDataFrame(rows.toArrow().to_pandas()))
 
 
-@pytest.mark.parametrize("what", ["only", "returned_keys"])
+@pytest.mark.parametrize("what", ["only", "returned_keys", "rows_marked"])
 def test_rows_of_both_sides_are_not_shuffled_for_those_of_one(spark, what):
     a = long_rows(spark, 7)
     before, now = Diff(a, long_rows(spark, 8), ["id"]), Diff(a, long_rows(spark, 8, "y"), ["id"])
