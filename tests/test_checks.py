@@ -63,3 +63,10 @@ def test_number_guard(spark):
 def test_every_check_is_native(spark):
     plan = checked(spark.createDataFrame([("a", "b")], "val_a string, val_b string"))._jdf.queryExecution().executedPlan().toString()
     assert len(CHECKS) == 15 and "Python" not in plan
+
+
+def test_month_names_are_replaced_once_a_text(spark):
+    names = {"FEBMAR": "2003-02-01", "JAN70": "1970-01-01", "janFEBmarapr": "0304-02-01", "01jan2020:10:11:12": "2020-01-01", "2020-01-02T03:04:05": "2020-01-02", "$1234.56": None}
+    df = spark.createDataFrame([(k,) for k in names], "x string").select("x", calendar_date(F.col("x")).cast("string").alias("d"))
+    assert {r.x: r.d for r in df.collect()} == names
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 12  # once for each name
