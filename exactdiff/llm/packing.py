@@ -71,13 +71,15 @@ def vectors(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     h, row, _, _ = hashed(raw, at, SPACED)
     n = len(at) - 1
     counts = np.bincount(row * FEATURES + (h >> np.uint64(54)).astype(np.int64), minlength=n * FEATURES).reshape(n, FEATURES)
-    x = np.log1p(counts).astype(np.float32)
+    x = _LOGS[counts] if counts.max(initial=0) < len(_LOGS) else np.log1p(counts).astype(np.float32)
     size = np.sqrt((x * x).sum(1, keepdims=True))
     # one row at a time, so that a text's key never depends on its neighbours
     return np.stack([(v @ _DIRECTIONS) for v in x / np.maximum(size, 1e-9)]) if n else np.zeros((0, DIMS), np.float32)
 
 
 _DIRECTIONS = _directions()
+#: The damped counts of words that are not very many.
+_LOGS = np.log1p(np.arange(1 << 12)).astype(np.float32)
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -3,7 +3,7 @@
 The tokenizer works piece by piece between ASCII white space when its pre-tokenizer drops white space and its
 normalisation puts letters in lower case, as that of word_bpe_49k.json does: normalisation, splitting and merging never
 look across white space. So each distinct piece is encoded once and remembered by every Python worker, in a table of
-bounded size, and the ids of a batch of texts are gathered by numpy. A piece is found by a 64-bit hash and its bytes are
+bounded size that forgets pieces which did not come again, and the ids of a batch of texts are gathered by numpy. A piece is found by a 64-bit hash and its bytes are
 compared; pieces of more than LONGEST bytes, and any whose hash is another's, are encoded each time they come. Pieces of
 Latin letters with some marks behind them, which normalisation only puts in lower case, go to the library's merge model
 directly, others through the whole tokenizer. A task compares its first texts, and the model's ids of its first pieces,
@@ -21,12 +21,16 @@ import pyarrow as pa
 
 from exactdiff.llm.words import LOWER, SPACED, buffers, hashed
 
-#: Pieces that a worker remembers, some 50 bytes each; beyond that it starts anew.
+#: Pieces that a worker remembers, some 60 bytes each; beyond that it keeps those that came again since it last forgot some,
+#: or none if these are more than KEPT.
 REMEMBERED = 500_000
+KEPT = 400_000
 #: Words that are looked up together; so many new pieces at most come between two looks at REMEMBERED.
 _TOGETHER = 1 << 16
 _SLOTS = 20
 LONGEST = 256
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _CHECKED = 3
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$#&*|]*)")
 #: The characters by which byte-level models write the bytes: printable ones stand for themselves, others from 256 on.
@@ -46,6 +50,11 @@ def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0)
 
 
+def _heads(low: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each run as a number, zeros behind a shorter run; low has eight bytes behind the last run."""
+    return np.ndarray(len(low) - 7, "<u8", low, strides=(1,))[begin] & _FIRST[np.minimum(size, 8)]
+
+
 class _Pool:
     """Runs of numbers, one behind the other, in an array that grows."""
 
@@ -66,9 +75,10 @@ class _Pieces:
     def __init__(self) -> None:
         self.hash = np.zeros(1 << _SLOTS, np.uint64)
         self.number = np.zeros(1 << _SLOTS, np.int32)
-        self.ids, self.bytes, self.known = _Pool(np.uint32), _Pool(np.uint8), 0
+        self.ids, self.bytes, self.heads, self.known = _Pool(np.uint32), _Pool(np.uint8), _Pool(np.uint64), 0
         # of each piece: where its ids begin, how many it has, and the same of its bytes
         self.at = [_Pool(np.int64) for _ in range(4)]
+        self.hashes, self.again = _Pool(np.uint64), _Pool(np.bool_)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes (none is 0), or -1."""
@@ -82,12 +92,15 @@ class _Pieces:
             rest, slot = rest[on], (slot[on] + 1) & (1 << _SLOTS) - 1
         return out
 
-    def put(self, h: np.ndarray, found: list[list[int]], raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Adds different hashes, none of them known, with their ids and their bytes in raw."""
+    def put(self, h: np.ndarray, found: list[list[int]], low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Adds different hashes, none of them known, with their ids and their bytes in low."""
         size = np.array([len(x) for x in found], np.int64)
-        first = self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
-        first_byte = self.bytes.add(LOWER[raw[_gather(begin, end - begin)]])
-        for pool, x in zip(self.at, (first + np.cumsum(size) - size, size, first_byte + np.cumsum(end - begin) - (end - begin), end - begin)):
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        self._put(h, ids, size, low[_gather(begin, end - begin)], end - begin, _heads(low, begin, end - begin))
+
+    def _put(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray, length: np.ndarray, heads: np.ndarray) -> None:
+        first, first_byte = self.ids.add(ids), self.bytes.add(raw)
+        for pool, x in zip([*self.at, self.heads, self.hashes, self.again], (first + np.cumsum(size) - size, size, first_byte + np.cumsum(length) - length, length, heads, h, np.zeros(len(h), np.bool_))):
             pool.add(x)
         number = self.known + np.arange(len(h), dtype=np.int32)
         self.known += len(h)
@@ -100,14 +113,23 @@ class _Pieces:
             left[first] = False
             rest, slot = rest[left], (slot[left] + 1) & (1 << _SLOTS) - 1
 
-    def same(self, number: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether pieces have the bytes of raw from begin to end, letters in either case."""
-        at, size = self.at[2].items[number], self.at[3].items[number]
-        out = size == end - begin
-        k = np.flatnonzero(out)
+    def kept(self) -> _Pieces:
+        """A table of those that came again, or an empty one if these are too many."""
+        out, k = _Pieces(), np.flatnonzero(self.again.items[: self.known])
+        if 0 < len(k) <= KEPT:
+            at, size, at_byte, length = (x.items[k] for x in self.at)
+            out._put(self.hashes.items[k], self.ids.items[_gather(at, size)], size, self.bytes.items[_gather(at_byte, length)], length, self.heads.items[k])
+        return out
+
+    def same(self, number: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether pieces have the bytes of low from begin to end: eight at once, and the rest of those that are longer."""
+        size = self.at[3].items[number]
+        out = (size == end - begin) & (self.heads.items[number] == _heads(low, begin, end - begin))
+        k = np.flatnonzero(out & (size > 8))
         if len(k):
-            equal = self.bytes.items[_gather(at[k], size[k])] == LOWER[raw[_gather(begin[k], size[k])]]
-            out[k] = np.logical_and.reduceat(equal, np.cumsum(size[k]) - size[k])
+            rest = size[k] - 8
+            equal = self.bytes.items[_gather(self.at[2].items[number[k]] + 8, rest)] == low[_gather(begin[k] + 8, rest)]
+            out[k] = np.logical_and.reduceat(equal, np.cumsum(rest) - rest)
         return out
 
 
@@ -133,7 +155,8 @@ class Encoder:
         return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
 
     def _by_model(self, letters: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(_BYTE.__getitem__, letters.lower().encode())) if not letters.isascii() else letters.lower())]
+        letters = letters.lower()
+        return [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE))]
 
     def _learn(self, pieces: list[str]) -> list[list[int]]:
         parts = [_PLAIN.fullmatch(p) for p in pieces]
@@ -148,24 +171,27 @@ class Encoder:
         rest = iter(ids_of([p for p, m in zip(pieces, parts) if not m]))
         return [self._by_model(m[1]) + behind[m[2]] if m else next(rest) for m in parts]
 
-    def _ids(self, raw: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one behind the other, and how many each has."""
+    def _ids(self, raw: np.ndarray, low: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one behind the other, and how many each has; low: raw in lower case and eight more bytes."""
         known = _pieces[self.path]
         short = end - begin <= LONGEST
         number = known.find(h)
+        known.again.items[number[number >= 0]] = True
         missing = np.flatnonzero((number < 0) & short)
         if len(missing):
             if known.known > REMEMBERED:
-                known = _pieces[self.path] = _Pieces()
-                missing = np.flatnonzero(short)
+                known = _pieces[self.path] = known.kept()
+                missing = np.flatnonzero((known.find(h) < 0) & short)
             new, first = np.unique(h[missing], return_index=True)
             first = missing[first]
             for lo in range(0, len(new), 5_000):
                 some = first[lo : lo + 5_000]
-                known.put(new[lo : lo + 5_000], self._learn([raw[a:b].tobytes().decode() for a, b in zip(begin[some].tolist(), end[some].tolist())]), raw, begin[some], end[some])
+                size = end[some] - begin[some]
+                texts = np.insert(low[_gather(begin[some], size)], np.cumsum(size), 10).tobytes().decode().split("\n")[:-1]  # no piece has a line break
+                known.put(new[lo : lo + 5_000], self._learn(texts), low, begin[some], end[some])
             number = known.find(h)
         ok = (number >= 0) & short
-        ok[ok] = known.same(number[ok], raw, begin[ok], end[ok])
+        ok[ok] = known.same(number[ok], low, begin[ok], end[ok])
         at, size, pool = known.at[0].items[number], known.at[1].items[number], known.ids.items
         odd = np.flatnonzero(~ok)
         if len(odd):
@@ -178,7 +204,8 @@ class Encoder:
     def _pieces_of(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         h, row, begin, end = hashed(raw, at, SPACED)
         h = np.maximum(h, np.uint64(1))
-        parts = [self._ids(raw, *(x[lo : lo + _TOGETHER] for x in (h, begin, end))) for lo in range(0, len(h), _TOGETHER)]
+        low = np.concatenate((LOWER[raw], np.zeros(8, np.uint8)))
+        parts = [self._ids(raw, low, *(x[lo : lo + _TOGETHER] for x in (h, begin, end))) for lo in range(0, len(h), _TOGETHER)]
         ids, size = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         words = np.searchsorted(row, np.arange(1, len(at)))
         ends = np.concatenate(([0], np.cumsum(size)))[words]

@@ -34,6 +34,21 @@ def test_forgetting_pieces_changes_nothing(ids, monkeypatch, prose):
         assert e.encode(t).tolist() == ids(t)
 
 
+def test_pieces_that_come_again_are_learned_once(ids, monkeypatch):
+    from exactdiff.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    monkeypatch.setattr(tokens, "_pieces", {default_path(): tokens._Pieces()})
+    e, learned, learn = Encoder(default_path(), 2), [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: learned.extend(pieces) or learn(self, pieces))
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    for k in range(20):
+        t = " ".join(["often,", "abcdefgh", "abcdefghi", "Straßenbahnhöfe", *(f"x{name(100 * k + n)}" for n in range(20))])
+        assert e.encode(t).tolist() == ids(t)
+    assert [learned.count(x) for x in ("often,", "abcdefgh", "abcdefghi", "straßenbahnhöfe")] == [1, 1, 1, 1]
+    assert len(learned) == 404 and tokens._pieces[default_path()].known <= 84  # the others have been forgotten
+
+
 def test_a_piece_of_any_length_keeps_its_ids(ids):
     long = "7" * 1_048_581
     texts = ["one", "two", "three", f"before {long} behind"]
