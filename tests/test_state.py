@@ -157,6 +157,19 @@ def test_folders_are_read_in_ranges(spark, tmp_path):
     assert remote.path.startswith("file:") and remote.load(spark).headers == ("id", "v", "v_duplicated_0")
 
 
+def test_small_ranges_make_few_tasks(spark, tmp_path, monkeypatch):
+    want = [(str(i), 'a"\nb' if i % 7 == 0 else "x" * (i % 50)) for i in range(4000)]
+    for f in range(2):
+        (tmp_path / f"part-{f}.csv").write_text(text_of([("id", "v"), *want[f::2]], random.Random(f)))
+    made = []
+    monkeypatch.setattr(lines, "_lines", lambda *x, found=lines._lines: made.append(found(*x)) or made[-1])
+    monkeypatch.setattr(lines, "_ROWS", 100)
+    headers, frame = lines.read(spark, str(tmp_path), "utf8", ",", 500)
+    assert sorted(map(tuple, frame.collect())) == sorted((a, b) for a, b in want)
+    assert made[0].select("file", "start").distinct().count() > 200  # ranges stay as small as they are wanted
+    assert made[0].rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("texts", [["id,v\n1,a\n", "id,w\n1,a\n"], ["id,v\n1,a,b\n"], ['id,v\n1,"a\n2,b\n'], ["id,v\n1,\xff\n"], ['id,v\n1,"a"b\n'], [""]])
 def test_folders_are_read_strictly(spark, tmp_path, texts):
     for i, t in enumerate(texts):
