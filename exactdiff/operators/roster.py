@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exactdiff.operators import summary
+from exactdiff.operators import snapshots, summary
 from exactdiff.operators.diff import Diff
 from exactdiff.operators.store import Store
 
@@ -30,6 +30,12 @@ def counted(mismatches: DataFrame, accepted: DataFrame | None, identity: Sequenc
     return marked.groupBy(*PAIR).agg(F.count_if(F.col("known").isNull()).alias("pending"), F.count_if(F.col("known").isNotNull()).alias("accepted"))
 
 
+def counted_cells(diff: Diff, accepted: DataFrame) -> DataFrame:
+    """counted() of all unequal cells of diff, which are counted where they are made."""
+    marked = snapshots.marked_cells(diff, accepted)
+    return marked.groupBy(*PAIR).agg(F.count_if(~F.col("known__")).alias("pending"), F.count_if("known__").alias("accepted"))
+
+
 def new_counts(pairs: DataFrame) -> Store:
     return Store(PAIR, COUNTS).plus(pairs)
 
@@ -88,16 +94,26 @@ def after(before: DataFrame, counts: Store, delta: DataFrame) -> DataFrame:
 def reading(diff: Diff) -> DataFrame:
     """column, equal, const_a, const_b, matched, a_only, b_only from one aggregate of the joined rows; a row for each
     comparable column, or one with a null column if there is none."""
-    columns = diff.comparable
-    both, ends = F.col("in_a") & F.col("in_b"), []
+    both = F.col("in_a") & F.col("in_b")
+    kept = {"matched": F.count_if(both), "a_only": F.count_if(F.col("in_b").isNull()), "b_only": F.count_if(F.col("in_a").isNull())}
+    return _reading(diff, diff.joined, both, kept)
+
+
+def column_reading(diff: Diff) -> DataFrame:
+    """column, equal, const_a, const_b of reading(), from the matched rows alone."""
+    return _reading(diff, diff.matched, None, {})
+
+
+def _reading(diff: Diff, rows: DataFrame, both: Column | None, kept: dict[str, Column]) -> DataFrame:
+    columns, ends = diff.comparable, []
+    of = lambda x: x if both is None else F.when(both, x)
     for i, h in enumerate(columns):
         a, b = F.col(diff.of_a[h]), F.col(diff.of_b[h])
-        ends.append(F.count_if(both & (a == b)).alias(f"e{i}"))
-        ends += [f(F.when(both, x)).alias(f"{name}{i}") for x, s in ((a, "a"), (b, "b")) for f, name in ((F.min, f"min_{s}"), (F.max, f"max_{s}"))]
-    kept = [F.count_if(both).alias("matched"), F.count_if(F.col("in_b").isNull()).alias("a_only"), F.count_if(F.col("in_a").isNull()).alias("b_only")]
-    one = diff.joined.agg(*kept, *ends)
+        ends.append(F.count_if(a == b if both is None else both & (a == b)).alias(f"e{i}"))
+        ends += [f(of(x)).alias(f"{name}{i}") for x, s in ((a, "a"), (b, "b")) for f, name in ((F.min, f"min_{s}"), (F.max, f"max_{s}"))]
+    one = rows.agg(*(x.alias(k) for k, x in kept.items()), *(ends or [F.count("*").alias("rows")]))
     if not columns:
-        return one.select(F.lit(None).cast("string").alias("column"), F.lit(0).cast("long").alias("equal"), F.lit(None).cast("string").alias("const_a"), F.lit(None).cast("string").alias("const_b"), "matched", "a_only", "b_only")
+        return one.select(F.lit(None).cast("string").alias("column"), F.lit(0).cast("long").alias("equal"), F.lit(None).cast("string").alias("const_a"), F.lit(None).cast("string").alias("const_b"), *kept)
     only = lambda s, i: F.when(F.col(f"min_{s}{i}") == F.col(f"max_{s}{i}"), F.col(f"min_{s}{i}"))
     parts = [x for i, h in enumerate(columns) for x in (F.lit(h), F.col(f"e{i}"), only("a", i), only("b", i))]
-    return one.select(F.stack(F.lit(len(columns)), *parts).alias("column", "equal", "const_a", "const_b"), "matched", "a_only", "b_only")
+    return one.select(F.stack(F.lit(len(columns)), *parts).alias("column", "equal", "const_a", "const_b"), *kept)

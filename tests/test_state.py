@@ -75,6 +75,22 @@ def test_one_aggregate_gives_what_acceptance_leaves_alone(side):
     assert {(r.matched, r.a_only, r.b_only) for r in found.values()} == {(60, 1, 1)}
     bare = Diff(side(["id"], ("1",)), side(["id"], ("1",)), ["id"])
     assert roster.reading(bare).first().matched == 1
+    rows = lambda x: sorted(map(repr, x.collect()))
+    assert rows(roster.column_reading(d)) == rows(roster.reading(d).drop("matched", "a_only", "b_only"))
+    assert "FullOuter" not in roster.column_reading(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_counted_where_they_are_made(side):
+    h = ["id", "p", "q", "r"]
+    d = Diff(side(h, *fields(1)), side(h, *fields(2)), ["id"])
+    store = d.mismatches.where("column <> 'q' and k0 % 3 = 0").unionByName(d.mismatches.where("column = 'r'"))  # some twice
+    store = store.unionByName(store.limit(5).withColumn("val_a", F.lit("other")))
+    rows = lambda x: sorted(map(repr, x.collect()))
+    found = roster.counted_cells(d, store)
+    assert rows(found) == rows(roster.counted(d.mismatches, store, snapshots.cell_identity(d))) and found.count()
+    # before cells are stacked, nothing but keys decides where a row goes
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("column" not in line for line in plan.splitlines() if "Join" in line)
 
 
 # ---- ordered pages
