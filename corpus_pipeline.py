@@ -19,16 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exactdiff.llm import language_id, mixing, ngram_join, packing, pii
-from exactdiff.llm.common import broadcast_if_small, cut, table
+from exactdiff.llm.common import broadcast_if_small, cut, small_batches, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = language_id.train(docs)
     kept = language_id.accepted(language_id.predict(docs, model), model)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = cut(ngram_join.join_components(docs, width=5, percent=80))
     stays = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")))
     each = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), stays.alias("stays")))
@@ -41,6 +43,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -49,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.hilbert_pack(docs)
 
 

@@ -27,6 +27,8 @@ REMEMBERED = 500_000
 KEPT = 400_000
 #: Words that are looked up together; so many new pieces at most come between two looks at REMEMBERED.
 _TOGETHER = 1 << 16
+#: Pieces that are moved together when some are forgotten.
+_MOVED = 1 << 14
 _SLOTS = 20
 LONGEST = 256
 #: Masks of the first n bytes of eight.
@@ -63,7 +65,9 @@ class _Pool:
 
     def add(self, items: np.ndarray) -> int:
         if self.used + len(items) > len(self.items):
-            self.items = np.concatenate((self.items, np.zeros(len(self.items) // 2 + len(items), self.items.dtype)))
+            more = np.zeros(len(self.items) + len(self.items) // 2 + len(items), self.items.dtype)  # no memory where nothing is written
+            more[: self.used] = self.items[: self.used]
+            self.items = more
         self.items[self.used : self.used + len(items)] = items
         self.used += len(items)
         return self.used - len(items)
@@ -77,7 +81,7 @@ class _Pieces:
         self.number = np.zeros(1 << _SLOTS, np.int32)
         self.ids, self.bytes, self.heads, self.known = _Pool(np.uint32), _Pool(np.uint8), _Pool(np.uint64), 0
         # of each piece: where its ids begin, how many it has, and the same of its bytes
-        self.at = [_Pool(np.int64) for _ in range(4)]
+        self.at = [_Pool(np.int32) for _ in range(4)]
         self.hashes, self.again = _Pool(np.uint64), _Pool(np.bool_)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -113,13 +117,17 @@ class _Pieces:
             left[first] = False
             rest, slot = rest[left], (slot[left] + 1) & (1 << _SLOTS) - 1
 
-    def kept(self) -> _Pieces:
-        """A table of those that came again, or an empty one if these are too many."""
-        out, k = _Pieces(), np.flatnonzero(self.again.items[: self.known])
-        if 0 < len(k) <= KEPT:
-            at, size, at_byte, length = (x.items[k] for x in self.at)
-            out._put(self.hashes.items[k], self.ids.items[_gather(at, size)], size, self.bytes.items[_gather(at_byte, length)], length, self.heads.items[k])
-        return out
+    def forget(self) -> None:
+        """Leaves those that came again, or none if these are too many. They are taken out some at a time, since the places of
+        their bytes are many times as large as these, and put back when the old table is gone."""
+        k, parts = np.flatnonzero(self.again.items[: self.known]), []
+        for lo in range(0, len(k) if len(k) <= KEPT else 0, _MOVED):
+            some = k[lo : lo + _MOVED]
+            at, size, at_byte, length = (x.items[some] for x in self.at)
+            parts.append((self.hashes.items[some], self.ids.items[_gather(at, size)], size, self.bytes.items[_gather(at_byte, length)], length, self.heads.items[some]))
+        self.__init__()
+        for part in parts:
+            self._put(*part)
 
     def same(self, number: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether pieces have the bytes of low from begin to end: eight at once, and the rest of those that are longer."""
@@ -180,7 +188,7 @@ class Encoder:
         missing = np.flatnonzero((number < 0) & short)
         if len(missing):
             if known.known > REMEMBERED:
-                known = _pieces[self.path] = known.kept()
+                known.forget()
                 missing = np.flatnonzero((known.find(h) < 0) & short)
             new, first = np.unique(h[missing], return_index=True)
             first = missing[first]

@@ -49,6 +49,30 @@ def test_pieces_that_come_again_are_learned_once(ids, monkeypatch):
     assert len(learned) == 404 and tokens._pieces[default_path()].known <= 84  # the others have been forgotten
 
 
+def test_forgetting_takes_little_more_than_the_table(monkeypatch):
+    import tracemalloc
+
+    from exactdiff.llm import tokens
+
+    n, size = 60_000, 200
+    h = np.arange(1, n + 1, dtype=np.uint64) << np.uint64(40)
+    low = np.concatenate((np.arange(n * size, dtype=np.int64).astype(np.uint8), np.zeros(8, np.uint8)))
+    begin = np.arange(n) * size
+    held = tokens._Pieces()
+    for lo in range(0, n, 5_000):
+        some = slice(lo, lo + 5_000)
+        held.put(h[some], [[i, i + 1] for i in range(lo, lo + 5_000)], low, begin[some], begin[some] + size)
+    held.again.items[1:n] = True
+    tracemalloc.start()
+    held.forget()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # the places of all bytes at once take 288 MB
+    number = held.find(h)
+    assert held.known == n - 1 and number[0] == -1 and held.same(number[1:], low, begin[1:], begin[1:] + size).all()
+    assert held.ids.items[held.at[0].items[number[-1]] :][:2].tolist() == [n - 1, n]
+
+
 def test_a_piece_of_any_length_keeps_its_ids(ids):
     long = "7" * 1_048_581
     texts = ["one", "two", "three", f"before {long} behind"]

@@ -37,3 +37,20 @@ def test_repeated_rows_stay_once(spark, table):
     docs = table([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "z y x w v u t"), (None, "a b c d e f g"), (2, "")])
     found = corpus_pipeline.deduplicate(spark, docs, "")
     assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == [(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "z y x w v u t"), (2, "")]
+
+
+def test_workers_get_small_batches(spark, table):
+    from exactdiff.llm.common import BATCH_KEY, small_batches
+
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 500) as text")
+    size = lambda: max(r.n for r in rows.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect())
+    before = spark.conf.get(BATCH_KEY, None)
+    try:
+        spark.conf.unset(BATCH_KEY)
+        corpus_pipeline.redact(spark, table([(1, "a")]), "")
+        assert size() < 6_000_000
+        spark.conf.set(BATCH_KEY, "32m")
+        small_batches(spark)
+        assert size() > 10_000_000  # a size of the session's own stays
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
