@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exactdiff.llm import language_id, mixing, ngram_join, packing, pii
-from exactdiff.llm.common import broadcast_if_small, cut, small_batches, table
+from exactdiff.llm.common import broadcast_if_small, cut, cut_narrow, small_batches, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = cut(ngram_join.join_components(docs, width=5, percent=80))
     stays = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    each = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), stays.alias("stays")))
+    each = cut_narrow(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), stays.alias("stays")))
     kept = docs.join(broadcast_if_small(each.where("not stays").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     again = each.where("n > 1 and stays").select("doc_id")
     if again.isEmpty():

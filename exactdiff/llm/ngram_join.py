@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exactdiff.llm.common import broadcast_if_small, cut, forget, release
+from exactdiff.llm.common import BROADCAST_ROWS, broadcast_if_small, counted, cut, cut_narrow, forget, release
 from exactdiff.llm.components import connected_components
 from exactdiff.llm.words import SPACED, buffers, hashed, mix, shingles
 
@@ -451,17 +451,18 @@ def _verify(percent: int):
 def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, n, m) that link, as a and b. Pairs are dealt by the node of them that has more pairs, and its
     pairs again into parts of about TOGETHER tokens."""
-    sets = _sets_of(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("node")), width)
-    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")))
-    many = degree.count()
+    few = counted(pairs) <= BROADCAST_ROWS // 2  # then so are their nodes, and all rows below but those of sets
+    degree = cut_narrow(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")), few)
+    sets = _sets_of(docs, named, degree.select("node"), width, few=few)
+    many = 0 if few else counted(degree)
     of = lambda node, name: broadcast_if_small(degree.select(F.col("node").alias(node), F.col("pairs").alias(name)), many)
     first = F.struct("x", "a") >= F.struct("y", "b")
     named = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("center"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("n"))
-    named = cut(named)
-    parts = named.groupBy("center").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts"))
-    dealt = cut(named.join(broadcast_if_small(cut(parts)), "center").select("center", "leaf", F.pmod(F.xxhash64("leaf"), "parts").cast("int").alias("part")))
+    named = cut_narrow(named, few)
+    parts = cut_narrow(named.groupBy("center").agg(F.ceil(F.sum("n") / TOGETHER).alias("parts")), few)
+    dealt = cut_narrow(named.join(broadcast_if_small(parts, 0 if few else None), "center").select("center", "leaf", F.pmod(F.xxhash64("leaf"), "parts").cast("int").alias("part")), few)
     wanted = dealt.select(F.col("leaf").alias("node"), "center", "part", "leaf").union(dealt.select(F.col("center").alias("node"), "center", "part", F.col("center").alias("leaf")).distinct())
-    return cut(sets.join(broadcast_if_small(wanted), "node").select("center", "part", "leaf", "tokens").groupBy("center", "part").applyInPandas(_verify(percent), "a long, b long"))
+    return cut(sets.join(broadcast_if_small(wanted, 0 if few else None), "node").select("center", "part", "leaf", "tokens").groupBy("center", "part").applyInPandas(_verify(percent), "a long, b long"))
 
 
 def _compare(percent: int):
@@ -479,12 +480,12 @@ def _compare(percent: int):
 
 def _pivot_pairs(groups: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """a, b: each node of a hub with one of the hub's pivots, where bits leave room for a link. groups: hub, node."""
-    sizes = cut(groups.groupBy("hub").agg(F.count("*").alias("c")))
+    sizes = cut_narrow(groups.groupBy("hub").agg(F.count("*").alias("c")))
     dealt = groups.join(broadcast_if_small(sizes), "hub").withColumn("chunks", F.ceil(F.col("c") / CHUNK))
     pivot = (F.pmod(F.xxhash64(F.lit(1), "node"), F.col("c")) < PIVOTS) | (F.col("node") == F.col("hub"))
     members = dealt.select("hub", "node", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(False).alias("pivot"))
     pivots = dealt.where(pivot).select("hub", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
-    return named.select("node", "n", "bits").join(broadcast_if_small(cut(members.union(pivots))), "node").groupBy("hub", "chunk").applyInPandas(_to_pivots(percent), "a long, b long")
+    return named.select("node", "n", "bits").join(broadcast_if_small(cut_narrow(members.union(pivots))), "node").groupBy("hub", "chunk").applyInPandas(_to_pivots(percent), "a long, b long")
 
 
 def _blocks(groups: DataFrame, percent: int) -> DataFrame:
@@ -510,10 +511,10 @@ def _blocks(groups: DataFrame, percent: int) -> DataFrame:
 
 def _apart_in_hubs(groups: DataFrame, tied: DataFrame) -> DataFrame:
     """groups' rows of hubs with nodes of several components, with component and open."""
-    labelled = cut(groups.join(tied, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("component")))
+    labelled = cut_narrow(groups.join(tied, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("component")))
     each = labelled.groupBy("hub", "component").agg(F.count("*").alias("c"))
     several = each.groupBy("hub").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1")
-    several = broadcast_if_small(cut(several.select("hub", F.col("most.component").alias("largest"))))
+    several = broadcast_if_small(cut_narrow(several.select("hub", F.col("most.component").alias("largest"))))
     return labelled.join(several, "hub").select("hub", "node", "n", "component", (F.col("component") != F.col("largest")).alias("open"))
 
 
@@ -535,44 +536,44 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     met = shared.union(hot).select("token", "node", "info", F.count("*").over(own).alias("c"), F.min("least").over(own).alias("ell"), F.max(ell).over(own).alias("own"))
     live = cut(met.where("c >= least(ell, own)").select("token", "node", "info", "c"))
     long_lists = broadcast_if_small(cut(live.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > SHORT).select("token")))
-    long_entries = cut(live.join(long_lists, "token"))
-    hubs = cut(long_entries.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub")))
+    long_entries = cut_narrow(live.join(long_lists, "token"))
+    hubs = cut_narrow(long_entries.groupBy("token").agg(F.max(F.struct("c", "node")).alias("x")).select("token", F.col("x.node").alias("hub")))
     pairs = listed(live.join(long_lists, "token", "left_anti")).mapInArrow(_meet(percent), _MET)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("overlap").alias("overlap"))
-    pairs = cut(pairs.where("shared >= need and shared + rest >= overlap").select("a", "b"))
-    groups = cut(long_entries.join(broadcast_if_small(hubs), "token").groupBy("hub", "node").agg(F.first(F.shiftright("info", 33)).alias("n")))
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct())
+    pairs = cut_narrow(pairs.where("shared >= need and shared + rest >= overlap").select("a", "b"))
+    groups = cut_narrow(long_entries.join(broadcast_if_small(hubs), "token").groupBy("hub", "node").agg(F.first(F.shiftright("info", 33)).alias("n")))
+    met = cut_narrow(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct())
     named = rows.where("node is not null").join(broadcast_if_small(met), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = cut(named)
     of = lambda node, n, bits: named.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
     del entry, shared, hot, met, live, long_lists, long_entries, hubs  # their shuffle files may go
     forget(docs.sparkSession)
     pairs = pairs.union(_pivot_pairs(groups.select("hub", "node"), named, percent)).distinct()
-    pairs = cut(broadcast_if_small(cut(pairs)).join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long"))
-    least_pairs = cut(pairs.groupBy("b").agg(F.min(F.struct("apart", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m"))
+    pairs = cut_narrow(broadcast_if_small(cut_narrow(pairs)).join(of("a", "n", "s"), "a").join(of("b", "m", "t"), "b").mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long"))
+    least_pairs = cut_narrow(pairs.groupBy("b").agg(F.min(F.struct("apart", "a", "n", "m")).alias("x")).select("x.a", "b", "x.n", "x.m"))
     found = _verified(docs, named, least_pairs, width, percent)
-    tied = cut(connected_components(found))
+    tied = cut_narrow(connected_components(found))
     forget(docs.sparkSession)
     rest = pairs.join(tied.toDF("a", "x"), "a", "left").join(tied.toDF("b", "y"), "b", "left").where("not coalesce(x, a) <=> coalesce(y, b)").join(least_pairs, ["a", "b"], "left_anti").select("a", "b", "n", "m")
     kept = "hub long, node long, component long, block int, i int, j int"
     for whole in (False, True):
-        blocks = cut(_blocks(_apart_in_hubs(groups, tied), percent))
+        blocks = cut_narrow(_blocks(_apart_in_hubs(groups, tied), percent))
         in_blocks = named.select("node", "n", "bits").join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j")
         if not whole:
-            some = cut(in_blocks.applyInPandas(_nearest_apart(percent), "a long, b long").distinct())
-            some = cut(some.join(of("a", "n", "s").drop("s"), "a").join(of("b", "m", "t").drop("t"), "b").select("a", "b", "n", "m").union(rest).distinct())
+            some = cut_narrow(in_blocks.applyInPandas(_nearest_apart(percent), "a long, b long").distinct())
+            some = cut_narrow(some.join(of("a", "n", "s").drop("s"), "a").join(of("b", "m", "t").drop("t"), "b").select("a", "b", "n", "m").union(rest).distinct())
             if some.isEmpty():
                 break
             # most of them do not link: the same bits, but more of them, come before whole sets
             fine = _sets_of(docs, named, some.select(F.explode(F.array("a", "b")).alias("node")), width, FINE).dropDuplicates(["node"])
             some = broadcast_if_small(some).join(fine.toDF("a", "s"), "a").join(fine.toDF("b", "t"), "b")
-            some = cut(some.mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long").drop("apart"))
+            some = cut_narrow(some.mapInArrow(_possible(percent), "a long, b long, n long, m long, apart long").drop("apart"))
             found, tied = _more(found, tied, _verified(docs, named, some, width, percent))
         else:
-            blocks = cut(in_blocks.applyInPandas(_possible_in_block(percent), kept))
+            blocks = cut_narrow(in_blocks.applyInPandas(_possible_in_block(percent), kept))
             # the same with more bits, which only these few nodes need
             fine = _sets_of(docs, named, blocks.select("node"), width, FINE).dropDuplicates(["node"]).withColumnRenamed("tokens", "bits")
-            blocks = cut(blocks.join(fine, "node").join(named.select("node", "n"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
+            blocks = cut_narrow(blocks.join(fine, "node").join(named.select("node", "n"), "node").groupBy("hub", "i", "j").applyInPandas(_possible_in_block(percent), kept))
             if not blocks.isEmpty():
                 compared = _sets_of(docs, named, blocks.select("node"), width).join(broadcast_if_small(blocks), "node").groupBy("hub", "i", "j").applyInPandas(_compare(percent), "a long, b long")
                 found, tied = _more(found, tied, cut(compared))
@@ -584,13 +585,16 @@ def _more(found: DataFrame, tied: DataFrame, more: DataFrame) -> tuple[DataFrame
     if more.isEmpty():
         return found, tied
     found = found.union(more)
-    tied = cut(connected_components(found))
+    tied = cut_narrow(connected_components(found))
     forget(found.sparkSession)
     return found, tied
 
 
-def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int, bits: int = 0) -> DataFrame:
-    return cut(set_rows(docs, cut(named.join(broadcast_if_small(cut(nodes.distinct())), "node", "left_semi").select("node", "doc_id")), width, bits))
+def _sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int, bits: int = 0, few: bool = False) -> DataFrame:
+    """set_rows of nodes, which may repeat; few: whether they are known to be few rows in few partitions."""
+    nodes = nodes.distinct() if few else cut_narrow(nodes.distinct())
+    wanted = named.join(broadcast_if_small(nodes, 0 if few else None), "node", "left_semi").select("node", "doc_id")
+    return cut(set_rows(docs, cut_narrow(wanted), width, bits))
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

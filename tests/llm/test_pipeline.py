@@ -54,3 +54,24 @@ def test_workers_get_small_batches(spark, table):
         assert size() > 10_000_000  # a size of the session's own stays
     finally:
         spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
+
+
+def test_few_rows_take_few_tasks(spark, table, prose):
+    """The driver keeps a record of each task, whatever its rows."""
+    texts = [prose(60, punctuation=False) for _ in range(6)]
+    docs = table([(10 * i + k, " ".join([*text.split(), *["tail"] * k])) for i, text in enumerate(texts) for k in range(5)])
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few", "few")
+        kept = sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == [0, 10, 20, 30, 40, 50]
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(s.numCompletedTasks for s in stages if s) < 3_500  # 4,761 when small tables kept all shuffle partitions
